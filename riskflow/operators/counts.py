@@ -74,9 +74,9 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], limit: int
     return ranked.agg(*picks)
 
 
-def load_report(results: DataFrame, share: float = 0.95, limit: int | None = None) -> DataFrame:
-    """Requests, errors, error rate and nearest-rank latency of a load run."""
-    ok = (F.col("statusCode") >= 200) & (F.col("statusCode") < 300)
+def load_report(results: DataFrame, share: float = 0.95, limit: int | None = None, expected: int = 201) -> DataFrame:
+    """Requests, errors (any status but `expected`), error rate and nearest-rank latency of a load run."""
+    ok = F.col("statusCode") == expected
     totals = results.agg(
         _count("requests"), F.count(F.when(~F.coalesce(ok, F.lit(False)), 1)).alias("errors")
     ).withColumn("error_rate", F.col("errors") / F.greatest(F.col("requests"), F.lit(1)))

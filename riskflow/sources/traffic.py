@@ -1,0 +1,89 @@
+"""A reproducible mix of requests, a function of the row id alone."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+
+# Kinds of traffic, the shares of each named profile, and the pools values are drawn from.
+KINDS = ("normal", "fraud", "velocity", "invalid", "overflow")
+PROFILES = {
+    "capacity-baseline": (80, 12, 5, 3, 0),
+    "balanced": (45, 40, 10, 5, 0),
+    "mostly-normal": (75, 15, 7, 3, 0),
+    "fraud-focus": (20, 65, 10, 5, 0),
+    "validation": (20, 20, 10, 50, 0),
+    "chaos-5xx": (30, 25, 10, 5, 30),
+}
+SAFE_MERCHANTS = ("MRC-101", "MRC-202", "MRC-303", "MRC-505")
+RISKY_MERCHANTS = ("MRC-999", "MRC-666", "MRC-404")
+COUNTRIES = ("US", "BR", "MX", "AR", "CL", "PE")
+METHODS = ("CARD", "TRANSFER", "WALLET")
+HOT_USERS = ("k6-hot-1", "k6-hot-2", "k6-hot-3", "k6-hot-4")
+OVERFLOW_AMOUNT = (1 << 53) - 1
+WEBHOOK_SHARE = 35
+
+
+def traffic_mix(
+    spark: SparkSession, n: int, weights: tuple[float, ...] = PROFILES["capacity-baseline"], users: int = 600,
+    seed: int = 0, webhook_share: float = WEBHOOK_SHARE,
+) -> DataFrame:
+    """`n` requests whose kinds follow the weights."""
+    return requests_for(spark.range(n), weights, users, seed, webhook_share)
+
+
+def requests_for(
+    ids: DataFrame, weights: tuple[float, ...] = PROFILES["capacity-baseline"], users: int = 600, seed: int = 0,
+    webhook_share: float = WEBHOOK_SHARE, id_col: str = "id",
+) -> DataFrame:
+    """One request per row of `ids`, drawn by hashing the id: any task computes the same row again."""
+    if abs(sum(weights) - 100) > 1e-6:
+        raise ValueError(f"weights must add up to 100, got {sum(weights)}")
+
+    def draw(salt: str, size: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(f"{seed}:{salt}"), F.col(id_col)), F.lit(size))
+
+    def between(salt: str, low: int, high: int) -> Column:
+        return (draw(salt, high - low + 1) + low).cast("decimal(28,9)")
+
+    def pick(salt: str, pool: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*map(F.lit, pool)), (draw(salt, len(pool)) + 1).cast("int"))
+
+    def user(kind: str) -> Column:
+        return F.concat(F.lit(f"k6-{kind}-"), (draw("user", users) + 1).cast("string"))
+
+    roll = draw("kind", 1_000_000) / 10_000.0
+    kind, edge = None, 0.0
+    for name, weight in zip(KINDS, weights):
+        edge += weight
+        kind = F.when(roll < edge, name) if kind is None else kind.when(roll < edge, name)
+    sub = draw("profile", 100)
+    large, risky = sub < 30, (sub >= 30) & (sub < 60)
+    k = F.col("kind")
+    fraud = k == "fraud"
+    drawn = ids.withColumn("kind", kind.otherwise(KINDS[0]))
+    rows = drawn.select(
+        F.col(id_col).alias("request_id"),
+        "kind",
+        F.when(k == "normal", user("user")).when(fraud, user("fraud")).when(k == "velocity", pick("hot", HOT_USERS))
+        .when(k == "invalid", F.lit("")).otherwise(user("5xx")).alias("userId"),
+        F.when(k == "normal", between("amount", 20, 1800))
+        .when(fraud & large, between("amount", 12000, 26000))
+        .when(fraud & risky, between("amount", 300, 3500))
+        .when(fraud, between("amount", 14000, 32000))
+        .when(k == "velocity", between("amount", 150, 2500))
+        .when(k == "invalid", F.lit(-10).cast("decimal(28,9)"))
+        .otherwise(F.lit(OVERFLOW_AMOUNT).cast("decimal(28,9)")).alias("amount"),
+        F.when(k == "invalid", F.lit("usd")).otherwise("USD").alias("currency"),
+        F.when(k == "invalid", F.lit(""))
+        .when(fraud & ~large, pick("merchant", RISKY_MERCHANTS))
+        .otherwise(pick("merchant", SAFE_MERCHANTS)).alias("merchantId"),
+        F.when(k == "invalid", F.lit("USA")).when(fraud & ~large & ~risky, F.lit("BR"))
+        .otherwise(pick("country", COUNTRIES)).alias("country"),
+        F.when(k.isin("velocity", "invalid", "overflow") | (fraud & ~large & ~risky), F.lit("CARD"))
+        .otherwise(pick("method", METHODS)).alias("paymentMethod"),
+        F.when(draw("channel", 1_000_000) / 10_000.0 < webhook_share, "webhook").otherwise("api").alias("channel"),
+    )
+    return rows.select("request_id", "kind", *(f.name for f in schemas.REQUEST.fields), "channel")
