@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -20,11 +21,12 @@ RETENTION = timedelta(hours=24)
 def enqueue(
     events: DataFrame, topic: str, now: Column | None = None, context_trace: Column | None = None,
     context_span: Column | None = None, baggage: Column | None = None, sampled: Column | None = None,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """New outbox rows for created events (event field names), due at once.
 
     The trace header takes the context's ids first, then the event's trace id. A missing span id is
-    derived from the event id.
+    derived from the event id. Columns in `extra` are carried along.
     """
     none = F.lit(None).cast("string")
     trace = F.coalesce(normalize_hex(none if context_trace is None else context_trace, 32), normalize_hex("traceId", 32))
@@ -45,6 +47,7 @@ def enqueue(
         created.alias("created_at"),
         F.lit(None).cast("timestamp").alias("published_at"),
         none.alias("last_error"),
+        *extra,
     )
 
 

@@ -82,7 +82,7 @@ def requests_for(
         .otherwise(pick("merchant", SAFE_MERCHANTS)).alias("merchantId"),
         F.when(k == "invalid", F.lit("USA")).when(fraud & ~large & ~risky, F.lit("BR"))
         .otherwise(pick("country", COUNTRIES)).alias("country"),
-        F.when(k.isin("velocity", "invalid", "overflow") | (fraud & ~large & ~risky), F.lit("CARD"))
+        F.when(k.isin("velocity", "invalid") | (fraud & ~large & ~risky), F.lit("CARD"))
         .otherwise(pick("method", METHODS)).alias("paymentMethod"),
         F.when(draw("channel", 1_000_000) / 10_000.0 < webhook_share, "webhook").otherwise("api").alias("channel"),
     )
