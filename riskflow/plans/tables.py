@@ -20,8 +20,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
+def transactions(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
     events = read(spark, folder, "events")
+    if streaming:
+        events = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("int")
     user = F.col("user_id")
     shrink = F.when(user % 2 == 0, 1440).otherwise(60)

@@ -43,7 +43,8 @@ def requests_for(
         raise ValueError(f"weights must add up to 100, got {sum(weights)}")
 
     def draw(salt: str, size: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(f"{seed}:{salt}"), F.col(id_col)), F.lit(size))
+        digest = F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col(id_col).cast("string")))
+        return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % size
 
     def between(salt: str, low: int, high: int) -> Column:
         return (draw(salt, high - low + 1) + low).cast("decimal(28,9)")

@@ -1,0 +1,74 @@
+"""Scoring in arrival order with a small state per user.
+
+The rules need only whether at least `n - 1` earlier transactions lie inside the window, that is, whether
+the (n-1)-th newest time seen so far does. So the state is those few times and the latest row: its size
+is fixed, however active the user is. A late event sees all history that arrived before it.
+
+All rows of a user in one micro-batch meet in one task, in pieces of bounded size. Where single users can
+fill a micro-batch, `jobs.score_stream` splits them and is the better choice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.history import micros
+from ..operators.rules import HIGH_VELOCITY, HIGH_VELOCITY_WEIGHT, Rule, RuleConfig, default_rules, evaluate
+
+_STATE = T.StructType(
+    [
+        T.StructField("times", T.ArrayType(T.LongType())),
+        T.StructField("last_us", T.LongType()),
+        T.StructField("last_seq", T.LongType()),
+        T.StructField("last_country", T.StringType()),
+    ]
+)
+
+
+def with_state(events: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
+    """Add `velocity`, `prev_country` and `prev_occurred_at` to a stream of events.
+
+    Rows are taken by `(occurred_at, seq)` inside a piece and in arrival order across pieces and batches.
+    """
+    width = micros(config.velocity_window)
+    needed = config.velocity_max_transactions - 1
+    rows = events.withColumn("_us", F.unix_micros("occurred_at"))
+    out = T.StructType(
+        [*rows.schema.fields, T.StructField("velocity", T.BooleanType()),
+         T.StructField("prev_country", T.StringType()), T.StructField("_prev_us", T.LongType())]
+    )
+
+    def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, last_us, last_seq, country = state.get if state.exists else ([], None, None, None)
+        newest = list(newest)
+        for piece in pieces:
+            piece = piece.sort_values(["_us", "seq"], kind="stable")
+            hits, countries, times = [], [], []
+            for us, seq, here in zip(piece["_us"].tolist(), piece["seq"].tolist(), piece["country"].tolist()):
+                hits.append(needed <= 0 or (len(newest) >= needed and newest[needed - 1] > us - width))
+                countries.append(country)
+                times.append(last_us)
+                newest = sorted([*newest, us], reverse=True)[: max(needed, 0)]
+                if last_us is None or (us, seq) > (last_us, last_seq):
+                    last_us, last_seq, country = us, seq, here
+            yield piece.assign(
+                velocity=hits, prev_country=pd.Series(countries, index=piece.index, dtype="object"),
+                _prev_us=pd.Series(times, index=piece.index, dtype="Int64"),
+            )
+        state.update((newest, last_us, last_seq, country))
+
+    done = rows.groupBy("user_id").applyInPandasWithState(step, out, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return done.withColumn("prev_occurred_at", F.timestamp_micros("_prev_us")).drop("_us", "_prev_us")
+
+
+def score_stateful(events: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
+    """Streaming decisions in arrival order: risk_score, fraudulent and reasons per event."""
+    velocity = Rule(HIGH_VELOCITY, F.col("velocity"), HIGH_VELOCITY_WEIGHT)
+    rules = [velocity if r.name == HIGH_VELOCITY else r for r in default_rules(config)]
+    return evaluate(with_state(events, config), rules, config.fraud_score_threshold)
