@@ -272,8 +272,8 @@ put("stage_funnel", SCORED, """
          count(*) FILTER (fraudulent AND event_type <> 'error') AS alerted, count(*) FILTER (event_type <> 'error') / count(*) AS coverage,
          count(*) FILTER (fraudulent AND event_type <> 'error') / greatest(1, count(*) FILTER (fraudulent AND event_type <> 'error')) AS conversion,
          count(*) FILTER (fraudulent AND event_type <> 'error') / count(*) AS fraud_ratio FROM scored""")
-put("attempt_numbers", f"items AS (SELECT l_orderkey, {ITEM} AS at FROM lineitem)",
-    "SELECT l_orderkey, at, row_number() OVER (PARTITION BY l_orderkey ORDER BY at) AS attempt FROM items")
+put("attempt_numbers", f"items AS (SELECT l_orderkey, {ITEM} AS item FROM lineitem)",
+    "SELECT l_orderkey, item, row_number() OVER (PARTITION BY l_orderkey ORDER BY item) AS attempt FROM items")
 
 # ------------------------------------------------------------------ alerts
 
@@ -454,7 +454,7 @@ def quantile(buckets: str, q: float, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     head, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     return f"""
-  SELECT {head}min(value) AS value FROM (
+  SELECT {head}min_by(value, le_n) AS value FROM (
     SELECT {head}le_n, n, CASE WHEN n >= {q} * total THEN
         CASE WHEN le_n = 'Infinity'::DOUBLE THEN lower_le
              ELSE lower_le + (le_n - lower_le) * ({q} * total - lower_n) / nullif(n - lower_n, 0) END END AS value FROM (
@@ -550,7 +550,7 @@ def rule_states(t0: int, t1: int) -> tuple[str, str]:
 from riskflow.plans.queries import _RULE_METRICS  # noqa: E402
 
 put("rule_states", samples(_RULE_METRICS) + ", " + rule_states(at(4), at(8))[0],
-    "SELECT us, rule, severity, labels, round(value, 6) AS value, state FROM states")
+    "SELECT us, rule, severity, labels, round(value, 9) AS value, state FROM states")
 
 # ------------------------------------------------------------------ dashboards
 

@@ -58,8 +58,9 @@ def to_columns(events: DataFrame) -> DataFrame:
 
 
 def to_payload(fields: list[str] | None = None, df: DataFrame | None = None) -> Column:
+    """The named fields as JSON text."""
     names = fields or [f.name for f in df.schema.fields]
-    return F.to_json(F.struct(*names))
+    return F.to_json(F.struct(*names), schemas.JSON_OPTIONS)
 
 
 def from_payload(value: Column | str, schema) -> Column:

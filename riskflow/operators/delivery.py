@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mapping import to_payload
 from .ordered import first_arrival
 
 
@@ -25,7 +26,7 @@ def route_dlq(df: DataFrame, reason: Column, topic: str) -> tuple[DataFrame, Dat
     marked = df.withColumn("error_code", reason)
     partition = F.col("partition") if "partition" in df.columns else F.lit(None).cast("int")
     fields = [c for c in df.columns if c not in ("key", "value", "partition")]
-    value = F.col("value") if "value" in df.columns else F.to_json(F.struct(*fields))
+    value = F.col("value") if "value" in df.columns else to_payload(fields)
     key = F.col("key") if "key" in df.columns else F.col("transaction_id")
     dead = marked.filter(F.col("error_code").isNotNull()).select(
         F.lit(f"{topic}.dlq").alias("topic"), partition.alias("partition"), key.cast("string").alias("key"),

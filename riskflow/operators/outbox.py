@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.mapping import derived_id
+from ..functions.mapping import derived_id, to_payload
 from ..functions.text import error_text, event_time, generated_hex, normalize_hex, traceparent, trim_to_null
 
 PENDING, PUBLISHED = "PENDING", "PUBLISHED"
@@ -38,7 +38,7 @@ def enqueue(
         F.col("eventId").alias("event_id"),
         F.lit(topic).alias("topic"),
         F.col("transactionId").alias("event_key"),
-        F.to_json(F.struct(*names)).alias("payload"),
+        to_payload(names).alias("payload"),
         traceparent(trace, span, sampled).alias("trace_parent"),
         trim_to_null(none if baggage is None else baggage).alias("baggage"),
         F.lit(PENDING).alias("status"),

@@ -277,11 +277,13 @@ def increase_steps(samples: DataFrame, by: Sequence[str], range_: timedelta, ste
                    limit: int | None = None) -> DataFrame:
     """Growth over the trailing range at every step `k` (time = k * step): columns k, labels, value.
 
+    `samples` may carry the deltas already (from `counter_delta`), so that several calls share one scan.
     A delta counts at the steps whose window holds both of its samples. Deltas with the same first and
     last step are added up before they are spread over their steps, so the spread works on aggregates.
     """
     width, stride = micros(range_), micros(step)
-    deltas = counter_delta(samples, limit).filter(F.col("delta").isNotNull())
+    known = samples if "delta" in samples.columns else counter_delta(samples, limit)
+    deltas = known.filter(F.col("delta").isNotNull())
     us, before = F.unix_micros("ts"), F.unix_micros("prev_ts")
 
     def up(value: Column) -> Column:  # smallest k with k * step >= value

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import labels, mapping, text, validation
 from ..operators import alerts as A
 from ..operators import counts as C
@@ -204,10 +205,8 @@ def user_hash(spark, folder):
 @query
 def payload_round_trip(spark, folder):
     """Every event to JSON and back; error events are encoded twice and repaired."""
-    from .. import schemas
-
     events = T.created_events(spark, folder)
-    once = F.to_json(F.struct(*(f.name for f in schemas.CREATED_EVENT.fields)))
+    once = mapping.to_payload([f.name for f in schemas.CREATED_EVENT.fields])
     quoted = F.regexp_replace(F.to_json(F.array(once)), r"^\[|\]$", "")
     sent = events.select(F.when(F.col("event_type") == "error", quoted).otherwise(once).alias("payload"))
     back = sent.select(mapping.from_payload(text.unwrap_json("payload"), schemas.CREATED_EVENT).alias("e"))
@@ -349,8 +348,8 @@ def stage_funnel(spark, folder):
 def attempt_numbers(spark, folder):
     """Line items of an order as its delivery attempts."""
     items = T.read(spark, folder, "lineitem").select(
-        "l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"))
-    return C.attempt_number(items, "l_orderkey", "at")
+        "l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item"))
+    return C.attempt_number(items, "l_orderkey", "item")
 
 
 # ------------------------------------------------------------------ alerts
@@ -697,9 +696,9 @@ _RULE_METRICS = [
 @query
 def rule_states(spark, folder):
     """All service-level rules over the middle hours, with a small denominator floor so that slow stages count."""
-    kept = settled(M.samples(spark, folder, _RULE_METRICS))
+    kept = M.samples(spark, folder, _RULE_METRICS)
     states = slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=_time(1, 4), t1=_time(1, 8))
-    return states.select(us("ts", "us"), "rule", "severity", "labels", F.round("value", 6).alias("value"), "state")
+    return states.select(us("ts", "us"), "rule", "severity", "labels", F.round("value", 9).alias("value"), "state")
 
 
 def _board(name: str) -> Query:
@@ -707,7 +706,6 @@ def _board(name: str) -> Query:
         kept = M.samples(spark, folder)
         states = None
         if name == "alerting":
-            kept = settled(kept)
             states = settled(slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=M.T0, t1=M.T1))
         board = panels.Board(kept, M.T0, M.T1, _RATE, states)
         return _value(panels.show(board, panels.BOARDS[name]))
@@ -832,8 +830,6 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_scored(spark, folder):
-    from .. import schemas
-
     out = _fresh_folder(spark)
     run = jobs.score_stream(_stream(spark, folder), f"{out}/history", f"{out}/decisions", f"{out}/checkpoint",
                             dlq_path=f"{out}/dlq")
@@ -863,12 +859,11 @@ def stream_alerts(spark, folder):
 @query
 def stream_dead_letters(spark, folder):
     """Dead letters reprocessed from a stream: what fails again ends in the failed folder."""
-    from .. import schemas
 
     out = _fresh_folder(spark)
     rows = T.created_events(spark, folder)
     broken = rows.withColumn("eventId", F.when(F.col("event_type") != "error", F.col("eventId")))
-    payload = F.to_json(F.struct(*(f.name for f in schemas.CREATED_EVENT.fields)))
+    payload = mapping.to_payload([f.name for f in schemas.CREATED_EVENT.fields])
     letters = broken.select(
         F.col("transactionId").alias("key"), F.when(F.col("event_type") != "signup", payload).alias("value"),
         F.lit("transactions.created.dlq").alias("topic"), F.lit(0).alias("partition"), F.col("seq").alias("offset"))

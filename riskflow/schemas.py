@@ -52,6 +52,9 @@ LOG_FIELDS = _schema(
     error_code=S, error_class=S,
 )
 
+# JSON keeps microseconds; the default of the JSON writer stops at milliseconds
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 # event field (as sent) -> column (as worked with)
 EVENT_COLUMNS = {
     "eventId": "event_id", "occurredAt": "occurred_at", "transactionId": "transaction_id", "traceId": "trace_id",

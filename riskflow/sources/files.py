@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.mapping import to_columns
+from ..functions.mapping import to_columns, to_payload
 
 CHANNELS = ("api", "webhook")
 TRANSACTIONS_TOPIC, FRAUD_TOPIC = "transactions.created", "fraud.detected"
@@ -73,7 +73,7 @@ def as_records(df: DataFrame, key: Column | str = "transactionId") -> DataFrame:
     """Key and JSON value of each event, ready for a sink; the value carries no type information."""
     return df.select(
         (F.col(key) if isinstance(key, str) else key).cast("string").alias("key"),
-        F.to_json(F.struct(*df.columns)).alias("value"),
+        to_payload(df=df).alias("value"),
     )
 
 
