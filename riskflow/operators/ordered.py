@@ -19,7 +19,7 @@ from ..session import rows_per_task
 
 MAX_CHUNKS = 16_384
 _SAMPLES_PER_CUT = 16
-_HASH_SPACE = 1 << 40
+_SIZE_SAMPLES = 2_000  # sampled rows that stand for one full chunk when key sizes are estimated
 
 
 @dataclass(frozen=True)
@@ -63,27 +63,26 @@ def cut_points(
 ) -> DataFrame | None:
     """Where to cut each oversized key along `order`; None when no key is oversized.
 
-    As in range partitioning, a sample decides only *where* the cuts lie. Every row is kept and every
-    choice of cuts gives the same result. The sample is picked by hash, so a recomputed task agrees.
+    As in range partitioning, samples decide only *which* keys are cut and *where*. Every row is kept, and
+    any choice of cuts gives the same result. What is collected is bounded by MAX_CHUNKS.
     """
     spark = df.sparkSession
     limit = limit or rows_per_task(spark)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    share = min(1.0, _SIZE_SAMPLES / limit)
+    seen = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=0)
+    sizes = seen.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(share)).alias("_rows"))
     total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     if largest is None or largest <= limit:
         return None
     limit = max(limit, -(-total // MAX_CHUNKS))
-    hot = sizes.filter(F.col("_rows") > limit)
-    chunks = F.ceil(F.col("_rows") / F.lit(limit))
-    # at most total/limit <= MAX_CHUNKS hot keys
-    marked = df.select(*keys, F.struct(*order).alias("_at")).join(
-        F.broadcast(hot.select(*(F.col(k).alias(f"_h_{k}") for k in keys), "_rows", chunks.alias("_chunks"))),
-        _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys]),
+    found = sizes.filter(F.col("_rows") > limit).select(
+        *(F.col(k).alias(f"_h_{k}") for k in keys), "_rows", F.ceil(F.col("_rows") / F.lit(limit)).alias("_chunks")
     )
-    share = F.col("_chunks") * _SAMPLES_PER_CUT / F.col("_rows")
-    picked = marked.filter(
-        F.pmod(F.xxhash64(*keys, "_at"), F.lit(_HASH_SPACE)) < share * F.lit(_HASH_SPACE)
+    hot = spark.createDataFrame(found.collect(), found.schema)  # at most total / limit <= MAX_CHUNKS keys
+    marked = df.select(*keys, F.struct(*order).alias("_at")).join(
+        F.broadcast(hot), _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
     )
+    picked = marked.filter(F.rand(seed=0) < F.col("_chunks") * _SAMPLES_PER_CUT / F.col("_rows"))
     sampled = picked.groupBy(*keys).agg(
         F.max("_chunks").alias("_chunks"), F.sort_array(F.collect_set("_at")).alias("_found")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .history import micros
-from .ordered import Running, numbered, prefix
+from .ordered import Running, prefix
 
 
 def series_key(name: str = "name", labels: str = "labels") -> Column:
@@ -23,25 +23,29 @@ def series_key(name: str = "name", labels: str = "labels") -> Column:
     return F.concat(F.col(name), F.lit("{"), F.array_join(text, ","), F.lit("}"))
 
 
-def match(samples: DataFrame, name: str | Sequence[str] | None = None, *, eq: dict | None = None,
-          ne: dict | None = None, re: dict | None = None, nre: dict | None = None) -> DataFrame:
-    """Label matchers. A missing label equals the empty string; patterns match the whole value."""
-    kept = samples
-    if name is not None:
-        kept = kept.filter(F.col("name").isin([name] if isinstance(name, str) else list(name)))
-
+def matches(name: str | Sequence[str] | None = None, *, eq: dict | None = None, ne: dict | None = None,
+            re: dict | None = None, nre: dict | None = None) -> Column:
+    """Label matchers as a condition. A missing label equals the empty string; patterns match the whole value."""
     def label(key: str) -> Column:
         return F.coalesce(F.col("labels")[key], F.lit(""))
 
+    found = F.lit(True)
+    if name is not None:
+        found = F.col("name").isin([name] if isinstance(name, str) else list(name))
     for key, value in (eq or {}).items():
-        kept = kept.filter(label(key) == value)
+        found = found & (label(key) == value)
     for key, value in (ne or {}).items():
-        kept = kept.filter(label(key) != value)
+        found = found & (label(key) != value)
     for key, pattern in (re or {}).items():
-        kept = kept.filter(label(key).rlike(f"^(?:{pattern})$"))
+        found = found & label(key).rlike(f"^(?:{pattern})$")
     for key, pattern in (nre or {}).items():
-        kept = kept.filter(~label(key).rlike(f"^(?:{pattern})$"))
-    return kept
+        found = found & ~label(key).rlike(f"^(?:{pattern})$")
+    return found
+
+
+def match(samples: DataFrame, name: str | Sequence[str] | None = None, **matchers) -> DataFrame:
+    """The samples (or series of a summary) that fit the matchers."""
+    return samples.filter(matches(name, **matchers))
 
 
 def label_values(samples: DataFrame, name: str, label: str, **matchers) -> DataFrame:
@@ -281,20 +285,29 @@ def increase_steps(samples: DataFrame, by: Sequence[str], range_: timedelta, ste
     A delta counts at the steps whose window holds both of its samples. Deltas with the same first and
     last step are added up before they are spread over their steps, so the spread works on aggregates.
     """
-    width, stride = micros(range_), micros(step)
     known = samples if "delta" in samples.columns else counter_delta(samples, limit)
     deltas = known.filter(F.col("delta").isNotNull())
-    us, before = F.unix_micros("ts"), F.unix_micros("prev_ts")
+    first, last = step_span(micros(range_), micros(step))
+    spans = deltas.select(*_labels(by), first.alias("_from"), last.alias("_to"), "delta")
+    return spread_steps(spans, by, F.sum("delta").alias("value"))
+
 
-    def up(value: Column) -> Column:  # smallest k with k * step >= value
+def step_span(width: int | Column, stride: int) -> tuple[Column, Column]:
+    """First and last step whose trailing window of `width` micros holds both samples of a delta."""
+    def up(value: Column) -> Column:  # smallest k with k * stride >= value
         return -F.floor(-value / F.lit(stride)).cast("long")
 
-    spans = deltas.select(
-        *_labels(by), up(us).alias("_from"), (up(before + width) - 1).alias("_to"), "delta"
-    ).filter(F.col("_from") <= F.col("_to"))
-    merged = spans.groupBy(*by, "_from", "_to").agg(F.sum("delta").alias("_delta"))
-    spread = merged.select(*by, F.explode(F.sequence("_from", "_to")).alias("k"), "_delta")
-    return spread.groupBy("k", *by).agg(F.sum("_delta").alias("value"))
+    return up(F.unix_micros("ts")), up(F.unix_micros("prev_ts") + width) - 1
+
+
+def spread_steps(spans: DataFrame, by: Sequence[str], *sums: Column) -> DataFrame:
+    """Add up rows with the same `_from` and `_to`, spread them over those steps and add up per step.
+    `sums` are sums named like the columns they read after the first pass."""
+    kept = spans.filter(F.col("_from") <= F.col("_to"))
+    merged = kept.groupBy(*by, "_from", "_to").agg(*sums)
+    names = [c for c in merged.columns if c not in (*by, "_from", "_to")]
+    spread = merged.select(*by, F.explode(F.sequence("_from", "_to")).alias("k"), *names)
+    return spread.groupBy("k", *by).agg(*(F.sum(n).alias(n) for n in names))
 
 
 def at_step(df: DataFrame, step: timedelta = timedelta(seconds=15)) -> DataFrame:
@@ -324,15 +337,17 @@ def sliding(df: DataFrame, ts: str, width: str, step: str, *by: str) -> DataFram
     return spread.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *by, "n")
 
 
-def persisted(df: DataFrame, flag: str, for_: timedelta, by: Sequence[str] = (), step: timedelta = timedelta(seconds=15),
+def persisted(df: DataFrame, flag: str, for_: timedelta | Column, by: Sequence[str] = (), step: timedelta = timedelta(seconds=15),
               limit: int | None = None, bound: int | None = None) -> DataFrame:
     """State of a condition evaluated at steps `k`: inactive, pending, or firing once it has held at every
-    step for `for_`. A step without a row breaks the run."""
-    held = df.filter(F.col(flag)).withColumn("k", F.col("k").cast("long"))
-    counted = numbered(held, list(by), ["k"], "_n", limit=limit, bound=bound)
-    runs = counted.withColumn("_run", F.col("k") - F.col("_n"))
-    starts = runs.groupBy(*by, "_run").agg(F.min("k").alias("_since"))
-    state = F.when((F.col("k") - F.col("_since")) * micros(step) >= micros(for_), "firing").otherwise("pending")
-    active = runs.join(starts, [*by, "_run"]).withColumn("state", state).drop("_n", "_run", "_since")
-    quiet = df.filter(~F.coalesce(F.col(flag), F.lit(False))).withColumn("state", F.lit("inactive"))
-    return active.unionByName(quiet.withColumn("k", F.col("k").cast("long")))
+    step for `for_` (a duration, or a column of microseconds). A step without a row breaks the run."""
+    hold = F.lit(micros(for_)) if isinstance(for_, timedelta) else for_
+    rows = df.withColumns({"k": F.col("k").cast("long"), "_held": F.coalesce(F.col(flag), F.lit(False))})
+    same = dict(limit=limit, bound=bound)
+    behind = prefix(rows, list(by), ["k"], [Running("_before", "last", F.struct("k", "_held"))], **same)
+    goes_on = F.col("_before._held") & (F.col("_before.k") == F.col("k") - 1)
+    starts = F.when(F.col("_held") & ~F.coalesce(goes_on, F.lit(False)), F.col("k"))
+    since = prefix(behind, list(by), ["k"], [Running("_since", "last", starts, inclusive=True)], **same)
+    lasted = (F.col("k") - F.col("_since")) * micros(step)
+    state = F.when(~F.col("_held"), "inactive").when(lasted >= hold, "firing").otherwise("pending")
+    return since.withColumn("state", state).drop("_held", "_before", "_since")

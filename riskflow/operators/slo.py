@@ -1,140 +1,160 @@
-"""Service-level rules evaluated on a grid of steps, with persistence."""
+"""Service-level rules evaluated on a grid of steps, with persistence.
+
+All rules are evaluated in one pass: a delta is marked with every rule side it belongs to, the growth per
+rule, side, labels and step comes from one aggregation, and one scan per rule and labels finds the runs.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
 from .history import micros
-from .series import at_step, counter_delta, increase_steps, match, persisted, rate_steps, safe_ratio
+from .series import at_step, counter_delta, matches, persisted, spread_steps, step_span
 
 STEP = timedelta(seconds=15)
 
 
 @dataclass(frozen=True)
 class SloRule:
-    """`vector(samples, step)` gives `(k, labels, value)`; the rule breaches above or below `limit`."""
+    """A rule on the growth of a counter, or on the ratio of two rates, over a trailing range.
+
+    `num` and `den` are keyword arguments of `series.matches`. Without `den` the value is the growth of
+    `num`; with it, the rate of `num` over the rate of `den`, the latter not below `floor`. `by` are the
+    labels kept apart (`series`: each series by itself).
+    """
 
     name: str
-    vector: Callable[[DataFrame, timedelta], DataFrame]
+    num: dict
     breach: str  # ">" or "<"
     limit: float
+    range_: timedelta
     for_: timedelta
     severity: str
+    den: dict | None = None
     by: Sequence[str] = ()
-    reach: timedelta = timedelta(minutes=10)
-    metrics: Sequence[str] = ()  # what `vector` reads; empty means anything
-
+    floor: float = 1.0
+    require_positive: bool = False
 
-def _ratio(num, den, range_: timedelta, by: Sequence[str] = (), positive: bool = False, floor: float = 1.0):
-    """`num` and `den` are keyword arguments of `match`; rates over `range_`, joined per step and label."""
+    def sides(self) -> list[tuple[int, Column]]:
+        return [(i, matches(**m)) for i, m in enumerate((self.num, self.den)) if m is not None]
 
-    def vector(samples: DataFrame, step: timedelta) -> DataFrame:
-        parts = [rate_steps(match(samples, **m), by, range_, step) for m in (num, den)]
-        return safe_ratio(*parts, on=["k", *by], floor=floor, require_positive=positive)
+    def label_text(self) -> Column:
+        parts = [
+            F.col("series") if b == "series" else F.concat(F.lit(f"{b}="), F.coalesce(F.col("labels")[b], F.lit("")))
+            for b in self.by
+        ]
+        return F.concat_ws(",", *parts) if parts else F.lit("")
 
-    return vector
+    def value(self) -> Column:
+        if self.den is None:
+            return F.col("num")
+        seconds = self.range_.total_seconds()
+        return F.col("num") / seconds / F.greatest(F.col("den") / seconds, F.lit(float(self.floor)))
 
-
-def _growth(name: str, range_: timedelta, by: Sequence[str]):
-    def vector(samples: DataFrame, step: timedelta) -> DataFrame:
-        return increase_steps(match(samples, name), by, range_, step)
-
-    return vector
+    def breached(self, value: Column) -> Column:
+        return value > self.limit if self.breach == ">" else value < self.limit
 
 
 def standard_rules(floor: float = 1.0) -> list[SloRule]:
-    """The eight rules. Ratios divide per-second rates, and `floor` keeps the denominator from going below
-    it: with the default of 1 a stage slower than one event per second reads lower than it is."""
-    m1, m5, m10 = (timedelta(minutes=m) for m in (1, 5, 10))
+    """The eight rules. With the default floor of 1 a stage slower than one event per second reads lower
+    than it is."""
+    m0, m1, m5, m10, m15 = (timedelta(minutes=m) for m in (0, 1, 5, 10, 15))
     app = ["application"]
-
-    def mean(name: str) -> Callable:
-        return _ratio(dict(name=f"{name}_sum"), dict(name=f"{name}_count"), m10, app, floor=floor)
-
     published = dict(name="transaction_events_published_total", eq={"outcome": "success"})
     frauds = dict(name="fraud_decisions_total", eq={"decision": "fraud"})
+    alerts = dict(name="fraud_alerts_total")
     notified = "fraud_alert_notifications_total"
-    evaluated, sent = "fraud_evaluation_latency_seconds", "fraud_alert_notification_latency_seconds"
+
+    def mean(rule: str, metric: str, seconds: float) -> SloRule:
+        num, den = dict(name=f"{metric}_sum"), dict(name=f"{metric}_count")
+        return SloRule(rule, num, ">", seconds, m10, m10, "warning", den, app, floor)
+
+    def growth(rule: str, metric: str, range_: timedelta, severity: str, by: Sequence[str]) -> SloRule:
+        return SloRule(rule, dict(name=metric), ">", 0, range_, m0, severity, by=by)
+
     return [
-        SloRule("FraudAlertDetected", _growth("fraud_alerts_total", m1, ["series"]), ">", 0, timedelta(0),
-                "warning", ["series"], m1, ["fraud_alerts_total"]),
-        SloRule("FraudPipelineCoverageSLOViolation",
-                _ratio(dict(name="fraud_decisions_total"), published, m5, positive=True, floor=floor),
-                "<", 0.95, m10, "critical", reach=m5, metrics=["fraud_decisions_total", published["name"]]),
+        growth("FraudAlertDetected", "fraud_alerts_total", m1, "warning", ["series"]),
+        SloRule("FraudPipelineCoverageSLOViolation", dict(name="fraud_decisions_total"), "<", 0.95, m5, m10, "critical",
+                published, floor=floor, require_positive=True),
         # both sides are summed over all applications: alerts and decisions come from different services
-        SloRule("FraudToAlertConversionSLOViolation",
-                _ratio(dict(name="fraud_alerts_total"), frauds, m10, floor=floor),
-                "<", 0.98, timedelta(minutes=15), "critical", metrics=["fraud_alerts_total", frauds["name"]]),
-        SloRule("NotificationFailureRateHigh",
-                _ratio(dict(name=notified, eq={"outcome": "failed"}),
-                       dict(name=notified, re={"outcome": "success|failed"}), m10, app, floor=floor),
-                ">", 0.05, m10, "warning", app, metrics=[notified]),
-        SloRule("FraudEvaluationLatencyHigh", mean(evaluated), ">", 0.25, m10, "warning", app,
-                metrics=[f"{evaluated}_sum", f"{evaluated}_count"]),
-        SloRule("AlertNotificationLatencyHigh", mean(sent), ">", 1.5, m10, "warning", app,
-                metrics=[f"{sent}_sum", f"{sent}_count"]),
-        SloRule("KafkaDlqTrafficDetected", _growth("kafka_dlq_events_received_total", m5, app), ">", 0, timedelta(0),
-                "warning", app, m5, ["kafka_dlq_events_received_total"]),
-        SloRule("KafkaDlqReprocessFailed", _growth("kafka_dlq_events_failed_total", m5, app), ">", 0, timedelta(0),
-                "critical", app, m5, ["kafka_dlq_events_failed_total"]),
+        SloRule("FraudToAlertConversionSLOViolation", alerts, "<", 0.98, m10, m15, "critical", frauds, floor=floor),
+        SloRule("NotificationFailureRateHigh", dict(name=notified, eq={"outcome": "failed"}), ">", 0.05, m10, m10, "warning",
+                dict(name=notified, re={"outcome": "success|failed"}), app, floor),
+        mean("FraudEvaluationLatencyHigh", "fraud_evaluation_latency_seconds", 0.25),
+        mean("AlertNotificationLatencyHigh", "fraud_alert_notification_latency_seconds", 1.5),
+        growth("KafkaDlqTrafficDetected", "kafka_dlq_events_received_total", m5, "warning", app),
+        growth("KafkaDlqReprocessFailed", "kafka_dlq_events_failed_total", m5, "critical", app),
     ]
 
 
-def evaluate_rule(
-    samples: DataFrame, rule: SloRule, step: timedelta = STEP, t0: datetime | None = None, t1: datetime | None = None
-) -> DataFrame:
-    """(ts, rule, severity, labels, value, state) for every step at which the rule has a value.
+def _per_rule(rules: Sequence[SloRule], make) -> Column:
+    """The column `make(rule)` of the row's own rule."""
+    out = None
+    for i, rule in enumerate(rules):
+        out = F.when(F.col("rule_no") == i, make(rule)) if out is None else out.when(F.col("rule_no") == i, make(rule))
+    return out
+
+
+def evaluate_rules(samples: DataFrame, rules: Sequence[SloRule] | None = None, step: timedelta = STEP,
+                   t0: datetime | None = None, t1: datetime | None = None) -> DataFrame:
+    """(ts, rule, severity, labels, value, state) for every step at which a rule has a value; `state` is
+    inactive, pending or firing.
 
     With `t0` and `t1` only those steps are evaluated and only the samples they reach are read.
-    `samples` may carry deltas already, as `evaluate_rules` arranges.
     """
+    rules = list(rules or standard_rules())
+    used = F.lit(False)
+    for rule in rules:
+        for _, fits in rule.sides():
+            used = used | fits
+    kept = samples.filter(used)
     bound = None
     if t0 is not None and t1 is not None:
-        samples = samples.filter((F.col("ts") > F.lit(t0 - rule.reach)) & (F.col("ts") <= F.lit(t1)))
-        if "delta" in samples.columns:
-            samples = samples.filter(F.col("prev_ts") > F.lit(t0 - rule.reach))
+        longest = max(rule.range_ for rule in rules)
+        kept = kept.filter((F.col("ts") > F.lit(t0 - longest)) & (F.col("ts") <= F.lit(t1)))
         bound = micros(t1 - t0) // micros(step) + 1
-    values = rule.vector(samples, step)
+    deltas = counter_delta(kept).filter(F.col("delta").isNotNull())
+    marks = [
+        F.when(fits, F.struct(F.lit(no).alias("rule_no"), F.lit(side).alias("side"), rule.label_text().alias("label_text"),
+                              F.lit(micros(rule.range_)).alias("width")))
+        for no, rule in enumerate(rules)
+        for side, fits in rule.sides()
+    ]
+    marked = deltas.select("ts", "prev_ts", "delta", F.explode(F.array_compact(F.array(*marks))).alias("_m"))
+    first, last = step_span(F.col("_m.width"), micros(step))
     if bound is not None:
-        first, last = -(-_us(t0) // micros(step)), _us(t1) // micros(step)
-        values = values.filter(F.col("k").between(first, last))
-    breach = F.col("value") > rule.limit if rule.breach == ">" else F.col("value") < rule.limit
-    states = persisted(values.withColumn("_breach", breach), "_breach", rule.for_, rule.by, step, bound=bound)
-    pairs = [F.concat(F.lit(f"{b}="), F.col(b)) if b != "series" else F.col(b) for b in rule.by]
+        first = F.greatest(first, F.lit(-(-_us(t0) // micros(step))))
+        last = F.least(last, F.lit(_us(t1) // micros(step)))
+    by = ["rule_no", "label_text"]
+    spans = marked.select(
+        "_m.rule_no", "_m.label_text", first.alias("_from"), last.alias("_to"),
+        F.when(F.col("_m.side") == 0, F.col("delta")).alias("num"), F.when(F.col("_m.side") == 1, F.col("delta")).alias("den"),
+    )
+    grown = spread_steps(spans, by, F.sum("num").alias("num"), F.sum("den").alias("den"))
+    both = F.col("num").isNotNull() & _per_rule(rules, lambda r: F.lit(r.den is None) | F.col("den").isNotNull())
+    positive = _per_rule(rules, lambda r: F.lit(not r.require_positive) | (F.col("den") > 0))
+    valued = grown.filter(both & positive).withColumn("value", _per_rule(rules, SloRule.value))
+    flagged = valued.withColumn("_breach", _per_rule(rules, lambda r: r.breached(F.col("value"))))
+    hold = _per_rule(rules, lambda r: F.lit(micros(r.for_)))
+    states = persisted(flagged, "_breach", hold, by, step, bound=bound)
     return at_step(states, step).select(
-        "ts", F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"),
-        (F.concat_ws(",", *pairs) if pairs else F.lit("")).alias("labels"), "value", "state",
+        "ts", _per_rule(rules, lambda r: F.lit(r.name)).alias("rule"),
+        _per_rule(rules, lambda r: F.lit(r.severity)).alias("severity"), F.col("label_text").alias("labels"), "value", "state",
     )
 
 
-def _us(t: datetime) -> int:
-    from datetime import timezone
-
-    return int(t.replace(tzinfo=t.tzinfo or timezone.utc).timestamp()) * 1_000_000 + t.microsecond
+def evaluate_rule(samples: DataFrame, rule: SloRule, step: timedelta = STEP, t0: datetime | None = None,
+                  t1: datetime | None = None) -> DataFrame:
+    return evaluate_rules(samples, [rule], step, t0, t1)
 
 
-def evaluate_rules(samples: DataFrame, rules: Sequence[SloRule] | None = None, step: timedelta = STEP,
-                   t0: datetime | None = None, t1: datetime | None = None) -> DataFrame:
-    """All rules in one table. The growth between samples is worked out once, in one scan per series, and
-    written to the shared folder for all of them."""
-    rules = rules or standard_rules()
-    if all(rule.metrics for rule in rules):
-        samples = match(samples, [name for rule in rules for name in rule.metrics])
-    if t0 is not None and t1 is not None:
-        longest = max(rule.reach for rule in rules)
-        samples = samples.filter((F.col("ts") > F.lit(t0 - longest)) & (F.col("ts") <= F.lit(t1)))
-    deltas = settled(counter_delta(samples).filter(F.col("delta").isNotNull()))
-    states = [evaluate_rule(deltas, rule, step, t0, t1) for rule in rules]
-    out = states[0]
-    for more in states[1:]:
-        out = out.unionByName(more)
-    return out
+def _us(t: datetime) -> int:
+    return round(t.replace(tzinfo=t.tzinfo or timezone.utc).timestamp() * 1_000_000)
 
 
 def firing(states: DataFrame, names: Sequence[str] | None = None, at: datetime | None = None) -> DataFrame:
