@@ -143,6 +143,7 @@ def put(name: str, tables: str, select: str) -> None:
 put("score_transactions", SCORED,
     "SELECT event_id, user_id, CAST(prior_count AS BIGINT) AS prior_count, risk_score, fraudulent, reasons FROM scored")
 SQL["stream_scored"] = SQL["score_transactions"]
+put("stream_stateful", SCORED, "SELECT event_id, coalesce(prev_country, '') AS prev_country, risk_score, reasons FROM scored")
 put("velocity_count", SCORED, "SELECT seq, CAST(prior_count AS BIGINT) AS prior_count FROM scored")
 put("trailing_ten_minutes", TX, """
   SELECT seq, CAST(count(*) OVER (PARTITION BY country ORDER BY us RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)

@@ -838,6 +838,19 @@ def stream_scored(spark, folder):
         "event_id", "user_id", "prior_count", "risk_score", "fraudulent", joined("reasons", "reasons"))
 
 
+@query
+def stream_stateful(spark, folder):
+    """The scorer with a small state per user, in arrival order."""
+    from ..streaming import stateful
+
+    out = _fresh_folder(spark)
+    done = stateful.score_stateful(_stream(spark, folder)).select(
+        "event_id", F.coalesce("prev_country", F.lit("")).alias("prev_country"), "risk_score", joined("reasons", "reasons"))
+    run = done.writeStream.format("parquet").option("path", f"{out}/decisions").option("checkpointLocation", f"{out}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/decisions")
+
+
 @query
 def stream_alerts(spark, folder):
     """Fraud events as a stream into the alert table, notifications included."""

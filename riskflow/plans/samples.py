@@ -130,24 +130,34 @@ def samples(spark: SparkSession, folder: str, names: list[str] | None = None) ->
         "event_type", "value", (F.col("user_id") % NODES).alias("node"),
         F.expr(f"{BASE_US} + (unix_micros(cast(ts as timestamp)) - {BASE_US}) div {SHRINK}").alias("us"),
     )
+    # events shrink to one row per type, node and step before they are multiplied by the metrics they move
     slot = F.ceil(F.col("us") / F.lit(STEP_US)).cast("long")
-    step = F.when(F.col("unit") == "one", F.lit(1000)).when(F.col("unit") == "value", F.round(F.col("value") * 1000)).otherwise(
-        F.round("value")
+    tops = sorted({m["top"] for m in wanted if m["top"] is not None})
+    counted = events.groupBy("event_type", "node", slot.alias("slot")).agg(
+        (F.count(F.lit(1)) * 1000).alias("one"),
+        F.sum(F.round(F.col("value") * 1000).cast("long")).alias("value"),
+        F.sum(F.round("value").cast("long")).alias("ms"),
+        *((F.count(F.when(F.col("value") <= top, 1)) * 1000).alias(f"upto_{i}") for i, top in enumerate(tops)),
+    )
+    step = F.when(F.col("unit") == "value", F.col("value")).when(F.col("unit") == "ms", F.col("ms"))
+    for i, top in enumerate(tops):
+        step = step.when(F.col("top") == top, F.nullif(F.col(f"upto_{i}"), F.lit(0)))
+    moved = counted.join(F.broadcast(table), "event_type").withColumn(
+        "step", step.when(F.col("top").isNull(), F.col("one"))
     )
     node = F.concat(F.lit("node-"), F.col("node").cast("string"))
-    moved = events.join(F.broadcast(table), "event_type").filter("top is null or value <= top")
     text = F.replace(F.col("labels_text"), F.lit("partition=*"), F.concat(F.lit("partition="), F.col("node").cast("string")))
-    per_step = moved.groupBy("name", text.alias("text"), node.alias("instance"), slot.alias("slot")).agg(
-        F.sum(step.cast("long")).alias("step")
+    per_step = moved.filter("step is not null").groupBy("name", text.alias("text"), node.alias("instance"), "slot").agg(
+        F.sum("step").alias("step")
     )
     restart = int(RESTART.timestamp()) * 1_000_000 // STEP_US
     lives = per_step.withColumn("life", ((F.col("instance") == RESTARTED) & (F.col("slot") >= restart)).cast("int"))
-    counted = prefix(
+    running = prefix(
         lives, ["name", "text", "instance", "life"], ["slot"], [Running("total", "sum", F.col("step"), inclusive=True)],
         # a series has one row per step, so its length is bounded by the 30 compressed days
         bound=31 * 86_400 * 1_000_000 // SHRINK // STEP_US,
     )
-    return counted.select(
+    return running.select(
         F.timestamp_micros(F.col("slot") * STEP_US).alias("ts"),
         "name",
         F.map_concat(F.expr("str_to_map(text, ',', '=')"), F.create_map(F.lit("instance"), F.col("instance"))).alias("labels"),

@@ -19,6 +19,8 @@ def build_session(app: str = "riskflow", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # a failing task is tried four times; rows that can never succeed go to the dead letters instead
+        .config("spark.task.maxFailures", "4")
         .config("spark.ui.enabled", "false")
     )
     if master:

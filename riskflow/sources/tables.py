@@ -63,8 +63,13 @@ def append_alerts(df: DataFrame, path: str, batch_id: int) -> None:
     put_batch(df.select(*names), path, batch_id, F.col("created_at"))
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.ALERT).drop("batch_id", "day")
+def read_alerts(spark: SparkSession, path: str, t0=None, t1=None) -> DataFrame:
+    """Stored alerts; with a time range (both ends included) only the days it touches are read."""
+    from ..operators.alerts import in_range
+
+    table = read_table(spark, path, schemas.ALERT)
+    table = in_range(table, "day", t0 and t0.date(), t1 and t1.date())
+    return in_range(table, "created_at", t0, t1).drop("batch_id", "day")
 
 
 def expire_table(spark: SparkSession, path: str, schema: T.StructType, ts: str, cutoff, target: str) -> None:

@@ -70,6 +70,8 @@ def test_alert_and_transaction_tables(spark, tmp_path):
     for _ in range(2):
         tables.append_alerts(alert, str(tmp_path / "a"), 4)
     assert tables.read_alerts(spark, str(tmp_path / "a")).count() == 1
+    assert tables.read_alerts(spark, str(tmp_path / "a"), at(0), at(5)).count() == 1
+    assert tables.read_alerts(spark, str(tmp_path / "a"), at(1), None).count() == 0
     tx = spark.createDataFrame([("t", "u", None, "USD", "m", "US", "CARD", at(0))], schemas.TRANSACTION)
     tables.append_transactions(tx, str(tmp_path / "t"), 0)
     assert (tmp_path / "t" / "batch_id=0" / "day=2024-01-01").is_dir()
