@@ -54,10 +54,12 @@ def label_values(samples: DataFrame, name: str, label: str, **matchers) -> DataF
     return found.filter("value is not null and value <> ''").distinct()
 
 
-def counter_delta(samples: DataFrame, limit: int | None = None) -> DataFrame:
-    """Add the previous sample of the series and the growth since; a smaller value is a restart from 0."""
+def counter_delta(samples: DataFrame, limit: int | None = None, bound: int | None = None) -> DataFrame:
+    """Add the previous sample of the series and the growth since; a smaller value is a restart from 0.
+    `bound` is a proven upper limit of samples per series, if there is one."""
     keyed = samples.withColumn("series", series_key())
-    done = prefix(keyed, ["series"], ["ts"], [Running("_prev", "last", F.struct("ts", "value"))], limit=limit)
+    before = Running("_prev", "last", F.struct("ts", "value"))
+    done = prefix(keyed, ["series"], ["ts"], [before], limit=limit, bound=bound)
     before, value = F.col("_prev.value"), F.col("value")
     return done.withColumns(
         {
@@ -75,24 +77,33 @@ def _labels(by: Sequence[str]) -> list[Column]:
     ]
 
 
+def samples_within(width: timedelta, scrape: timedelta | None) -> int | None:
+    """Most samples a series can have in a time range when scrapes are at least `scrape` apart."""
+    return None if scrape is None else micros(width) // micros(scrape) + 1
+
+
 def in_window(samples: DataFrame, t0: datetime, t1: datetime) -> DataFrame:
     """Samples in `(t0, t1]`."""
     return samples.filter((F.col("ts") > F.lit(t0)) & (F.col("ts") <= F.lit(t1)))
 
 
 def summarise(samples: DataFrame, t0: datetime, t1: datetime, rate_interval: timedelta = timedelta(minutes=1),
-              extrapolate: bool = False, limit: int | None = None) -> DataFrame:
+              extrapolate: bool = False, limit: int | None = None, scrape: timedelta | None = None) -> DataFrame:
     """One row per series for `(t0, t1]`: growth over the range (`increase`), per-second growth over the
     last `rate_interval` (`rate`), growth per second between the last two samples of the last minute
     (`irate`), and the latest value (`gauge`).
 
+    `scrape` is the smallest distance between two samples of a series, if known: it bounds their number
+    and saves the search for oversized series.
+
     With `extrapolate` the growth is stretched to the edges of its window, as far as the spacing of the
     samples allows and never below zero at the start; otherwise it is the plain sum of the deltas.
     """
     span = (t1 - t0).total_seconds()
     seconds = rate_interval.total_seconds()
     rate_from, irate_from = t1 - rate_interval, t1 - timedelta(minutes=1)
-    deltas = counter_delta(in_window(samples, min(t0, rate_from, irate_from), t1), limit)
+    start = min(t0, rate_from, irate_from)
+    deltas = counter_delta(in_window(samples, start, t1), limit, samples_within(t1 - start, scrape))
 
     def grown(start: datetime) -> Column:
         return F.sum(F.when(F.col("prev_ts") > F.lit(start), F.col("delta")))
@@ -294,8 +305,8 @@ def increase_steps(samples: DataFrame, by: Sequence[str], range_: timedelta, ste
 
 def step_span(width: int | Column, stride: int) -> tuple[Column, Column]:
     """First and last step whose trailing window of `width` micros holds both samples of a delta."""
-    def up(value: Column) -> Column:  # smallest k with k * stride >= value
-        return -F.floor(-value / F.lit(stride)).cast("long")
+    def up(value: Column) -> Column:  # smallest k with k * stride >= value, in whole numbers
+        return ((value + F.pmod(-value, F.lit(stride))) / F.lit(stride)).cast("long")
 
     return up(F.unix_micros("ts")), up(F.unix_micros("prev_ts") + width) - 1
 

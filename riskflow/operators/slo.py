@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .history import micros
-from .series import at_step, counter_delta, matches, persisted, spread_steps, step_span
+from .series import at_step, counter_delta, matches, persisted, samples_within, spread_steps, step_span
 
 STEP = timedelta(seconds=15)
 
@@ -101,11 +101,13 @@ def _per_rule(rules: Sequence[SloRule], make) -> Column:
 
 
 def evaluate_rules(samples: DataFrame, rules: Sequence[SloRule] | None = None, step: timedelta = STEP,
-                   t0: datetime | None = None, t1: datetime | None = None) -> DataFrame:
+                   t0: datetime | None = None, t1: datetime | None = None,
+                   scrape: timedelta | None = None) -> DataFrame:
     """(ts, rule, severity, labels, value, state) for every step at which a rule has a value; `state` is
     inactive, pending or firing.
 
-    With `t0` and `t1` only those steps are evaluated and only the samples they reach are read.
+    With `t0` and `t1` only those steps are evaluated and only the samples they reach are read. `scrape`
+    is the smallest distance between two samples of a series, if known.
     """
     rules = list(rules or standard_rules())
     used = F.lit(False)
@@ -113,12 +115,13 @@ def evaluate_rules(samples: DataFrame, rules: Sequence[SloRule] | None = None, s
         for _, fits in rule.sides():
             used = used | fits
     kept = samples.filter(used)
-    bound = None
+    bound = most = None
     if t0 is not None and t1 is not None:
         longest = max(rule.range_ for rule in rules)
         kept = kept.filter((F.col("ts") > F.lit(t0 - longest)) & (F.col("ts") <= F.lit(t1)))
         bound = micros(t1 - t0) // micros(step) + 1
-    deltas = counter_delta(kept).filter(F.col("delta").isNotNull())
+        most = samples_within(t1 - t0 + longest, scrape)
+    deltas = counter_delta(kept, bound=most).filter(F.col("delta").isNotNull())
     marks = [
         F.when(fits, F.struct(F.lit(no).alias("rule_no"), F.lit(side).alias("side"), rule.label_text().alias("label_text"),
                               F.lit(micros(rule.range_)).alias("width")))

@@ -34,8 +34,8 @@ class Board:
     def __init__(self, samples: DataFrame, t0: datetime, t1: datetime,
                  rate_interval: timedelta = timedelta(minutes=1), states: DataFrame | None = None,
                  application: str = ".*", topic: str = ".*", consumergroup: str = ".*", database: str = ".*",
-                 service: str = ".*", extrapolate: bool = False):
-        self.summary = settled(S.summarise(samples, t0, t1, rate_interval, extrapolate))
+                 service: str = ".*", extrapolate: bool = False, scrape: timedelta | None = None):
+        self.summary = settled(S.summarise(samples, t0, t1, rate_interval, extrapolate, scrape=scrape))
         self.states, self.t1 = states, t1
         self.app, self.topic, self.group, self.database, self.service = (
             application, topic, consumergroup, database, service,

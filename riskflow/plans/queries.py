@@ -579,13 +579,13 @@ def _value(df: DataFrame) -> DataFrame:
 @query
 def metric_increase(spark, folder):
     kept = M.samples(spark, folder, ["transaction_events_published_total"])
-    return _value(series.increase(kept, ["outcome"], M.T0, M.T1))
+    return _value(series.increase(kept, ["outcome"], M.T0, M.T1, scrape=M.SCRAPE))
 
 
 @query
 def metric_increase_extrapolated(spark, folder):
     kept = M.samples(spark, folder, ["transaction_events_published_total"])
-    return _value(series.increase(kept, ["outcome"], M.T0, M.T1, extrapolate=True))
+    return _value(series.increase(kept, ["outcome"], M.T0, M.T1, extrapolate=True, scrape=M.SCRAPE))
 
 
 @query
@@ -606,13 +606,13 @@ def metric_gauge(spark, folder):
 @query
 def metric_mean_latency(spark, folder):
     base = "fraud_evaluation_latency_seconds"
-    summary = series.summarise(M.samples(spark, folder, [f"{base}_sum", f"{base}_count"]), M.T0, M.T1)
+    summary = series.summarise(M.samples(spark, folder, [f"{base}_sum", f"{base}_count"]), M.T0, M.T1, scrape=M.SCRAPE)
     return _value(series.mean_latency(summary, base, ["application"], factor=1000))
 
 
 @query
 def metric_fraud_ratio(spark, folder):
-    summary = series.summarise(M.samples(spark, folder, ["fraud_decisions_total", "fraud_alerts_total"]), M.T0, M.T1)
+    summary = series.summarise(M.samples(spark, folder, ["fraud_decisions_total", "fraud_alerts_total"]), M.T0, M.T1, scrape=M.SCRAPE)
     return _value(series.safe_ratio(
         series.total(series.match(summary, "fraud_alerts_total"), "increase"),
         series.total(series.match(summary, "fraud_decisions_total", eq={"decision": "fraud"}), "increase"),
@@ -621,14 +621,14 @@ def metric_fraud_ratio(spark, folder):
 
 @query
 def metric_p95(spark, folder):
-    summary = series.summarise(M.samples(spark, folder, ["http_server_requests_seconds_bucket"]), M.T0, M.T1)
+    summary = series.summarise(M.samples(spark, folder, ["http_server_requests_seconds_bucket"]), M.T0, M.T1, scrape=M.SCRAPE)
     return _value(series.histogram_quantile(series.total(summary, "increase", ["le", "uri"]), 0.95, ["uri"]))
 
 
 @query
 def metric_consumer_lag(spark, folder):
     names = ["kafka_topic_partition_current_offset", "kafka_consumergroup_current_offset"]
-    summary = series.summarise(M.samples(spark, folder, names), M.T0, M.T1)
+    summary = series.summarise(M.samples(spark, folder, names), M.T0, M.T1, scrape=M.SCRAPE)
     place = ["topic", "partition", "instance", "job"]
     end = series.latest_vector(summary, names[0], place)
     done = series.latest_vector(summary, names[1], [*place, "consumergroup"])
@@ -651,7 +651,7 @@ def metric_match(spark, folder):
 def metric_or(spark, folder):
     """Failed publications per application, or the received dead letters where there are none."""
     names = ["transaction_events_published_total", "kafka_dlq_events_received_total"]
-    summary = series.summarise(M.samples(spark, folder, names), M.T0, M.T1)
+    summary = series.summarise(M.samples(spark, folder, names), M.T0, M.T1, scrape=M.SCRAPE)
     a = series.total(series.match(summary, names[0], eq={"outcome": "failed"}), "increase", ["application"])
     b = series.total(series.match(summary, names[1]), "increase", ["application"])
     return _value(series.vector_or(a, b, ["application"]))
@@ -697,7 +697,7 @@ _RULE_METRICS = [
 def rule_states(spark, folder):
     """All service-level rules over the middle hours, with a small denominator floor so that slow stages count."""
     kept = M.samples(spark, folder, _RULE_METRICS)
-    states = slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=_time(1, 4), t1=_time(1, 8))
+    states = slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=_time(1, 4), t1=_time(1, 8), scrape=M.SCRAPE)
     return states.select(us("ts", "us"), "rule", "severity", "labels", F.round("value", 9).alias("value"), "state")
 
 
@@ -706,8 +706,8 @@ def _board(name: str) -> Query:
         kept = M.samples(spark, folder)
         states = None
         if name == "alerting":
-            states = settled(slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=M.T0, t1=M.T1))
-        board = panels.Board(kept, M.T0, M.T1, _RATE, states)
+            states = settled(slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=M.T0, t1=M.T1, scrape=M.SCRAPE))
+        board = panels.Board(kept, M.T0, M.T1, _RATE, states, scrape=M.SCRAPE)
         return _value(panels.show(board, panels.BOARDS[name]))
 
     return run

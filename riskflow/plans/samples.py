@@ -5,7 +5,7 @@ Time is compressed by 60, counters are scraped on a 15 s grid, and one instance
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ..operators.ordered import Running, prefix
 from .tables import BASE_US, read
 
 STEP_US = 15_000_000
+SCRAPE = timedelta(microseconds=STEP_US)
 SHRINK = 60
 NODES = 4
 RESTARTED = "node-1"
