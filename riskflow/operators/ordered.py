@@ -194,9 +194,9 @@ def latest_arrived(
 
 
 def first_arrival(df: DataFrame, ids: Sequence[str], seq: str) -> DataFrame:
-    """Keep the first row per id. Aggregated before the shuffle, so many copies of one id are harmless."""
+    """Keep the first row per id (a row without `seq` comes first). Aggregated before the shuffle, so many copies of one id are harmless."""
     rest = [c for c in df.columns if c not in ids]
-    first = df.groupBy(*ids).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_first"))
+    first = df.groupBy(*ids).agg(F.min_by(F.struct(*rest), F.struct(seq)).alias("_first"))
     return first.select(*(F.col(c) if c in ids else F.col("_first")[c].alias(c) for c in df.columns))
 
 

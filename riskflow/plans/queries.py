@@ -853,17 +853,15 @@ def stream_stateful(spark, folder):
 
 @query
 def stream_alerts(spark, folder):
-    """Fraud events as a stream into the alert table, notifications included."""
+    """Two streams in a row: scoring publishes fraud events, which become alerts and notifications."""
     out = _fresh_folder(spark)
-    score = jobs.score_stream(_stream(spark, folder), f"{out}/history", f"{out}/decisions", f"{out}/c1")
-    score.awaitTermination()
-    decided = spark.read.parquet(f"{out}/decisions").drop("batch_id", "day")
-    events = mapping.to_fraud_events(decided, rules.RULE_VERSION, F.col("occurred_at") + F.expr("interval 1 second"))
-    kept = events.join(decided.select("transaction_id", "seq"), F.col("transactionId") == F.col("transaction_id")).drop("transaction_id")
-    kept.write.parquet(f"{out}/fraud")
-    source = mapping.to_columns(spark.readStream.schema(kept.schema).parquet(f"{out}/fraud"))
-    jobs.alert_stream(source, f"{out}/alerts", f"{out}/c2", notifications_path=f"{out}/sent",
-                      created_at=F.col("occurredAt")).awaitTermination()
+    jobs.score_stream(
+        _stream(spark, folder), f"{out}/history", f"{out}/decisions", f"{out}/c1",
+        publish=lambda events, n: files.write_records(files.as_records(events), path=f"{out}/fraud"),
+        detected_at=F.col("occurred_at") + F.expr("interval 1 second"),
+    ).awaitTermination()
+    jobs.alert_stream(files.read_fraud_events(spark, path=f"{out}/fraud"), f"{out}/alerts", f"{out}/c2",
+                      notifications_path=f"{out}/sent", created_at=F.col("occurredAt")).awaitTermination()
     alerts = stored.read_alerts(spark, f"{out}/alerts")
     sent = spark.read.parquet(f"{out}/sent").groupBy("id").agg(F.count(F.lit(1)).alias("sent"))
     return alerts.join(sent, "id").select("id", "transaction_id", "user_id", "risk_score", "reasons", us("created_at", "created_us"), "sent")

@@ -10,6 +10,7 @@ from .. import schemas
 from ..functions.mapping import to_columns, to_payload
 
 CHANNELS = ("api", "webhook")
+MAX_PARTITIONS = 65_536
 TRANSACTIONS_TOPIC, FRAUD_TOPIC = "transactions.created", "fraud.detected"
 
 
@@ -51,7 +52,9 @@ def decode(records: DataFrame, schema: T.StructType) -> DataFrame:
     """Event columns next to the record's own; unknown fields are ignored and bad JSON gives null fields."""
     event = records.withColumn("_e", F.from_json("value", schema))
     fields = event.select("*", *(F.col("_e")[f.name].alias(f.name) for f in schema.fields)).drop("_e")
-    return to_columns(fields.withColumn("seq", F.col("offset")))
+    # unique over all partitions of a topic, and in the order of arrival within each
+    place = F.col("offset") * MAX_PARTITIONS + F.coalesce("partition", F.lit(0))
+    return to_columns(fields.withColumn("seq", place))
 
 
 def read_events(spark: SparkSession, schema: T.StructType = schemas.CREATED_EVENT, **source) -> DataFrame:

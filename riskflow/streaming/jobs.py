@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..functions.mapping import to_alerts, to_history
+from ..functions.mapping import to_alerts, to_fraud_events, to_history
 from ..functions.text import event_time
 from ..functions.validation import FRAUD_REQUIRED, TRANSACTION_REQUIRED, poison_reason
 from ..operators.alerts import Channels, fan_out
 from ..operators.delivery import drop_processed, route_dlq
-from ..operators.rules import RuleConfig, score_batch
+from ..operators.rules import RULE_VERSION, RuleConfig, score_batch
 from ..sources import tables
 from ..sources.files import FRAUD_TOPIC, TRANSACTIONS_TOPIC
 
@@ -63,11 +63,14 @@ def score_new(batch: DataFrame, history: DataFrame, config: RuleConfig = RuleCon
 def score_stream(
     events: DataFrame, history_path: str, decisions_path: str, checkpoint: str, config: RuleConfig = RuleConfig(),
     dlq_path: str | None = None, topic: str = TRANSACTIONS_TOPIC, trigger: dict | None = None,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), publish: Callable[[DataFrame, int], None] | None = None,
+    detected_at: Column | None = None,
 ) -> StreamingQuery:
     """Score a stream of created events (columns as from `decode`, with `seq`).
 
-    Writes decisions and history per batch; events that can never be stored go to `dlq_path`.
+    Writes decisions and history per batch; events that can never be stored go to `dlq_path`. `publish`
+    gets the fraud events of each batch, and gets them again when the batch is repeated: their ids stay
+    the same, so receivers can drop what they have seen.
     """
     spark = events.sparkSession
     tables.create(spark, history_path, schemas.HISTORY)
@@ -86,6 +89,8 @@ def score_stream(
     def _store(scored: DataFrame, batch_id: int) -> None:
         extra = [c for c in (*keep, "trace_id") if c in scored.columns]
         tables.put_batch(scored.select(*columns, *extra), decisions_path, batch_id, F.col("occurred_at"))
+        if publish:
+            publish(to_fraud_events(scored, RULE_VERSION, detected_at), batch_id)
         tables.append_history(to_history(scored), history_path, batch_id)
 
     return _start(events, each, checkpoint, trigger)
