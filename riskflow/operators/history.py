@@ -113,12 +113,12 @@ def against_stored(
     Stored rows older than the earliest new row minus `reach` (the longest rule window) can change no
     rule. They are left out by a literal bound, which prunes files and partitions.
     """
-    earliest = new.agg(F.min("occurred_at")).first()[0]
+    earliest = earliest_us(new, "occurred_at")
     cols = ["user_id", "occurred_at", "seq", "country"]
     if earliest is None:
         recent = history.select(*cols).limit(0)
     else:
-        recent = in_reach(history, earliest - reach).select(*cols)
+        recent = after(history, "occurred_at", earliest - micros(reach)).select(*cols)
     both = new.withColumn("_stored", F.lit(False)).unionByName(
         recent.withColumn("_stored", F.lit(True)), allowMissingColumns=True
     )
@@ -126,11 +126,16 @@ def against_stored(
     return done.filter(~F.col("_stored")).drop("_stored")
 
 
-def in_reach(history: DataFrame, after) -> DataFrame:
-    kept = history.filter(F.col("occurred_at") > F.lit(after))
-    if "day" in history.columns:
-        kept = kept.filter(F.col("day") >= F.lit(after.date()))
-    return kept
+def earliest_us(df: DataFrame, ts: str) -> int | None:
+    """The smallest time as microseconds, which no time zone of the driver can shift."""
+    return df.agg(F.min(F.unix_micros(F.col(ts)))).first()[0]
+
+
+def after(stored: DataFrame, ts: str, us: int) -> DataFrame:
+    """Rows later than an instant; of a table kept by day only the days it can lie in are read."""
+    bound = F.timestamp_micros(F.lit(us))
+    kept = stored.filter(F.col(ts) > bound)
+    return kept.filter(F.col("day") >= F.to_date(bound)) if "day" in stored.columns else kept
 
 
 def expire(df: DataFrame, ts: str, cutoff) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,7 +157,7 @@ def evaluate_rule(samples: DataFrame, rule: SloRule, step: timedelta = STEP, t0:
 
 
 def _us(t: datetime) -> int:
-    return round(t.replace(tzinfo=t.tzinfo or timezone.utc).timestamp() * 1_000_000)
+    return round(t.timestamp() * 1_000_000)
 
 
 def firing(states: DataFrame, names: Sequence[str] | None = None, at: datetime | None = None) -> DataFrame:

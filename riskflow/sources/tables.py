@@ -68,13 +68,16 @@ def read_alerts(spark: SparkSession, path: str, t0=None, t1=None) -> DataFrame:
     from ..operators.alerts import in_range
 
     table = read_table(spark, path, schemas.ALERT)
-    table = in_range(table, "day", t0 and t0.date(), t1 and t1.date())
+    if t0 is not None:
+        table = table.filter(F.col("day") >= F.to_date(F.lit(t0)))
+    if t1 is not None:
+        table = table.filter(F.col("day") <= F.to_date(F.lit(t1)))
     return in_range(table, "created_at", t0, t1).drop("batch_id", "day")
 
 
 def expire_table(spark: SparkSession, path: str, schema: T.StructType, ts: str, cutoff, target: str) -> None:
     """Write the rows not older than the cutoff to a new folder; whole days before it are not read."""
     kept = read_table(spark, path, schema).filter(
-        (F.col("day") >= F.lit(cutoff.date())) & (F.col(ts) >= F.lit(cutoff))
+        (F.col("day") >= F.to_date(F.lit(cutoff))) & (F.col(ts) >= F.lit(cutoff))
     )
     kept.write.mode("overwrite").partitionBy("batch_id", "day").parquet(target)

@@ -20,6 +20,7 @@ from ..functions.text import event_time
 from ..functions.validation import FRAUD_REQUIRED, TRANSACTION_REQUIRED, poison_reason
 from ..operators.alerts import Channels, fan_out
 from ..operators.delivery import drop_processed, route_dlq
+from ..operators.history import after, earliest_us
 from ..operators.rules import RULE_VERSION, RuleConfig, score_batch
 from ..sources import tables
 from ..sources.files import FRAUD_TOPIC, TRANSACTIONS_TOPIC
@@ -53,10 +54,8 @@ def score_new(batch: DataFrame, history: DataFrame, config: RuleConfig = RuleCon
     A redelivered event has the time of its first delivery, so only history from the batch's own time
     span on can hold it; that bound and the rules' reach are literals, and older days are not read.
     """
-    earliest = batch.agg(F.min("occurred_at")).first()[0]
-    seen = None
-    if earliest is not None:
-        seen = history.filter((F.col("occurred_at") >= F.lit(earliest)) & (F.col("day") >= F.lit(earliest.date())))
+    earliest = earliest_us(batch, "occurred_at")
+    seen = None if earliest is None else after(history, "occurred_at", earliest - 1)
     return score_batch(drop_processed(batch, seen), history, config)
 
 

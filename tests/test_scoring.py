@@ -162,3 +162,29 @@ def test_listed_merchants_never_multiply_rows(spark):
     df = tx(spark, [("u", at(0), 1, "a", "US"), ("u", at(1), 1, None, "US"), ("u", at(2), 1, "b", "US")])
     listed = spark.createDataFrame([("A",), ("a",), (None,)], "m string")
     assert table(rules.flag_listed(df, "merchant_id", listed, "m"), "seq", "listed") == [(0, True), (1, False), (2, False)]
+
+
+def test_stored_days_are_pruned_by_utc(spark, tmp_path, monkeypatch):
+    """The driver's own time zone must not move the day bound past stored rows."""
+    import time
+
+    from riskflow import schemas
+    from riskflow.functions.mapping import to_history
+    from riskflow.sources import tables
+
+    rows = [("u", at(86_390 + i), 1, "m", "US") for i in range(4)] + [("u", at(86_401), 1, "m", "BR")]
+    everything = tx(spark, rows)
+    path = str(tmp_path / "h")
+    tables.append_history(to_history(everything.filter("seq < 4")), path, 0)
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        stored = tables.read_table(spark, path, schemas.HISTORY)
+        done = score_batch(everything.filter("seq = 4"), stored)
+        got = done.first()
+        assert (got.prior_count, got.reasons) == (4, ["HIGH_VELOCITY", "COUNTRY_CHANGE_IN_SHORT_WINDOW"])
+        plan = done._jdf.queryExecution().toString()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert "(day#" in plan and "PushedFilters: [IsNotNull(occurred_at), GreaterThan(occurred_at" in plan
