@@ -186,6 +186,7 @@ put("rejected_requests", REQUESTS, " UNION ALL ".join(
                        ("merchantId", "e_merchant"), ("country", "e_country"), ("paymentMethod", "e_method"))))
 put("accepted_transactions", REQUESTS, """
   SELECT sha256('transaction:' || request_id) AS id, user_id, cents, currency, merchant_id, country, payment_method, us FROM accepted""")
+put("stream_ingested", REQUESTS, "SELECT sha256('transaction:' || request_id) AS id, user_id, cents, currency, country, merchant_id, us FROM accepted")
 put("created_events", REQUESTS, """
   SELECT sha256('event:' || request_id) AS "eventId", us, sha256('transaction:' || request_id) AS "transactionId",
          substr(sha256(request_id::VARCHAR), 1, 32) AS "traceId", user_id AS "userId", cents, currency, merchant_id AS "merchantId", country,

@@ -828,6 +828,19 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     return T.transactions(spark, folder, streaming=True)
 
 
+@query
+def stream_ingested(spark, folder):
+    """Requests as a stream into the transactions table, and their events as records."""
+    out = _fresh_folder(spark)
+    jobs.ingest_stream(T.requests(spark, folder, streaming=True), f"{out}/transactions", f"{out}/checkpoint",
+                       lambda events, n: files.write_records(files.as_records(events), path=f"{out}/events"),
+                       f"{out}/rejected").awaitTermination()
+    sent = spark.read.schema("key string, value string").json(f"{out}/events")
+    rows = stored.read_table(spark, f"{out}/transactions", schemas.TRANSACTION).join(sent, F.col("id") == F.col("key"))
+    return rows.select("id", "user_id", (F.col("amount") * 100).cast("long").alias("cents"), "currency", "country",
+                       F.get_json_object("value", "$.merchantId").alias("merchant_id"), us("created_at", "us"))
+
+
 @query
 def stream_scored(spark, folder):
     out = _fresh_folder(spark)

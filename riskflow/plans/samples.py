@@ -119,6 +119,11 @@ def label_text(labels: dict) -> str:
     return ",".join(f"{k}={v}" for k, v in sorted(labels.items()))
 
 
+def _steps(events: DataFrame) -> int:
+    first, last = events.agg(F.min("us"), F.max("us")).first()
+    return 1 if first is None else (last - first) // STEP_US + 2
+
+
 def samples(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
     """Samples of the named metrics (all when not given): one per series and step in which it moved."""
     wanted = [m for m in moves() if names is None or m["name"] in names]
@@ -155,8 +160,8 @@ def samples(spark: SparkSession, folder: str, names: list[str] | None = None) ->
     lives = per_step.withColumn("life", ((F.col("instance") == RESTARTED) & (F.col("slot") >= restart)).cast("int"))
     running = prefix(
         lives, ["name", "text", "instance", "life"], ["slot"], [Running("total", "sum", F.col("step"), inclusive=True)],
-        # a series has one row per step, so its length is bounded by the 30 compressed days
-        bound=31 * 86_400 * 1_000_000 // SHRINK // STEP_US,
+        # a series has one row per step at most, so the time the events span bounds its length
+        bound=_steps(events),
     )
     return running.select(
         F.timestamp_micros(F.col("slot") * STEP_US).alias("ts"),

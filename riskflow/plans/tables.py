@@ -20,10 +20,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def transactions(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+def _events(spark: SparkSession, folder: str, streaming: bool) -> DataFrame:
     events = read(spark, folder, "events")
-    if streaming:
-        events = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*")
+    return spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*") if streaming else events
+
+
+def transactions(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+    events = _events(spark, folder, streaming)
     k = F.get_json_object("props", "$.k").cast("int")
     user = F.col("user_id")
     shrink = F.when(user % 2 == 0, 1440).otherwise(60)
@@ -70,9 +73,9 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
     return to_alerts(fraud, F.col("occurredAt"))
 
 
-def requests(spark: SparkSession, folder: str) -> DataFrame:
+def requests(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
     """Requests, a good part of which break one rule or another."""
-    events = read(spark, folder, "events")
+    events = _events(spark, folder, streaming)
     kind = F.col("event_type")
     k = F.col("_k")
     moved = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)

@@ -8,17 +8,17 @@ folder per batch that a repeated batch replaces; a checkpointed query that resta
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..functions.mapping import to_alerts, to_fraud_events, to_history
+from ..functions.mapping import to_alerts, to_created_events, to_fraud_events, to_history, to_transactions
 from ..functions.text import event_time
-from ..functions.validation import FRAUD_REQUIRED, TRANSACTION_REQUIRED, poison_reason
-from ..operators.alerts import Channels, fan_out
+from ..functions.validation import FRAUD_REQUIRED, TRANSACTION_REQUIRED, poison_reason, split_valid, validate_requests
+from ..operators.alerts import Channels, deliver, fan_out
 from ..operators.delivery import drop_processed, route_dlq
 from ..operators.history import after, earliest_us
 from ..operators.rules import RULE_VERSION, RuleConfig, score_batch
@@ -48,6 +48,35 @@ def dedup_stream(df: DataFrame, id_col: str = "event_id", ts: str = "occurred_at
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([id_col])
 
 
+def ingest_stream(
+    requests: DataFrame, transactions_path: str, checkpoint: str, publish: Callable[[DataFrame, int], None],
+    rejected_path: str | None = None, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Requests to rows of the transactions table and to created events, from one validated batch.
+
+    A request without `request_id` is numbered within its batch; one without `created_at` gets the time
+    of its batch. The row and the event of a request share both. `publish` gets the events of each batch,
+    and gets them again when the batch is repeated.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if "request_id" not in batch.columns:
+            # a repeated batch reads the same files or offsets, so its rows get the same numbers
+            batch = batch.withColumn("request_id", F.concat_ws("-", F.lit(batch_id), F.monotonically_increasing_id()))
+        if "created_at" not in batch.columns:
+            batch = batch.withColumn("created_at", F.lit(datetime.now(timezone.utc)))
+
+        def work(held: DataFrame) -> None:
+            ok, bad = split_valid(held)
+            if rejected_path:
+                tables.put_batch(bad.withColumn("errors", F.to_json("errors")), rejected_path, batch_id, F.col("created_at"))
+            tables.append_transactions(to_transactions(ok), transactions_path, batch_id)
+            publish(to_created_events(ok), batch_id)
+
+        _held(validate_requests(batch), work)
+
+    return _start(requests, each, checkpoint, trigger)
+
+
 def score_new(batch: DataFrame, history: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """Score the events of one batch that are not in the history yet.
 
@@ -109,9 +138,12 @@ def with_dlq(batch: DataFrame, batch_id: int, reason: Column, topic: str, ok_sin
 def alert_stream(
     fraud: DataFrame, alerts_path: str, checkpoint: str, channels: Channels = Channels(),
     notifications_path: str | None = None, dlq_path: str | None = None, created_at: Column | None = None,
-    ttl: timedelta = TTL, trigger: dict | None = None,
+    ttl: timedelta = TTL, trigger: dict | None = None, senders: dict[str, Callable[[dict], None]] | None = None,
 ) -> StreamingQuery:
-    """Alerts from fraud events, one per source event, and one notification row per alert and channel."""
+    """Alerts from fraud events, one per source event, and one notification row per alert and channel.
+
+    With `senders` (one callable per channel) the notifications are delivered and their outcomes written.
+    """
     spark = fraud.sparkSession
     tables.create(spark, alerts_path, schemas.ALERT)
     back = {v: k for k, v in schemas.EVENT_COLUMNS.items()}
@@ -133,9 +165,12 @@ def alert_stream(
 
     def store(alerts: DataFrame, batch_id: int) -> None:
         tables.append_alerts(alerts, alerts_path, batch_id)
-        if notifications_path:
-            tables.put_batch(fan_out(alerts, channels).select("id", "channel", "position", "created_at"),
-                             notifications_path, batch_id, F.col("created_at"))
+        fanned = fan_out(alerts, channels)
+        if notifications_path and senders:
+            tables.put_batch(deliver(fanned, senders), notifications_path, batch_id, None)
+        elif notifications_path:
+            tables.put_batch(fanned.select("id", "channel", "position", "created_at"), notifications_path, batch_id,
+                             F.col("created_at"))
 
     return _start(fraud, each, checkpoint, trigger)
 

@@ -183,3 +183,37 @@ def test_with_dlq(spark, tmp_path):
     got = []
     jobs.with_dlq(df, 0, F.when(F.col("event_id").isNull(), "NULL_EVENT_ID"), "x", lambda ok: got.extend(ok.collect()), str(tmp_path / "d"))
     assert [r.event_id for r in got] == ["e1"] and spark.read.parquet(str(tmp_path / "d")).first().topic == "x.dlq"
+
+
+def test_ingest_stream(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    good = {"userId": "u", "amount": 12.5, "currency": "USD", "merchantId": "m", "country": "US", "paymentMethod": "CARD"}
+    bad = good | {"amount": -1}
+    (inbox / "r.json").write_text("\n".join(map(json.dumps, [good, good, bad])) + "\n")
+    paths = [str(tmp_path / n) for n in ("tx", "rejected")]
+    for attempt in range(2):  # the batch is repeated with a new checkpoint
+        sent = []
+        jobs.ingest_stream(
+            files.read_requests(spark, str(inbox), "api", streaming=True), paths[0], str(tmp_path / f"c{attempt}"),
+            lambda events, n: sent.extend((r.transactionId, r.occurredAt) for r in events.collect()), paths[1],
+        ).awaitTermination()
+    stored = tables.read_table(spark, paths[0], schemas.TRANSACTION)
+    assert sorted(sent) == sorted((r.id, r.created_at) for r in stored.collect()) and len(set(sent)) == 2
+    rejected = spark.read.parquet(paths[1])
+    assert [json.loads(r.errors) for r in rejected.collect()] == [{"amount": "amount must be greater than zero"}]
+
+
+def test_alert_stream_delivers(spark, tmp_path):
+    inbox = tmp_path / "in"
+    drop(inbox, "b0", [fraud_record(1), fraud_record(2)])
+
+    def mail(alert):
+        raise OSError("down")
+
+    jobs.alert_stream(
+        files.read_fraud_events(spark, path=str(inbox)), str(tmp_path / "alerts"), str(tmp_path / "c"),
+        Channels(email_enabled=True, email_to=("a@b",)), str(tmp_path / "sent"), senders={"log": lambda alert: None, "email": mail},
+    ).awaitTermination()
+    sent = spark.read.parquet(str(tmp_path / "sent")).groupBy("channel", "outcome").count()
+    assert table(sent) == [("email", "failed", 2), ("log", "success", 2)]
