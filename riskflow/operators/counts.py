@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import status_class
-from .ordered import numbered
+from .ordered import Running, first_rows, numbered, prefix
 
 
 
@@ -61,8 +61,6 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], limit: int
     Values are counted first, and the counts are summed along the sorted distinct values by a scan that
     splits, so neither many rows nor many distinct values gather in one task.
     """
-    from .ordered import Running, prefix
-
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(_count("_n"))
     total = counted.agg(F.sum("_n")).first()[0] or 0
     ranked = prefix(counted, [], [value], [Running("_upto", "sum", F.col("_n"), inclusive=True)], limit=limit)
@@ -97,8 +95,6 @@ def trend_stats(results: DataFrame, limit: int | None = None) -> DataFrame:
     Interpolated percentiles need the two values around position `(n - 1) * p`; both come from the same
     counted scan as `nearest_rank`.
     """
-    from .ordered import Running, prefix
-
     kept = results.filter(F.col("latencyMs").isNotNull())
     failed = F.coalesce((F.col("statusCode") < 200) | (F.col("statusCode") >= 400), F.lit(True))
     counted = kept.groupBy("latencyMs").agg(_count("_n"), F.count(F.when(failed, 1)).alias("_failed"))
@@ -135,12 +131,8 @@ def attempt_number(df: DataFrame, id_col: str, ts: str, limit: int | None = None
     return numbered(df, [id_col], [ts], "attempt", limit=limit)
 
 
-def top_k(df: DataFrame, value: str, k: int, partition: list[str] | None = None, tie: list[str] | None = None,
-          limit: int | None = None) -> DataFrame:
+def top_k(df: DataFrame, value: str, k: int, partition: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
     """The `k` rows with the greatest value, overall or per partition; ties by the `tie` columns."""
     tie = tie or [c for c in df.columns if c != value]
-    if not partition:
-        return df.orderBy(F.col(value).desc(), *tie).limit(k)
-    back = df.withColumn("_back", -F.col(value))
-    ranked = numbered(back, partition, ["_back", *[t for t in tie if t not in partition]], "_n", limit=limit)
-    return ranked.filter(F.col("_n") <= k).drop("_back", "_n")
+    best = [F.col(value).desc(), *tie]
+    return first_rows(df, partition, best, k) if partition else df.orderBy(*best).limit(k)

@@ -207,7 +207,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, seq: str) -> Dat
     return last.select(*(F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in df.columns))
 
 
-def last_samples(df: DataFrame, keys: Sequence[str], ts: str, n: int, **kw) -> DataFrame:
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first `n` rows per key. Spark limits every key to `n` rows in each task before the shuffle, so a
+    key of any size reaches its task as a few rows (for `n` up to its window-group-limit setting)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", place).filter(F.col("_n") <= n).drop("_n")
+
+
+def last_samples(df: DataFrame, keys: Sequence[str], ts: str, n: int) -> DataFrame:
     """The newest `n` rows per key."""
-    back = df.withColumn("_back", -F.unix_micros(F.col(ts)))
-    return numbered(back, keys, ["_back"], "_n", **kw).filter(F.col("_n") <= n).drop("_back", "_n")
+    return first_rows(df, keys, [F.col(ts).desc()], n)

@@ -22,7 +22,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def _events(spark: SparkSession, folder: str, streaming: bool) -> DataFrame:
     events = read(spark, folder, "events")
-    return spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*") if streaming else events
+    if not streaming:
+        return events
+    # a bounded number of files per micro-batch
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 256).parquet(f"{folder}/events.parquet*")
 
 
 def transactions(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:

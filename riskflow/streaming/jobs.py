@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..functions.mapping import to_alerts, to_created_events, to_fraud_events, to_history, to_transactions
 from ..functions.text import event_time
-from ..functions.validation import FRAUD_REQUIRED, TRANSACTION_REQUIRED, poison_reason, split_valid, validate_requests
+from ..functions.validation import (
+    FRAUD_REQUIRED, TRANSACTION_REQUIRED, drop_tombstones, poison_reason, split_valid, validate_requests,
+)
 from ..operators.alerts import Channels, deliver, fan_out
 from ..operators.delivery import drop_processed, route_dlq
 from ..operators.history import after, earliest_us
@@ -43,6 +45,11 @@ def _held(df: DataFrame, each: Callable[[DataFrame], None]) -> None:
         held.unpersist()
 
 
+def _with_payload(batch: DataFrame) -> DataFrame:
+    """Records without a payload are passed over on a main stream."""
+    return drop_tombstones(batch)[0] if "value" in batch.columns else batch
+
+
 def dedup_stream(df: DataFrame, id_col: str = "event_id", ts: str = "occurred_at", ttl: str = "1 hour") -> DataFrame:
     """First arrival per id; an id is remembered until the watermark has passed it by `ttl`."""
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([id_col])
@@ -112,7 +119,8 @@ def score_stream(
             history = tables.read_table(spark, history_path, schemas.HISTORY, before_batch=batch_id)
             _held(score_new(ok, history, config), lambda scored: _store(scored, batch_id))
 
-        _held(batch.withColumn("occurred_at", event_time("occurred_at")), work)
+        now = F.lit(datetime.now(timezone.utc))  # one time for the whole batch
+        _held(_with_payload(batch).withColumn("occurred_at", event_time("occurred_at", now)), work)
 
     def _store(scored: DataFrame, batch_id: int) -> None:
         extra = [c for c in (*keep, "trace_id") if c in scored.columns]
@@ -161,7 +169,7 @@ def alert_stream(
             named = fresh.select(*(F.col(c).alias(back.get(c, c)) for c in fresh.columns))
             _held(to_alerts(named, created_at), lambda alerts: store(alerts, batch_id))
 
-        _held(batch, work)
+        _held(_with_payload(batch), work)
 
     def store(alerts: DataFrame, batch_id: int) -> None:
         tables.append_alerts(alerts, alerts_path, batch_id)

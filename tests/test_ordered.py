@@ -89,3 +89,10 @@ def test_latest_arrived_follows_arrival_not_time(spark):
     df = spark.createDataFrame([("u", at(10), 1, "X"), ("u", at(5), 2, "Y"), ("u", at(20), 3, "Z")], "k string, ts timestamp, seq long, c string")
     done = ordered.latest_arrived(df, ["k"], "ts", "seq", ["c"])
     assert table(done, "seq", "prev_c") == [(1, None), (2, "X"), (3, "X")]
+
+
+def test_first_rows_are_limited_before_the_shuffle(rows):
+    done = ordered.first_rows(rows, ["key"], [F.col("ts").desc(), "seq"], 3)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # in every task, and again after the shuffle
+    assert done.count() == 15

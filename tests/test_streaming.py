@@ -58,10 +58,11 @@ def test_stream_scores_like_a_replay_and_survives_restarts(spark, tmp_path, arri
     inbox = tmp_path / "in"
     folders = [str(tmp_path / n) for n in ("history", "decisions", "checkpoint")]
     published = []
+    tombstone = event(998, rows[0]) | {"value": None}
     poison = event(999, rows[0]) | {"value": json.dumps({"transactionId": "bad", "userId": "u"})}
     for n, (lo, hi) in enumerate(batches):
         again = [event(i, rows[i]) | {"offset": 5000 + i} for i in range(0, lo, 7)]  # redelivered later
-        drop(inbox, f"b{n}", [event(i, rows[i]) for i in range(lo, hi)] + again + ([poison] if n == 1 else []))
+        drop(inbox, f"b{n}", [event(i, rows[i]) for i in range(lo, hi)] + again + ([poison, tombstone] if n == 1 else []))
         if n != 0:  # the first two files are two batches of one run
             jobs.score_stream(
                 source(spark, inbox), *folders, dlq_path=str(tmp_path / "dlq"),
