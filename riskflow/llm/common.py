@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +75,9 @@ def held_out(doc_id: Column) -> Column:
 def batches(frames: Iterator) -> Iterator:
     """Pandas frames that have rows."""
     return (frame for frame in frames if len(frame))
+
+
+def frame(rows: list, columns: list[str], longs: list[str]) -> pd.DataFrame:
+    """A Pandas frame whose columns `longs` are whole numbers or null; plain Pandas would round them to floats."""
+    out = pd.DataFrame(rows, columns=columns, dtype=object)
+    return out.assign(**{c: pd.array(out[c], "Int64") for c in longs})

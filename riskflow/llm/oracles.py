@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from riskflow.llm import warc
+
+SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
+}

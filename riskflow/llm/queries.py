@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from riskflow.llm.token_files import op4_token_files
+from riskflow.llm.warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op4_token_files": op4_token_files,
 }
