@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from riskflow.llm.simhash import op9_simhash
 from riskflow.llm.token_files import op4_token_files
 from riskflow.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op4_token_files": op4_token_files,
+    "op9_simhash": op9_simhash,
 }
