@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskflow.session import shared_folder
 
+T = TypeVar("T")
 #: Rows of one Arrow batch where rows carry whole texts: bounds what a Python worker holds at once.
 TEXTS_PER_BATCH = 256
 
@@ -46,16 +50,24 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """`row` (all columns of a table with doc_id and text, as a struct, so that no name can clash), key_id and key_hash."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.select("row", *_keys("row.doc_id", "row.text"))
+
+
+def _keys(doc_id: str, text: str) -> list[Column]:
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("key_id"), F.xxhash64(text).alias("key_hash")]
+
+
 def row_keys(docs: DataFrame) -> DataFrame:
     """
-    `key_id` and `key_hash` for joins back to rows of (doc_id, text).
+    (key_id, key_hash, text): keys for joins back to rows of (doc_id, text).
 
     Null ids get a value of their own. Rows equal in both columns share a key, so what is joined back must have one row
     per key.
     """
-    return docs.withColumns({
-        "key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "key_hash": F.xxhash64("text"),
-    })
+    return docs.select(*_keys("doc_id", "text"), "text")
 
 
 def tasks_for(spark: SparkSession, amount: int, per_task: int) -> int:
@@ -94,3 +106,11 @@ def frame(rows: list, columns: list[str], longs: list[str]) -> pd.DataFrame:
     """A Pandas frame whose columns `longs` are whole numbers or null; plain Pandas would round them to floats."""
     out = pd.DataFrame(rows, columns=columns, dtype=object)
     return out.assign(**{c: pd.array(out[c], "Int64") for c in longs})
+
+
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What `make` gives, made once in a Python worker and kept for its later tasks (the code itself comes anew with each task)."""
+    kept = sys.modules.setdefault("riskflow_kept", types.ModuleType("riskflow_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

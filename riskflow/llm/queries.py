@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskflow.llm.simhash import op9_simhash
+from riskflow.llm.suffixes import op10_suffixes
 from riskflow.llm.token_files import op4_token_files
 from riskflow.llm.warc import op1_warc
 
@@ -10,4 +11,5 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op4_token_files": op4_token_files,
     "op9_simhash": op9_simhash,
+    "op10_suffixes": op10_suffixes,
 }

@@ -60,8 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for frame in frames:
             yield frame.drop(columns="text").assign(fp=[fingerprint(t) for t in frame["text"]])
 
-    keyed = common.row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return keyed.select("key_id", "key_hash", "text").mapInPandas(run, "key_id long, key_hash long, fp long").select(
+    return common.row_keys(docs).mapInPandas(run, "key_id long, key_hash long, fp long").select(
         F.expr(f"if(key_id = {-(2**63)}L, null, key_id)").alias("doc_id"), "key_id", "key_hash", "fp"
     )
 
