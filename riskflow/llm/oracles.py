@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from riskflow.llm import warc
+from riskflow.llm import decontamination, warc
 
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
+    "op8_decontamination": decontamination.SQL,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskflow.llm.decontamination import op8_decontamination
 from riskflow.llm.simhash import op9_simhash
 from riskflow.llm.suffixes import op10_suffixes
 from riskflow.llm.token_files import op4_token_files
@@ -10,6 +11,7 @@ from riskflow.llm.warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op4_token_files": op4_token_files,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_suffixes": op10_suffixes,
 }
