@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from riskflow.llm.decontamination import op8_decontamination
+from riskflow.llm.quality import op2_quality
 from riskflow.llm.simhash import op9_simhash
 from riskflow.llm.suffixes import op10_suffixes
 from riskflow.llm.token_files import op4_token_files
+from riskflow.llm.toxicity import op3_toxicity
 from riskflow.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
