@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskflow.llm.decontamination import op8_decontamination
+from riskflow.llm.neighbours import op5_neighbours
 from riskflow.llm.quality import op2_quality
 from riskflow.llm.simhash import op9_simhash
 from riskflow.llm.suffixes import op10_suffixes
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_neighbours": op5_neighbours,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_suffixes": op10_suffixes,
