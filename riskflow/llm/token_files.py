@@ -59,22 +59,39 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+#: Characters that are neither letters, digits nor white space.
+PUNCTUATION = ".,;:!?#$%&*|-_'\"()"
+
+
 class Unsplittable(Exception):
     """White space around a cut: the pieces of a text can't be encoded one by one."""
 
 
 class _Pieces(dict):
-    """Ids, as bytes, of each piece of text met so far; `prefix` stands before every piece. Forgets all when full."""
+    """
+    Ids, as bytes, of pieces of text; `prefix` stands before every piece. Holds the last `limit` to twice as many pieces met.
+
+    Letters and the punctuation after them are words of their own to the tokenizer, so "word," costs no more than "word".
+    """
 
-    def __init__(self, ids: Callable[[str], np.ndarray], prefix: str, limit: int):
-        self.ids, self.prefix, self.limit = ids, prefix, limit
+    def __init__(self, encoder: Encoder, prefix: str, limit: int):
+        self.encoder, self.prefix, self.limit, self.older = encoder, prefix, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise Unsplittable
+        if (found := self.older.get(piece)) is None:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise Unsplittable
+            letters = piece.rstrip(PUNCTUATION)
+            if not letters.isalpha():
+                found = self.encoder.whole(self.prefix + piece).tobytes()
+            elif letters == piece:
+                found = self.encoder.word(self.prefix + piece).tobytes()
+            else:
+                found = self[letters] + self.encoder.head[piece[len(letters) :]]
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        self[piece] = found = self.ids(self.prefix + piece).tobytes()
+        self[piece] = found
         return found
 
 
@@ -88,19 +105,24 @@ class Encoder:
     """
 
     def __init__(self, path: str, pieces: int = 300_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        before = self.tokenizer.pre_tokenizer
-        self.cuts = self.tokenizer.normalizer is None and "ByteLevel" in repr(before) and "add_prefix_space=False" in repr(before) and "use_regex=True" in repr(before)
+        before = repr(self.tokenizer.pre_tokenizer)
+        self.cuts = self.tokenizer.normalizer is None and before.startswith("ByteLevel(") and "add_prefix_space=False" in before and "use_regex=True" in before
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.head, self.tail = _Pieces(self.whole, "", pieces), _Pieces(self.whole, " ", pieces)
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.head, self.tail = _Pieces(self, "", pieces), _Pieces(self, " ", pieces)
         self.newline = self.whole("\n").tobytes()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
 
+    def word(self, text: str) -> np.ndarray:
+        """Ids of a single word of the tokenizer's pattern, from its model alone."""
+        return np.array([t.id for t in self.tokenizer.model.tokenize(self.bytes.pre_tokenize_str(text)[0][0])], self.width)
+
     def __call__(self, text: str) -> np.ndarray:
         if not self.cuts or any(s in text for s in self.special):
             return self.whole(text)
@@ -175,6 +197,16 @@ def read_blocks(path: str, ranked: np.ndarray | None, width: np.dtype) -> Iterat
                 yield docs, np.frombuffer(zstandard.decompress(body), width)
 
 
+def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each id occurs, of the counts of one task."""
+    total = np.zeros(0, np.int64)
+    for counts in (np.asarray(c) for frame in frames for c in frame["counts"]):
+        total, counts = (counts.copy(), total) if len(counts) > len(total) else (total, counts)
+        total[: len(counts)] += counts
+    seen = np.flatnonzero(total)
+    yield pd.DataFrame({"id": seen, "n": total[seen]})
+
+
 FILES = "path string, part int, docs long, tokens long"
 
 
@@ -192,7 +224,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, np.
     def spool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        encoder, out, counts = Encoder(tokenizer), None, np.zeros(0, np.int64)
+        encoder, out, counts = common.per_worker(("encoder", tokenizer), lambda: Encoder(tokenizer)), None, np.zeros(0, np.int64)
         for frame in common.batches(frames):
             out = out or _Writer(plain, lambda ids: (PLAIN, zstandard.compress(ids.tobytes(), 3)))
             for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"], strict=True):
@@ -207,8 +239,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, np.
 
     ranges = texts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     spooled = common.written(ranges.mapInPandas(spool, f"{FILES}, counts array<long>"), "token-spool")
-    # as many rows as the vocabulary has ids
-    counts = spooled.select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    # as many rows as the vocabulary has ids, from each of a few tasks
+    counts = spooled.select("counts").coalesce(spark.sparkContext.defaultParallelism).mapInPandas(_summed, "id long, n long")
+    counts = counts.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ranked = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy().astype("<u4")
     width = Encoder(tokenizer, 1).width
 
