@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskflow.llm import decontamination, warc
+from riskflow.llm import decontamination, sharding, warc
 
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
+    "op7_sharding": sharding.sql(),
     "op8_decontamination": decontamination.SQL,
 }

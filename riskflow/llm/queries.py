@@ -6,6 +6,7 @@ from riskflow.llm.decontamination import op8_decontamination
 from riskflow.llm.neighbours import op5_neighbours
 from riskflow.llm.quality import op2_quality
 from riskflow.llm.segmentation import op6_segmentation
+from riskflow.llm.sharding import op7_sharding
 from riskflow.llm.simhash import op9_simhash
 from riskflow.llm.suffixes import op10_suffixes
 from riskflow.llm.token_files import op4_token_files
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_neighbours": op5_neighbours,
     "op6_segmentation": op6_segmentation,
+    "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_suffixes": op10_suffixes,
