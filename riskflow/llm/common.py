@@ -20,10 +20,15 @@ T = TypeVar("T")
 TEXTS_PER_BATCH = 256
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on, Arrow batches of few rows: they carry whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, with small Arrow batches from here on: its rows carry whole texts."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -103,6 +103,14 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of a table with doc_id and text that are not contaminated."""
+    found = contamination(docs, benchmark).select(*KEY, "n_hit")
+    rows = common.packed(docs).join(found, KEY, "left")
+    # words are counted where any is hit
+    return rows.where(F.when(F.col("n_hit").isNull(), True).otherwise(~contaminated(F.col("n_hit"), F.size(words(F.col("row.text")))))).select("row.*")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow.llm import common
@@ -195,16 +195,29 @@ def links(classes: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(doc_id, key_id, key_hash, fp, component_id) per row of (doc_id, text)."""
+    """(doc_id, key_id, key_hash, fp, root, component_id) per row of (doc_id, text); `root` is a fingerprint of the component."""
     prints = common.written(fingerprints(docs), "simhash-fp")
     classes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = components(links(classes, group)).select(F.col("node").alias("fp"), "root")
     rooted = common.written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
     firsts = common.written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
-    named = common.written(rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id"), "simhash-named")
+    named = common.written(rooted.select("fp", "root").join(firsts, "root").select("fp", "root", "component_id"), "simhash-named")
     return prints.join(named, "fp")
 
 
+def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """The rows of a table with doc_id and text, one of each component: the smallest id, null ids last, and one of equal rows."""
+    found = common.written(near_duplicates(docs, group), "simhash-found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_hash", "key_id")
+    kept = found.groupBy("root").agg(F.min(order).alias("first")).select("first.key_id", "first.key_hash")
+    rows = common.packed(docs)
+    if not found.groupBy("key_id", "key_hash").count().where("count > 1").isEmpty():
+        # the first of equal rows is taken in each task before they meet
+        equal = Window.partitionBy("key_id", "key_hash").orderBy(F.lit(0))
+        rows = rows.withColumn("n", F.row_number().over(equal)).where("n = 1").drop("n")
+    return rows.join(kept, ["key_id", "key_hash"], "left_semi").select("row.*")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(common.read(spark, sf_dir, "documents"))

@@ -288,6 +288,21 @@ def cut(docs: DataFrame, result: Callable[[bytes, list[tuple[int, int]], bytes],
     return joined.select("row", run("row.text", "spans").alias("cut"))
 
 
+def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """
+    A table with doc_id and text, its texts without what is repeated, and n_chars, if it has that, counted anew.
+
+    Where a cut leaves part of a character, the part goes too. Null texts stay null.
+    """
+
+    def result(raw: bytes, gone: list[tuple[int, int]], kept: bytes) -> tuple:
+        return (kept.decode("utf-8", "ignore"),)
+
+    found = cut(docs, result, "text string", group)
+    new = {"text": F.expr("if(row.text is null, null, cut.text)"), "n_chars": F.expr("if(row.text is null, row.n_chars, char_length(cut.text))").cast("long") if "n_chars" in docs.columns else None}
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from every document, and the digest of the rest."""
 
