@@ -225,14 +225,18 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, np.
         import zstandard
 
         encoder, out, counts = common.per_worker(("encoder", tokenizer), lambda: Encoder(tokenizer)), None, np.zeros(0, np.int64)
+
+        def block(ids: np.ndarray) -> tuple[int, bytes]:
+            nonlocal counts
+            seen = np.bincount(ids, minlength=len(counts))
+            seen[: len(counts)] += counts
+            counts = seen
+            return PLAIN, zstandard.compress(ids.tobytes(), 3)
+
         for frame in common.batches(frames):
-            out = out or _Writer(plain, lambda ids: (PLAIN, zstandard.compress(ids.tobytes(), 3)))
+            out = out or _Writer(plain, block)
             for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"], strict=True):
-                ids = np.append(encoder(text), encoder.width.type(end_id))
-                seen = np.bincount(ids, minlength=len(counts))
-                seen[: len(counts)] += counts
-                counts = seen
-                out.add(None if pd.isna(doc_id) else int(doc_id), ids)
+                out.add(None if pd.isna(doc_id) else int(doc_id), np.append(encoder(text), encoder.width.type(end_id)))
         if out:
             out.close()
             yield pd.DataFrame({"path": [out.path], "part": [TaskContext.get().partitionId()], "docs": [out.n_docs], "tokens": [out.total], "counts": [counts]})
