@@ -143,7 +143,14 @@ def put(name: str, tables: str, select: str) -> None:
 put("score_transactions", SCORED,
     "SELECT event_id, user_id, CAST(prior_count AS BIGINT) AS prior_count, risk_score, fraudulent, reasons FROM scored")
 SQL["stream_scored"] = SQL["score_transactions"]
-put("stream_stateful", SCORED, "SELECT event_id, coalesce(prev_country, '') AS prev_country, risk_score, reasons FROM scored")
+SQL["stream_replayed"] = SQL["score_transactions"]
+put("stream_redelivered", SCORED, "SELECT event_id, risk_score, CAST(fraudulent AS BIGINT) AS sent FROM scored")
+put("stream_same_transaction", TX, """
+  SELECT transaction_id, CASE event_type WHEN 'error' THEN 'DUPLICATE_TRANSACTION,decided' ELSE 'decided' END AS outcomes FROM transactions""")
+put("read_back_records", TX, """
+  SELECT event_id, user_id, us, cents, merchant_id FROM transactions""")
+put("stream_deduplicated", TX, "SELECT event_id, user_id FROM transactions")
+put("stream_poison", TX, "SELECT transaction_id, CASE event_type WHEN 'error' THEN 'transactions.created.dlq' ELSE '' END AS topic FROM transactions")
 put("velocity_count", SCORED, "SELECT seq, CAST(prior_count AS BIGINT) AS prior_count FROM scored")
 put("trailing_ten_minutes", TX, """
   SELECT seq, CAST(count(*) OVER (PARTITION BY country ORDER BY us RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)
@@ -187,6 +194,10 @@ put("rejected_requests", REQUESTS, " UNION ALL ".join(
 put("accepted_transactions", REQUESTS, """
   SELECT sha256('transaction:' || request_id) AS id, user_id, cents, currency, merchant_id, country, payment_method, us FROM accepted""")
 put("stream_ingested", REQUESTS, "SELECT sha256('transaction:' || request_id) AS id, user_id, cents, currency, country, merchant_id, us FROM accepted")
+SQL["stream_two_channels"] = SQL["stream_ingested"]
+put("read_back_requests", REQUESTS + ", kept AS (SELECT count(*) AS n FROM accepted)", """
+  SELECT * FROM (SELECT 'api' AS channel, true AS accepted, n FROM kept UNION ALL
+                 SELECT 'api', false, (SELECT count(*) FROM requests) - n FROM kept) WHERE n > 0""")
 put("created_events", REQUESTS, """
   SELECT sha256('event:' || request_id) AS "eventId", us, sha256('transaction:' || request_id) AS "transactionId",
          substr(sha256(request_id::VARCHAR), 1, 32) AS "traceId", user_id AS "userId", cents, currency, merchant_id AS "merchantId", country,
@@ -213,7 +224,7 @@ put("user_hash", TX, """
 put("payload_round_trip", TX, """
   SELECT event_id AS "eventId", us, user_id AS "userId", cents, CASE WHEN event_type <> 'error' THEN trace ELSE '' END AS "traceId" FROM transactions""")
 SQL["error_texts"] = """
-  SELECT doc_id, CASE WHEN lang = 'en' AND NOT regexp_full_match(text, '\\s*') THEN substr(text, 1, 512) ELSE source END AS error FROM documents"""
+  SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND NOT regexp_full_match(text, '[\\x00-\\x20\\s]*') THEN substr(text, 1, 512) ELSE source END AS error FROM documents"""
 put("ingest_lag", TX, f"""
   SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE greatest(0, {at(0, 20)} // 1000 - us // 1000) END AS lag_ms,
          CASE WHEN event_type = 'error' THEN {at(0, 20)} ELSE us END AS us FROM transactions""")
@@ -234,32 +245,6 @@ put("reason_text", SCORED + """, listed AS (
 put("status_classes", LOAD, """
   SELECT CASE code // 100 WHEN 2 THEN '2xx' WHEN 4 THEN '4xx' WHEN 5 THEN '5xx' ELSE 'other' END AS status_class, count(*) AS n FROM results GROUP BY 1""")
 
-
-def draw(salt: str, size: int) -> str:
-    return f"(CAST('0x' || substr(md5('7:{salt}:' || event_id), 1, 12) AS BIGINT) % {size})"
-
-
-def pick(salt: str, pool: str, size: int) -> str:
-    return f"({pool})[{draw(salt, size)} + 1]"
-
-
-SAFE, RISKY = "['MRC-101','MRC-202','MRC-303','MRC-505']", "['MRC-999','MRC-666','MRC-404']"
-put("traffic_mix", f"""drawn AS (
-  SELECT event_id, {draw('kind', 1000000)} / 10000.0 AS roll, {draw('profile', 100)} AS sub FROM events), kinds AS (
-  SELECT *, CASE WHEN roll < 30 THEN 'normal' WHEN roll < 55 THEN 'fraud' WHEN roll < 65 THEN 'velocity' WHEN roll < 70 THEN 'invalid' ELSE 'overflow' END AS kind
-  FROM drawn)""", f"""
-  SELECT event_id AS request_id, kind,
-         CASE kind WHEN 'normal' THEN 'k6-user-' || ({draw('user', 600)} + 1) WHEN 'fraud' THEN 'k6-fraud-' || ({draw('user', 600)} + 1)
-              WHEN 'velocity' THEN 'k6-hot-' || ({draw('hot', 4)} + 1) WHEN 'invalid' THEN '' ELSE 'k6-5xx-' || ({draw('user', 600)} + 1) END AS "userId",
-         CASE WHEN kind = 'normal' THEN {draw('amount', 1781)} + 20 WHEN kind = 'fraud' AND sub < 30 THEN {draw('amount', 14001)} + 12000
-              WHEN kind = 'fraud' AND sub < 60 THEN {draw('amount', 3201)} + 300 WHEN kind = 'fraud' THEN {draw('amount', 18001)} + 14000
-              WHEN kind = 'velocity' THEN {draw('amount', 2351)} + 150 WHEN kind = 'invalid' THEN -10 ELSE 9007199254740991 END AS amount,
-         CASE WHEN kind = 'invalid' THEN '' WHEN kind = 'fraud' AND sub >= 30 THEN {pick('merchant', RISKY, 3)} ELSE {pick('merchant', SAFE, 4)} END AS "merchantId",
-         CASE WHEN kind = 'invalid' THEN 'USA' WHEN kind = 'fraud' AND sub >= 60 THEN 'BR' ELSE {pick('country', "['US','BR','MX','AR','CL','PE']", 6)} END AS country,
-         CASE WHEN kind IN ('velocity','invalid') OR (kind = 'fraud' AND sub >= 60) THEN 'CARD' ELSE {pick('method', "['CARD','TRANSFER','WALLET']", 3)} END AS "paymentMethod",
-         CASE WHEN {draw('channel', 1000000)} / 10000.0 < 35 THEN 'webhook' ELSE 'api' END AS channel
-  FROM kinds""")
-
 # ------------------------------------------------------------------ delivery
 
 put("first_arrivals", DELIVERIES, "SELECT event_id, min(seq) AS seq, any_value(user_id) AS user_id FROM deliveries GROUP BY 1")
@@ -271,9 +256,9 @@ put("late_rows", f"items AS (SELECT {ITEM} AS seq, l_shipdate FROM lineitem)", "
   SELECT seq, coalesce(l_shipdate < max(l_shipdate) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 365 DAYS, false) AS late FROM items""")
 put("stage_funnel", SCORED, """
   SELECT count(*) AS transactions, count(*) FILTER (event_type <> 'error') AS decided, count(*) FILTER (fraudulent AND event_type <> 'error') AS fraud,
-         count(*) FILTER (fraudulent AND event_type <> 'error') AS alerted, count(*) FILTER (event_type <> 'error') / count(*) AS coverage,
-         count(*) FILTER (fraudulent AND event_type <> 'error') / greatest(1, count(*) FILTER (fraudulent AND event_type <> 'error')) AS conversion,
-         count(*) FILTER (fraudulent AND event_type <> 'error') / count(*) AS fraud_ratio FROM scored""")
+         count(*) FILTER (fraudulent AND event_type NOT IN ('error', 'view')) AS alerted, count(*) FILTER (event_type <> 'error') / count(*) AS coverage,
+         count(*) FILTER (fraudulent AND event_type NOT IN ('error', 'view')) / greatest(1, count(*) FILTER (fraudulent AND event_type <> 'error')) AS conversion,
+         count(*) FILTER (fraudulent AND event_type NOT IN ('error', 'view')) / count(*) AS fraud_ratio FROM scored""")
 put("attempt_numbers", f"items AS (SELECT l_orderkey, {ITEM} AS item FROM lineitem)",
     "SELECT l_orderkey, item, row_number() OVER (PARTITION BY l_orderkey ORDER BY item) AS attempt FROM items")
 
@@ -551,7 +536,7 @@ def rule_states(t0: int, t1: int) -> tuple[str, str]:
 
 from riskflow.plans.queries import _RULE_METRICS  # noqa: E402
 
-put("rule_states", samples(_RULE_METRICS) + ", " + rule_states(at(4), at(8))[0],
+put("rule_states", samples(_RULE_METRICS) + ", " + rule_states(at(0), at(12))[0],
     "SELECT us, rule, severity, labels, round(value, 9) AS value, state FROM states")
 
 # ------------------------------------------------------------------ dashboards
@@ -733,3 +718,4 @@ put("logs_for_traces", SPANS + f""", lines AS (
 put("stream_dead_letters", TX, """
   SELECT CASE event_type WHEN 'error' THEN 'NULL_EVENT_ID' WHEN 'signup' THEN 'EMPTY_EVENT_PAYLOAD' ELSE 'reprocessed' END AS outcome, count(*) AS n
   FROM transactions GROUP BY 1""")
+put("read_back_samples", samples(["fraud_alerts_total"]), "SELECT us, name, instance, round(CAST(value AS DOUBLE), 6) AS value FROM samples")

@@ -122,6 +122,6 @@ def notification_content(alerts: DataFrame) -> DataFrame:
         escape_html("user_id").alias("user_html"),
         escape_html("id").alias("alert_html"),
         F.concat(F.col("risk_score").cast("string"), F.lit(" / 100")).alias("score_text"),
-        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss 'UTC'").alias("detected_at"),
+        F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("created_at").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss 'UTC'").alias("detected_at"),
         F.transform(parts, escape_html).alias("reasons_html"),
     )

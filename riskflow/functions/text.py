@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Everything up to and including the space counts as blank at the ends; Spark's own trim takes spaces only.
-_ENDS = r"^[\x00-\x20]+|[\x00-\x20]+$"
-_BLANK = r"^\s*$"
+_ENDS = r"\A[\x00-\x20]+|[\x00-\x20]+\z"
+_BLANK = r"\A[\x00-\x20\s]*\z"
 
 
 def _col(value: Column | str) -> Column:
@@ -15,7 +15,7 @@ def _col(value: Column | str) -> Column:
 
 
 def is_blank(value: Column | str) -> Column:
-    """True for null, empty and whitespace-only text."""
+    """True for null and empty text, and for text of white space and control characters only."""
     c = _col(value)
     return c.isNull() | c.rlike(_BLANK)
 
@@ -41,7 +41,7 @@ def normalize_channel(value: Column | str) -> Column:
 def normalize_hex(value: Column | str, length: int) -> Column:
     """Lower-case hex of exactly `length` digits (dashes dropped), or null."""
     c = F.replace(F.lower(strip(value)), F.lit("-"), F.lit(""))
-    return F.when(c.rlike(f"^[0-9a-f]{{{length}}}$"), c)
+    return F.when(c.rlike(f"\\A[0-9a-f]{{{length}}}\\z"), c)
 
 
 def generated_hex(source: Column | str, length: int) -> Column:

@@ -9,8 +9,8 @@ from .text import is_blank
 
 # Accepted payment methods, code patterns and the message of each check.
 PAYMENT_METHODS = ("CARD", "TRANSFER", "WALLET", "CASH")
-CURRENCY_PATTERN = "^[A-Z]{3}$"
-COUNTRY_PATTERN = "^[A-Z]{2}$"
+CURRENCY_PATTERN = r"\A[A-Z]{3}\z"
+COUNTRY_PATTERN = r"\A[A-Z]{2}\z"
 MIN_AMOUNT = "0.01"
 USER_REQUIRED = "userId is required"
 AMOUNT_REQUIRED = "amount is required"
@@ -83,6 +83,6 @@ FRAUD_REQUIRED = ("transaction_id", "user_id", "risk_score")
 
 
 def drop_tombstones(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(records with a payload, records without). On the main stream the second part is dropped; on a
-    dead-letter stream it counts as failed."""
+    """(records with a payload, records without). On the main stream the second part is passed over and
+    counted; on a dead-letter stream it counts as failed."""
     return df.filter(F.col(value).isNotNull()), df.filter(F.col(value).isNull())

@@ -5,33 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mapping import to_payload
+from .. import schemas
 from .ordered import first_arrival
 
 
 def drop_processed(df: DataFrame, processed: DataFrame | None = None, id_col: str = "event_id", seq: str = "seq") -> DataFrame:
-    """The first row per id, unless the id was processed before."""
-    first = first_arrival(df, [id_col], seq)
-    if processed is None:
-        return first
-    return first.join(processed.select(id_col), id_col, "left_anti")
+    """The first row per id, unless the id was processed before. Rows without an id can't be told apart and all stay."""
+    named, unnamed = df.filter(F.col(id_col).isNotNull()), df.filter(F.col(id_col).isNull())
+    first = first_arrival(named, [id_col], seq)
+    if processed is not None:
+        first = first.join(processed.select(id_col), id_col, "left_anti").select(*first.columns)
+    return first.unionByName(unnamed)
 
 
 def processed_markers(df: DataFrame, at: Column | str = "occurred_at", id_col: str = "event_id") -> DataFrame:
     return df.select(id_col, (F.col(at) if isinstance(at, str) else at).alias("processed_at"))
 
 
+def letters(rows: DataFrame, topic: str) -> DataFrame:
+    """Rows with `error_code` as records of a dead-letter stream: key, value, topic, partition, offset, error_code.
+
+    A record that came from a stream keeps its own key, payload, partition and offset. A row that never was a record gets the
+    payload that its event would have had.
+    """
+    back = {v: k for k, v in schemas.EVENT_COLUMNS.items()}
+    known = {f.name for f in (*schemas.CREATED_EVENT.fields, *schemas.FRAUD_EVENT.fields)}
+    events = F.struct(*(F.col(c).alias(back.get(c, c)) for c in rows.columns if back.get(c, c) in known))
+    have = lambda name, kind: F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+    return rows.select(
+        (F.col("key") if "key" in rows.columns else F.col("transaction_id")).cast("string").alias("key"),
+        (F.col("value").cast("string") if "value" in rows.columns else F.to_json(events, schemas.JSON_OPTIONS)).alias("value"),
+        F.lit(f"{topic}.dlq").alias("topic"), have("partition", "int").alias("partition"), have("offset", "long").alias("offset"),
+        F.col("error_code"),
+    )
+
+
 def route_dlq(df: DataFrame, reason: Column, topic: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to process, dead letters). A dead letter keeps partition, key and payload of its record."""
+    """(rows to process, dead letters)."""
     marked = df.withColumn("error_code", reason)
-    partition = F.col("partition") if "partition" in df.columns else F.lit(None).cast("int")
-    fields = [c for c in df.columns if c not in ("key", "value", "partition")]
-    value = F.col("value") if "value" in df.columns else to_payload(fields)
-    key = F.col("key") if "key" in df.columns else F.col("transaction_id")
-    dead = marked.filter(F.col("error_code").isNotNull()).select(
-        F.lit(f"{topic}.dlq").alias("topic"), partition.alias("partition"), key.cast("string").alias("key"),
-        value.cast("string").alias("value"), "error_code",
-    )
+    dead = letters(marked.filter(F.col("error_code").isNotNull()), topic)
     return marked.filter(F.col("error_code").isNull()).drop("error_code"), dead
 
 

@@ -119,6 +119,8 @@ def against_stored(
         recent = history.select(*cols).limit(0)
     else:
         recent = after(history, "occurred_at", earliest - micros(reach)).select(*cols)
+        # rows of users that the batch doesn't have can change nothing, and are not sorted
+        recent = recent.join(new.select("user_id").distinct(), "user_id", "left_semi").select(*cols)
     both = new.withColumn("_stored", F.lit(False)).unionByName(
         recent.withColumn("_stored", F.lit(True)), allowMissingColumns=True
     )

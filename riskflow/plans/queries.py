@@ -14,7 +14,7 @@ from ..operators import alerts as A
 from ..operators import counts as C
 from ..operators import delivery, history, logs, ordered, outbox, rules, series, slo, traces
 from ..session import settled, shared_folder
-from ..sources import files, traffic
+from ..sources import files
 from ..sources import tables as stored
 from ..streaming import jobs
 from . import panels
@@ -216,9 +216,9 @@ def payload_round_trip(spark, folder):
 
 @query
 def error_texts(spark, folder):
-    """Long, short and blank messages from the documents."""
+    """Messages from the documents, long and short; every seventh is missing or blank."""
     docs = T.read(spark, folder, "documents")
-    message = F.when(F.col("lang") == "en", F.col("text")).when(F.col("doc_id") % 2 == 0, "  ")
+    message = F.when(F.col("doc_id") % 14 == 0, "  ").when(F.col("doc_id") % 7 != 0, F.col("text"))
     return docs.select("doc_id", text.error_text(message, F.col("source")).alias("error"))
 
 
@@ -257,7 +257,7 @@ def poison_reasons(spark, folder):
 def dead_letters(spark, folder):
     rows = _flawed(spark, folder)
     _, dead = delivery.route_dlq(rows, validation.poison_reason(rows, validation.TRANSACTION_REQUIRED), files.TRANSACTIONS_TOPIC)
-    return dead.select("topic", "key", F.get_json_object("value", "$.user_id").alias("user_id"), "error_code")
+    return dead.select("topic", "key", F.get_json_object("value", "$.userId").alias("user_id"), "error_code")
 
 
 @query
@@ -292,15 +292,6 @@ def status_classes(spark, folder):
     return C.status_classes(T.load_results(spark, folder))
 
 
-@query
-def traffic_mix(spark, folder):
-    """One drawn request per event."""
-    ids = T.read(spark, folder, "events").select(F.col("event_id").alias("id"))
-    mix = traffic.requests_for(ids, traffic.PROFILES["chaos-5xx"], users=600, seed=7)
-    return mix.select("request_id", "kind", "userId", F.col("amount").cast("long").alias("amount"), "merchantId", "country",
-                      "paymentMethod", "channel")
-
-
 # ------------------------------------------------------------------ delivery
 
 
@@ -339,9 +330,11 @@ def late_rows(spark, folder):
 
 @query
 def stage_funnel(spark, folder):
-    tx = T.transactions(spark, folder)
-    decided = T.scored(spark, folder).filter(F.col("event_type") != "error")
-    return delivery.stage_funnel(tx, decided, T.alerts(spark, folder))
+    """Decisions are missing for errors, and alerts for views; all of it from one scored table."""
+    scored = settled(T.scored(spark, folder))
+    decided = scored.filter(F.col("event_type") != "error")
+    alerts = scored.filter(F.col("fraudulent") & (F.col("event_type") != "view"))
+    return delivery.stage_funnel(scored, decided, alerts)
 
 
 @query
@@ -695,9 +688,9 @@ _RULE_METRICS = [
 
 @query
 def rule_states(spark, folder):
-    """All service-level rules over the middle hours, with a small denominator floor so that slow stages count."""
-    kept = M.samples(spark, folder, _RULE_METRICS)
-    states = slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=_time(1, 4), t1=_time(1, 8), scrape=M.SCRAPE)
+    """All service-level rules over all hours, with a small denominator floor so that slow stages count."""
+    kept = settled(M.samples(spark, folder, _RULE_METRICS))
+    states = slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=_time(1, 0), t1=_time(1, 12), scrape=M.SCRAPE)
     return states.select(us("ts", "us"), "rule", "severity", "labels", F.round("value", 9).alias("value"), "state")
 
 
@@ -851,17 +844,112 @@ def stream_scored(spark, folder):
         "event_id", "user_id", "prior_count", "risk_score", "fraudulent", joined("reasons", "reasons"))
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    """The transactions as records of a stream: key, value, topic, partition, offset, and what kind of event each is."""
+    return T.created_events(spark, folder).select(
+        F.col("transactionId").alias("key"), mapping.to_payload([f.name for f in schemas.CREATED_EVENT.fields]).alias("value"),
+        F.lit(files.TRANSACTIONS_TOPIC).alias("topic"), F.lit(0).alias("partition"), F.col("seq").alias("offset"), "event_type")
+
+
+def _decisions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("event_id", "user_id", "prior_count", "risk_score", "fraudulent", joined("reasons", "reasons"))
+
+
 @query
-def stream_stateful(spark, folder):
-    """The scorer with a small state per user, in arrival order."""
-    from ..streaming import stateful
+def stream_two_channels(spark, folder):
+    """Requests split by channel into two streams that write one table, and one of them started anew."""
+    out = _fresh_folder(spark)
+    requests = T.requests(spark, folder, streaming=True)
+    hook = F.coalesce(F.col("channel") == "webhook", F.lit(False))
+    for name, mine in (("api", ~hook), ("hook", hook), ("none", F.lit(False))):
+        jobs.ingest_stream(requests.filter(mine), f"{out}/transactions", f"{out}/{name}", lambda events, n: None, f"{out}/rejected").awaitTermination()
+    rows = stored.read_table(spark, f"{out}/transactions", schemas.TRANSACTION)
+    return rows.select("id", "user_id", (F.col("amount") * 100).cast("long").alias("cents"), "currency", "country", "merchant_id", us("created_at", "us"))
+
 
+@query
+def stream_redelivered(spark, folder):
+    """Every event, then every error event once more in a second file: scored and published once."""
+    out = _fresh_folder(spark)
+    records = settled(_events(spark, folder))
+    again = records.filter("event_type = 'error'").withColumn("offset", F.col("offset") + 10**9)
+    # without its time, an event is known by its id alone
+    again = again.withColumn("value", F.regexp_replace("value", '"occurredAt":"[^"]*",', ""))
+    for part in (records, again):
+        files.write_records(part.drop("event_type"), path=f"{out}/in")
+        jobs.score_stream(files.read_events(spark, path=f"{out}/in"), f"{out}/history", f"{out}/decisions", f"{out}/checkpoint", dlq_path=f"{out}/dlq",
+                          publish=lambda events, n: files.write_records(files.as_records(events), path=f"{out}/fraud")).awaitTermination()
+    sent = spark.read.schema("key string").json(f"{out}/fraud").groupBy("key").agg(F.count(F.lit(1)).alias("sent"))
+    done = spark.read.parquet(f"{out}/decisions").join(sent, F.col("transaction_id") == F.col("key"), "left")
+    return done.select("event_id", "risk_score", F.coalesce("sent", F.lit(0)).alias("sent"))
+
+
+@query
+def stream_same_transaction(spark, folder):
+    """Second events of the transactions of error events go to the dead letters undecided."""
     out = _fresh_folder(spark)
-    done = stateful.score_stateful(_stream(spark, folder)).select(
-        "event_id", F.coalesce("prev_country", F.lit("")).alias("prev_country"), "risk_score", joined("reasons", "reasons"))
-    run = done.writeStream.format("parquet").option("path", f"{out}/decisions").option("checkpointLocation", f"{out}/checkpoint")
+    records = settled(_events(spark, folder))
+    again = records.filter("event_type = 'error'").withColumn("offset", F.col("offset") + 10**9)
+    again = again.withColumn("value", F.regexp_replace("value", '"eventId":"', '"eventId":"again-'))
+    for part in (records, again):
+        files.write_records(part.drop("event_type"), path=f"{out}/in")
+        jobs.score_stream(files.read_events(spark, path=f"{out}/in"), f"{out}/history", f"{out}/decisions", f"{out}/checkpoint", dlq_path=f"{out}/dlq").awaitTermination()
+    done = spark.read.parquet(f"{out}/decisions").select("transaction_id", F.lit("decided").alias("outcome"))
+    letters = spark.read.schema("key string, error_code string").json(f"{out}/dlq").select(F.col("key").alias("transaction_id"), F.col("error_code").alias("outcome"))
+    return done.unionByName(letters).groupBy("transaction_id").agg(F.array_join(F.array_sort(F.collect_list("outcome")), ",").alias("outcomes"))
+
+
+@query
+def stream_deduplicated(spark, folder):
+    """First arrivals of a stream in which every error event comes twice."""
+    out = _fresh_folder(spark)
+    records = settled(_events(spark, folder))
+    twice = records.unionByName(records.filter("event_type = 'error'"))
+    files.write_records(twice.drop("event_type"), path=f"{out}/in")
+    first = jobs.dedup_stream(files.read_events(spark, path=f"{out}/in")).select("event_id", "user_id")
+    run = first.writeStream.format("parquet").option("path", f"{out}/first").option("checkpointLocation", f"{out}/checkpoint")
     run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/decisions")
+    return spark.read.schema("event_id string, user_id string").parquet(f"{out}/first")
+
+
+@query
+def stream_poison(spark, folder):
+    """Events without an id, and what the stream makes of the others, letters included."""
+    out = _fresh_folder(spark)
+    records = _events(spark, folder)
+    spoiled = records.withColumn("value", F.when(F.col("event_type") == "error", F.regexp_replace("value", '"eventId":"[^"]*",', "")).otherwise(F.col("value")))
+    files.write_records(spoiled.drop("event_type"), path=f"{out}/in")
+    jobs.score_stream(files.read_events(spark, path=f"{out}/in"), f"{out}/history", f"{out}/decisions", f"{out}/checkpoint", dlq_path=f"{out}/dlq").awaitTermination()
+    letters = files.read_dlq(spark, path=f"{out}/dlq", streaming=False)
+    done = spark.read.parquet(f"{out}/decisions").select("transaction_id", F.lit("").alias("topic"))
+    return done.unionByName(letters.select(F.col("key").alias("transaction_id"), "topic"))
+
+
+@query
+def read_back_records(spark, folder):
+    """Created events written as records and read back through the event source."""
+    out = _fresh_folder(spark)
+    files.write_records(_events(spark, folder).drop("event_type"), path=f"{out}/in")
+    back = files.read_events(spark, path=f"{out}/in", streaming=False)
+    return back.select("event_id", "user_id", us("occurred_at", "us"), (F.col("amount") * 100).cast("long").alias("cents"), "merchant_id")
+
+
+@query
+def read_back_requests(spark, folder):
+    """Requests written as JSON and read back through the request source."""
+    out = _fresh_folder(spark)
+    T.requests(spark, folder).select(*(f.name for f in schemas.REQUEST.fields)).write.json(f"{out}/in")
+    checked = validation.validate_requests(files.read_requests(spark, f"{out}/in", "api"))
+    return checked.groupBy("channel", (F.size("errors") == 0).alias("accepted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def read_back_samples(spark, folder):
+    """Metric samples written in the layout of their source and read back."""
+    out = _fresh_folder(spark)
+    M.samples(spark, folder, ["fraud_alerts_total"]).select(*(f.name for f in schemas.SAMPLE.fields)).write.parquet(f"{out}/samples")
+    back = files.read_samples(spark, f"{out}/samples")
+    return back.select(us("ts", "us"), "name", F.col("labels")["instance"].alias("instance"), F.round("value", 6).alias("value"))
 
 
 @query
@@ -869,12 +957,12 @@ def stream_alerts(spark, folder):
     """Two streams in a row: scoring publishes fraud events, which become alerts and notifications."""
     out = _fresh_folder(spark)
     jobs.score_stream(
-        _stream(spark, folder), f"{out}/history", f"{out}/decisions", f"{out}/c1",
+        _stream(spark, folder), f"{out}/history", f"{out}/decisions", f"{out}/c1", dlq_path=f"{out}/dlq1",
         publish=lambda events, n: files.write_records(files.as_records(events), path=f"{out}/fraud"),
         detected_at=F.col("occurred_at") + F.expr("interval 1 second"),
     ).awaitTermination()
     jobs.alert_stream(files.read_fraud_events(spark, path=f"{out}/fraud"), f"{out}/alerts", f"{out}/c2",
-                      notifications_path=f"{out}/sent", created_at=F.col("occurredAt")).awaitTermination()
+                      notifications_path=f"{out}/sent", dlq_path=f"{out}/dlq2", created_at=F.col("occurredAt")).awaitTermination()
     alerts = stored.read_alerts(spark, f"{out}/alerts")
     sent = spark.read.parquet(f"{out}/sent").groupBy("id").agg(F.count(F.lit(1)).alias("sent"))
     return alerts.join(sent, "id").select("id", "transaction_id", "user_id", "risk_score", "reasons", us("created_at", "created_us"), "sent")
@@ -882,21 +970,24 @@ def stream_alerts(spark, folder):
 
 @query
 def stream_dead_letters(spark, folder):
-    """Dead letters reprocessed from a stream: what fails again ends in the failed folder."""
-
+    """Dead letters reprocessed by the scorer: what fails again ends in the failed folder."""
     out = _fresh_folder(spark)
-    rows = T.created_events(spark, folder)
-    broken = rows.withColumn("eventId", F.when(F.col("event_type") != "error", F.col("eventId")))
-    payload = mapping.to_payload([f.name for f in schemas.CREATED_EVENT.fields])
-    letters = broken.select(
-        F.col("transactionId").alias("key"), F.when(F.col("event_type") != "signup", payload).alias("value"),
-        F.lit("transactions.created.dlq").alias("topic"), F.lit(0).alias("partition"), F.col("seq").alias("offset"))
-    files.write_records(letters, path=f"{out}/letters")
-    stored.create(spark, f"{out}/done", schemas.HISTORY)
-    run = jobs.reprocess_dlq(
-        files.read_dlq(spark, path=f"{out}/letters"),
-        lambda ok, n: stored.append_history(mapping.to_history(ok), f"{out}/done", n), f"{out}/failed", f"{out}/checkpoint")
-    run.awaitTermination()
-    done = stored.read_table(spark, f"{out}/done", schemas.HISTORY).select(F.lit("reprocessed").alias("outcome"))
+    records = _events(spark, folder)
+    value = F.when(F.col("event_type") == "error", F.regexp_replace("value", '"eventId":"[^"]*",', "")).when(F.col("event_type") != "signup", F.col("value"))
+    letters = records.withColumns({"value": value, "topic": F.concat("topic", F.lit(".dlq"))})
+    files.write_records(letters.drop("event_type"), path=f"{out}/letters")
+    work = jobs.scoring(f"{out}/history", f"{out}/decisions", "replay", dlq_path=f"{out}/dlq")
+    jobs.reprocess_dlq(files.read_dlq(spark, path=f"{out}/letters"), work, f"{out}/failed", f"{out}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{out}/decisions").select(F.lit("reprocessed").alias("outcome"))
     failed = spark.read.parquet(f"{out}/failed").select(F.col("error_code").alias("outcome"))
     return C.outcome_counts(done.unionByName(failed))
+
+
+@query
+def stream_replayed(spark, folder):
+    """All events as dead letters, scored by the replay: the decisions of the scorer."""
+    out = _fresh_folder(spark)
+    files.write_records(_events(spark, folder).drop("event_type").withColumn("topic", F.concat("topic", F.lit(".dlq"))), path=f"{out}/letters")
+    work = jobs.scoring(f"{out}/history", f"{out}/decisions", "replay", dlq_path=f"{out}/dlq")
+    jobs.reprocess_dlq(files.read_dlq(spark, path=f"{out}/letters"), work, f"{out}/failed", f"{out}/checkpoint").awaitTermination()
+    return _decisions(spark, f"{out}/decisions")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.mapping import to_columns, to_payload
+from .tables import Batch
 
 CHANNELS = ("api", "webhook")
 MAX_PARTITIONS = 65_536
@@ -32,6 +33,7 @@ RECORD = T.StructType(
         T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
         T.StructField("offset", T.LongType()),
+        T.StructField("timestamp", T.TimestampType()),
     ]
 )
 
@@ -44,7 +46,7 @@ def read_records(spark: SparkSession, *, topic: str | None = None, servers: str
     source = _reader(spark, streaming).format("kafka").option("kafka.bootstrap.servers", servers)
     loaded = source.option("subscribe", topic).option("startingOffsets", "earliest").options(**options).load()
     return loaded.select(
-        F.col("key").cast("string"), F.col("value").cast("string"), "topic", "partition", "offset"
+        F.col("key").cast("string"), F.col("value").cast("string"), "topic", "partition", "offset", "timestamp"
     )
 
 
@@ -66,9 +68,9 @@ def read_fraud_events(spark: SparkSession, **source) -> DataFrame:
 
 
 def read_dlq(spark: SparkSession, topic: str = TRANSACTIONS_TOPIC, **source) -> DataFrame:
-    """Dead letters of a topic, still raw."""
+    """Dead letters of a topic, still raw; a folder may hold those of many batches."""
     if "path" in source:
-        return read_records(spark, **source)
+        return read_records(spark, recursiveFileLookup="true", **source)
     return read_records(spark, topic=f"{topic}.dlq", **source)
 
 
@@ -89,6 +91,11 @@ def write_records(records: DataFrame, *, topic: str | None = None, servers: str
         records.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
+def put_letters(letters: DataFrame, path: str, batch: Batch) -> None:
+    """Dead letters of one batch as JSON records, in the layout that `read_dlq` reads; a repeated batch replaces them."""
+    letters.write.mode("overwrite").json(f"{path}/writer={batch.writer}/batch_id={batch.number}")
+
+
 def write_events(df: DataFrame, checkpoint: str, *, key: str = "transactionId", topic: str | None = None,
                  servers: str | None = None, path: str | None = None, trigger: dict | None = None):
     """Start a streaming write of events as keyed records."""

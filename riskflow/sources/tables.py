@@ -1,66 +1,131 @@
-"""Append-only tables as Parquet folders that survive repeated and lost batches.
+"""Append-only tables as Parquet folders that several writers share and that survive repeated and lost batches.
 
-Rows of one batch live under `batch_id=N/day=D`. Writing the same batch again replaces it, so a task or a
-whole batch may be repeated. A reader working on batch N leaves out N and later.
+Rows live under `day=D/writer=W/batch_id=N`. A writer is a stream with its checkpoint; writing one of its batches again
+replaces that batch only, so a task or a whole batch may be repeated. A reader that works on batch N of a writer leaves
+out that writer's batches from N on, and reads all batches of other writers. Readers open only the days in reach.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+from datetime import date, datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 
+PLACE = ("day", "writer", "batch_id")
+COMPACTED = "compacted"
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
-def _with_partitions(schema: T.StructType) -> T.StructType:
-    return T.StructType(
-        [*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())]
-    )
+
+@dataclass(frozen=True)
+class Batch:
+    """One batch of one writer."""
+
+    writer: str
+    number: int
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def create(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Make sure the folder exists, without touching data that is there."""
-    empty = spark.createDataFrame([], _with_partitions(schema))
-    empty.write.mode("append").partitionBy("batch_id", "day").parquet(path)
+def writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that has this checkpoint, kept inside it: a new checkpoint is a new writer."""
+    fs, place = _hadoop(spark, f"{checkpoint}/writer-name")
+    if fs.exists(place):
+        return fs.listStatus(place)[0].getPath().getName()
+    name = uuid.uuid4().hex[:12]
+    fs.mkdirs(place.suffix(f"/{name}"))
+    return name
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, before_batch: int | None = None) -> DataFrame:
-    table = spark.read.schema(_with_partitions(schema)).parquet(path)
-    return table if before_batch is None else table.filter(F.col("batch_id") < before_batch)
+def batch_time(spark: SparkSession, checkpoint: str, number: int) -> datetime:
+    """When a batch was first tried, kept in its checkpoint: a repeated batch gives its rows the same time."""
+    fs, place = _hadoop(spark, f"{checkpoint}/batch-times/{number}")
+    if fs.exists(place):
+        micros = int(fs.listStatus(place)[0].getPath().getName())
+        return datetime.fromtimestamp(micros // 1_000_000, timezone.utc).replace(microsecond=micros % 1_000_000)
+    now = datetime.now(timezone.utc)
+    fs.mkdirs(place.suffix(f"/{int(now.timestamp()) * 1_000_000 + now.microsecond}"))
+    # a stream never goes back by more than a few batches
+    fs.delete(_hadoop(spark, f"{checkpoint}/batch-times/{number - 100}")[1], True)
+    return now
 
 
-def put_batch(df: DataFrame, path: str, batch_id: int, day: Column | None) -> None:
+def _with_partitions(schema: T.StructType) -> T.StructType:
+    place = [T.StructField("day", T.DateType()), T.StructField("writer", T.StringType()), T.StructField("batch_id", T.LongType())]
+    return T.StructType([*schema.fields, *place])
+
+
+def _days(spark: SparkSession, path: str, first: date | None, last: date | None) -> list[str]:
+    """Folders of the days in a range (rows without a day always count); one listing of the top folder."""
+    fs, place = _hadoop(spark, path)
+    if not fs.exists(place):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory() and s.getPath().getName().startswith("day=")]
+    low, high = (d.isoformat() if d else None for d in (first, last))
+    kept = [n for n in names if n == f"day={_NO_DAY}" or ((low is None or n[4:] >= low) and (high is None or n[4:] <= high))]
+    return sorted(f"{path}/{n}" for n in kept)
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, before: Batch | None = None, first: date | None = None,
+    last: date | None = None,
+) -> DataFrame:
+    """Rows of the days from `first` to `last`, without batches of the reader's own writer from its own batch on."""
+    days = _days(spark, path, first, last)
+    if not days:
+        return spark.createDataFrame([], _with_partitions(schema))
+    table = spark.read.schema(_with_partitions(schema)).option("basePath", path).parquet(*days)
+    if before is None:
+        return table
+    return table.filter((F.col("writer") != before.writer) | (F.col("batch_id") < before.number))
+
+
+def put_batch(df: DataFrame, path: str, batch: Batch, day: Column | None) -> None:
     """Write a batch, replacing an earlier attempt at the same batch."""
-    dated = df.withColumn("day", (F.lit(None).cast("date") if day is None else F.to_date(day)))
-    dated.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+    placed = df.withColumns({
+        "day": F.lit(None).cast("date") if day is None else F.to_date(day), "writer": F.lit(batch.writer), "batch_id": F.lit(batch.number).cast("long"),
+    })
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*PLACE).parquet(path)
 
 
-def append_transactions(df: DataFrame, path: str, batch_id: int) -> None:
+def append_transactions(df: DataFrame, path: str, batch: Batch) -> None:
     names = [f.name for f in schemas.TRANSACTION.fields]
-    put_batch(df.select(*names), path, batch_id, F.col("created_at"))
+    put_batch(df.select(*names), path, batch, F.col("created_at"))
+
 
+def stored_ids(df: DataFrame, stored: DataFrame, column: str) -> DataFrame:
+    """Those ids of the batch that are stored, on whatever day: only the id column of the table is read."""
+    return stored.select(column).join(df.select(column).distinct(), column, "left_semi").distinct()
 
-def append_history(df: DataFrame, path: str, batch_id: int) -> None:
-    """History rows whose transaction id is not stored yet. Ids are compared with stored rows of the days
-    the batch touches, so old partitions are not read."""
+
+def append_history(df: DataFrame, path: str, batch: Batch) -> None:
+    """History rows whose transaction id is not stored yet."""
     from ..operators.ordered import first_arrival
 
-    spark = df.sparkSession
-    create(spark, path, schemas.HISTORY)
     names = [f.name for f in schemas.HISTORY.fields]
     rows = first_arrival(df.select(*names), ["transaction_id"], "seq")
-    span = rows.agg(F.to_date(F.min("occurred_at")), F.to_date(F.max("occurred_at"))).first()
-    stored = read_table(spark, path, schemas.HISTORY, before_batch=batch_id)
-    if span[0] is not None:
-        stored = stored.filter(F.col("day").between(F.lit(span[0]), F.lit(span[1])))
-    fresh = rows.join(stored.select("transaction_id"), "transaction_id", "left_anti")
-    put_batch(fresh.select(*names), path, batch_id, F.col("occurred_at"))
+    known = stored_ids(rows, read_table(df.sparkSession, path, schemas.HISTORY, before=batch), "transaction_id")
+    put_batch(rows.join(known, "transaction_id", "left_anti").select(*names), path, batch, F.col("occurred_at"))
+
 
+def append_markers(df: DataFrame, path: str, batch: Batch, at: Column) -> None:
+    """Markers of processed events, by the day on which they were processed."""
+    put_batch(df.select("event_id", at.alias("processed_at")), path, batch, at)
 
-def append_alerts(df: DataFrame, path: str, batch_id: int) -> None:
+
+def append_alerts(df: DataFrame, path: str, batch: Batch) -> None:
     names = [f.name for f in schemas.ALERT.fields]
-    put_batch(df.select(*names), path, batch_id, F.col("created_at"))
+    put_batch(df.select(*names), path, batch, F.col("created_at"))
 
 
 def read_alerts(spark: SparkSession, path: str, t0=None, t1=None) -> DataFrame:
@@ -72,7 +137,7 @@ def read_alerts(spark: SparkSession, path: str, t0=None, t1=None) -> DataFrame:
         table = table.filter(F.col("day") >= F.to_date(F.lit(t0)))
     if t1 is not None:
         table = table.filter(F.col("day") <= F.to_date(F.lit(t1)))
-    return in_range(table, "created_at", t0, t1).drop("batch_id", "day")
+    return in_range(table, "created_at", t0, t1).drop(*PLACE)
 
 
 def expire_table(spark: SparkSession, path: str, schema: T.StructType, ts: str, cutoff, target: str) -> None:
@@ -80,4 +145,14 @@ def expire_table(spark: SparkSession, path: str, schema: T.StructType, ts: str,
     kept = read_table(spark, path, schema).filter(
         (F.col("day") >= F.to_date(F.lit(cutoff))) & (F.col(ts) >= F.lit(cutoff))
     )
-    kept.write.mode("overwrite").partitionBy("batch_id", "day").parquet(target)
+    kept.write.mode("overwrite").partitionBy(*PLACE).parquet(target)
+
+
+def compact_table(spark: SparkSession, path: str, schema: T.StructType, closed_before: date, target: str) -> None:
+    """A copy of a table in which the many small batches of each closed day are one; open days keep their batches,
+    so a stream that goes on with the copy can still repeat its last batch."""
+    closed = F.col("day") < F.lit(closed_before)
+    rows = read_table(spark, path, schema)
+    merged = rows.withColumns({"writer": F.when(closed, COMPACTED).otherwise(F.col("writer")), "batch_id": F.when(closed, 0).otherwise(F.col("batch_id"))})
+    # rows of one day may be many, so a day is dealt out and not sent to one task
+    merged.repartition(F.col("day"), F.pmod(F.xxhash64(*(f.name for f in schema.fields)), F.lit(8))).write.mode("overwrite").partitionBy(*PLACE).parquet(target)

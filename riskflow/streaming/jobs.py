@@ -1,8 +1,11 @@
 """Streaming jobs: score, raise alerts, route and reprocess dead letters.
 
-Each micro-batch is scored by the same windows as a whole table, against the stored history of earlier
-batches, so a user who sends most of a batch is split over tasks like in batch work. Every output is a
-folder per batch that a repeated batch replaces; a checkpointed query that restarts changes nothing.
+Each micro-batch is scored by the same windows as a whole table, against the stored history of earlier batches and of other
+writers, so a user who sends most of a batch is split over tasks like in batch work. Every output is a folder per writer and batch
+that a repeated batch replaces; a checkpointed query that restarts changes nothing, and several queries may share a table.
+
+An event has one effect. Its marker is stored under its id alone, so it is known again whatever time it bears, for as long as
+markers are kept. A second event with a stored transaction id goes to the dead letters before anything is decided on it.
 """
 
 from __future__ import annotations
@@ -21,14 +24,18 @@ from ..functions.validation import (
     FRAUD_REQUIRED, TRANSACTION_REQUIRED, drop_tombstones, poison_reason, split_valid, validate_requests,
 )
 from ..operators.alerts import Channels, deliver, fan_out
-from ..operators.delivery import drop_processed, route_dlq
-from ..operators.history import after, earliest_us
+from ..operators.delivery import drop_processed, letters, route_dlq
+from ..operators.ordered import first_arrival, numbered as numbered_rows
 from ..operators.rules import RULE_VERSION, RuleConfig, score_batch
 from ..sources import tables
-from ..sources.files import FRAUD_TOPIC, TRANSACTIONS_TOPIC
+from ..sources.files import FRAUD_TOPIC, TRANSACTIONS_TOPIC, put_letters
+from ..sources.tables import Batch
 
 ONCE = {"availableNow": True}
 TTL = timedelta(hours=1)
+#: How long the marker of a processed event is kept.
+REMEMBER = timedelta(days=7)
+DUPLICATE_TRANSACTION = "DUPLICATE_TRANSACTION"
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -45,9 +52,18 @@ def _held(df: DataFrame, each: Callable[[DataFrame], None]) -> None:
         held.unpersist()
 
 
-def _with_payload(batch: DataFrame) -> DataFrame:
-    """Records without a payload are passed over on a main stream."""
-    return drop_tombstones(batch)[0] if "value" in batch.columns else batch
+def _with_payload(batch: DataFrame, counts_path: str, mine: Batch) -> DataFrame:
+    """Records with a payload. Those without are passed over on a main stream, and counted."""
+    if "value" not in batch.columns:
+        return batch
+    kept, empty = drop_tombstones(batch)
+    tables.put_batch(empty.agg(F.count(F.lit(1)).alias("tombstones")), counts_path, mine, None)
+    return kept
+
+
+def _record_time(batch: DataFrame, now: datetime) -> Column:
+    """When a record arrived, from the record where it says so, and the time of its batch elsewhere."""
+    return F.coalesce("timestamp", F.lit(now)) if "timestamp" in batch.columns else F.lit(now)
 
 
 def dedup_stream(df: DataFrame, id_col: str = "event_id", ts: str = "occurred_at", ttl: str = "1 hour") -> DataFrame:
@@ -57,26 +73,31 @@ def dedup_stream(df: DataFrame, id_col: str = "event_id", ts: str = "occurred_at
 
 def ingest_stream(
     requests: DataFrame, transactions_path: str, checkpoint: str, publish: Callable[[DataFrame, int], None],
-    rejected_path: str | None = None, trigger: dict | None = None,
+    rejected_path: str, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Requests to rows of the transactions table and to created events, from one validated batch.
 
-    A request without `request_id` is numbered within its batch; one without `created_at` gets the time
-    of its batch. The row and the event of a request share both. `publish` gets the events of each batch,
-    and gets them again when the batch is repeated.
+    A request without `request_id` is named by its stream, batch and place among equal requests of the batch, which a repeated
+    batch gives again however its files are split; one without `created_at` gets the time of its batch. The row and the event of a
+    request share both. `publish` gets the events of each batch, and gets them again when the batch is repeated.
     """
+    writer = tables.writer_of(requests.sparkSession, checkpoint)
+
     def each(batch: DataFrame, batch_id: int) -> None:
+        mine = Batch(writer, batch_id)
         if "request_id" not in batch.columns:
-            # a repeated batch reads the same files or offsets, so its rows get the same numbers
-            batch = batch.withColumn("request_id", F.concat_ws("-", F.lit(batch_id), F.monotonically_increasing_id()))
+            content = F.sha2(F.to_json(F.struct(*batch.columns)), 256)
+            # equal requests of a batch can't be told apart, so any order among them gives the same names
+            numbered = batch.withColumn("_content", content).withColumn("_seq", F.monotonically_increasing_id())
+            numbered = numbered_rows(numbered, ["_content"], ["_seq"], "_copy")
+            batch = numbered.withColumn("request_id", F.concat_ws("-", F.lit(writer), F.lit(batch_id), "_content", "_copy")).drop("_content", "_seq", "_copy")
         if "created_at" not in batch.columns:
-            batch = batch.withColumn("created_at", F.lit(datetime.now(timezone.utc)))
+            batch = batch.withColumn("created_at", _record_time(batch, tables.batch_time(batch.sparkSession, checkpoint, batch_id)))
 
         def work(held: DataFrame) -> None:
             ok, bad = split_valid(held)
-            if rejected_path:
-                tables.put_batch(bad.withColumn("errors", F.to_json("errors")), rejected_path, batch_id, F.col("created_at"))
-            tables.append_transactions(to_transactions(ok), transactions_path, batch_id)
+            tables.put_batch(bad.withColumn("errors", F.to_json("errors")), rejected_path, mine, F.col("created_at"))
+            tables.append_transactions(to_transactions(ok), transactions_path, mine)
             publish(to_created_events(ok), batch_id)
 
         _held(validate_requests(batch), work)
@@ -84,60 +105,82 @@ def ingest_stream(
     return _start(requests, each, checkpoint, trigger)
 
 
-def score_new(batch: DataFrame, history: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
-    """Score the events of one batch that are not in the history yet.
-
-    A redelivered event has the time of its first delivery, so only history from the batch's own time
-    span on can hold it; that bound and the rules' reach are literals, and older days are not read.
+def fresh_events(events: DataFrame, markers: DataFrame, history: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
+    """
+    (events to score, dead letters): of each event id the first arrival, unless a marker has it; of each transaction id the first of
+    these, unless the history has it. The others of a transaction are dead letters.
     """
-    earliest = earliest_us(batch, "occurred_at")
-    seen = None if earliest is None else after(history, "occurred_at", earliest - 1)
-    return score_batch(drop_processed(batch, seen), history, config)
+    known = tables.stored_ids(events, markers, "event_id")
+    fresh = drop_processed(events, known)
+    taken = tables.stored_ids(fresh, history, "transaction_id").withColumn("_taken", F.lit(True))
+    first = first_arrival(fresh.select("transaction_id", "event_id", "seq"), ["transaction_id"], "seq").select("event_id", F.lit(True).alias("_first"))
+    marked = fresh.join(taken, "transaction_id", "left").join(first, "event_id", "left")
+    again = F.col("_taken").isNotNull() | F.col("_first").isNull()
+    dead = marked.filter(again).drop("_taken", "_first").withColumn("error_code", F.lit(DUPLICATE_TRANSACTION))
+    return marked.filter(~again).select(*fresh.columns), letters(dead.select(*fresh.columns, "error_code"), topic)
 
 
 def score_stream(
-    events: DataFrame, history_path: str, decisions_path: str, checkpoint: str, config: RuleConfig = RuleConfig(),
-    dlq_path: str | None = None, topic: str = TRANSACTIONS_TOPIC, trigger: dict | None = None,
+    events: DataFrame, history_path: str, decisions_path: str, checkpoint: str, config: RuleConfig = RuleConfig(), *,
+    dlq_path: str, markers_path: str | None = None, topic: str = TRANSACTIONS_TOPIC, trigger: dict | None = None,
     keep: tuple[str, ...] = (), publish: Callable[[DataFrame, int], None] | None = None,
-    detected_at: Column | None = None,
+    detected_at: Column | None = None, remember: timedelta = REMEMBER,
 ) -> StreamingQuery:
     """Score a stream of created events (columns as from `decode`, with `seq`).
 
-    Writes decisions and history per batch; events that can never be stored go to `dlq_path`. `publish`
-    gets the fraud events of each batch, and gets them again when the batch is repeated: their ids stay
-    the same, so receivers can drop what they have seen.
+    Writes decisions, history and markers per batch. Events that can never be stored, and second events of a transaction, go to
+    `dlq_path` as the records they were. `publish` gets the fraud events of each batch, and gets them again when the batch is
+    repeated: their ids stay the same, so receivers can drop what they have seen. Empty payloads are counted under
+    `<dlq_path>-tombstones`; markers lie under `<history_path>-markers` unless another place is given.
     """
     spark = events.sparkSession
-    tables.create(spark, history_path, schemas.HISTORY)
+    each = scoring(history_path, decisions_path, tables.writer_of(spark, checkpoint), config, dlq_path=dlq_path, markers_path=markers_path,
+                   topic=topic, keep=keep, publish=publish, detected_at=detected_at, remember=remember,
+                   clock=lambda n: tables.batch_time(spark, checkpoint, n))
+    return _start(events, each, checkpoint, trigger)
+
+
+def scoring(
+    history_path: str, decisions_path: str, writer: str, config: RuleConfig = RuleConfig(), *, dlq_path: str,
+    markers_path: str | None = None, topic: str = TRANSACTIONS_TOPIC, keep: tuple[str, ...] = (),
+    publish: Callable[[DataFrame, int], None] | None = None, detected_at: Column | None = None, remember: timedelta = REMEMBER,
+    clock: Callable[[int], datetime] = lambda n: datetime.now(timezone.utc),
+) -> Callable[[DataFrame, int], None]:
+    """What `score_stream` does with each batch; also the work of `reprocess_dlq` on dead letters."""
+    markers_path = markers_path or f"{history_path}-markers"
     columns = ["event_id", "transaction_id", "user_id", "occurred_at", "seq", "prior_count", "risk_score", "fraudulent", "reasons"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark, mine, now = batch.sparkSession, Batch(writer, batch_id), clock(batch_id)
+
         def work(held: DataFrame) -> None:
             ok, dead = route_dlq(held, poison_reason(held, TRANSACTION_REQUIRED), topic)
-            if dlq_path:
-                tables.put_batch(dead, dlq_path, batch_id, None)
-            history = tables.read_table(spark, history_path, schemas.HISTORY, before_batch=batch_id)
-            _held(score_new(ok, history, config), lambda scored: _store(scored, batch_id))
+            # only the users and times that a batch can reach are kept of the history; see against_stored
+            history = tables.read_table(spark, history_path, schemas.HISTORY, before=mine)
+            markers = tables.read_table(spark, markers_path, schemas.PROCESSED, before=mine, first=(now - remember).date())
+            fresh, again = fresh_events(ok, markers, history, topic)
+            put_letters(dead.unionByName(again), dlq_path, mine)
+            _held(score_batch(fresh, history, config), lambda scored: store(scored, mine, now))
 
-        now = F.lit(datetime.now(timezone.utc))  # one time for the whole batch
-        _held(_with_payload(batch).withColumn("occurred_at", event_time("occurred_at", now)), work)
+        timed = _with_payload(batch, f"{dlq_path}-tombstones", mine)
+        _held(timed.withColumn("occurred_at", event_time("occurred_at", _record_time(timed, now))), work)
 
-    def _store(scored: DataFrame, batch_id: int) -> None:
+    def store(scored: DataFrame, mine: Batch, now: datetime) -> None:
         extra = [c for c in (*keep, "trace_id") if c in scored.columns]
-        tables.put_batch(scored.select(*columns, *extra), decisions_path, batch_id, F.col("occurred_at"))
+        tables.put_batch(scored.select(*columns, *extra), decisions_path, mine, F.col("occurred_at"))
         if publish:
-            publish(to_fraud_events(scored, RULE_VERSION, detected_at), batch_id)
-        tables.append_history(to_history(scored), history_path, batch_id)
+            publish(to_fraud_events(scored, RULE_VERSION, detected_at), mine.number)
+        tables.append_markers(scored, markers_path, mine, F.lit(now))
+        tables.append_history(to_history(scored), history_path, mine)
 
-    return _start(events, each, checkpoint, trigger)
+    return each
 
 
-def with_dlq(batch: DataFrame, batch_id: int, reason: Column, topic: str, ok_sink: Callable[[DataFrame], None],
-             dlq_path: str) -> None:
+def with_dlq(batch: DataFrame, mine: Batch, reason: Column, topic: str, ok_sink: Callable[[DataFrame], None], dlq_path: str) -> None:
     """Inside `foreachBatch`: good rows to `ok_sink`, the others to the dead-letter folder."""
     def work(held: DataFrame) -> None:
         ok, dead = route_dlq(held, reason, topic)
-        tables.put_batch(dead, dlq_path, batch_id, None)
+        put_letters(dead, dlq_path, mine)
         ok_sink(ok)
 
     _held(batch, work)
@@ -145,71 +188,79 @@ def with_dlq(batch: DataFrame, batch_id: int, reason: Column, topic: str, ok_sin
 
 def alert_stream(
     fraud: DataFrame, alerts_path: str, checkpoint: str, channels: Channels = Channels(),
-    notifications_path: str | None = None, dlq_path: str | None = None, created_at: Column | None = None,
-    ttl: timedelta = TTL, trigger: dict | None = None, senders: dict[str, Callable[[dict], None]] | None = None,
+    notifications_path: str | None = None, *, dlq_path: str, created_at: Column | None = None,
+    remember: timedelta = REMEMBER, trigger: dict | None = None, senders: dict[str, Callable[[dict], None]] | None = None,
 ) -> StreamingQuery:
     """Alerts from fraud events, one per source event, and one notification row per alert and channel.
 
     With `senders` (one callable per channel) the notifications are delivered and their outcomes written.
     """
     spark = fraud.sparkSession
-    tables.create(spark, alerts_path, schemas.ALERT)
+    writer, markers_path = tables.writer_of(spark, checkpoint), f"{alerts_path}-markers"
     back = {v: k for k, v in schemas.EVENT_COLUMNS.items()}
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        mine, now = Batch(writer, batch_id), tables.batch_time(spark, checkpoint, batch_id)
+
         def work(held: DataFrame) -> None:
             ok, dead = route_dlq(held, poison_reason(held, FRAUD_REQUIRED, None), FRAUD_TOPIC)
-            if dlq_path:
-                tables.put_batch(dead, dlq_path, batch_id, None)
-            stored = tables.read_table(spark, alerts_path, schemas.ALERT, before_batch=batch_id)
-            if created_at is None:
-                since = F.current_timestamp() - F.lit(ttl)
-                stored = stored.filter((F.col("day") >= F.to_date(since)) & (F.col("created_at") >= since))
-            fresh = drop_processed(ok, stored.select(F.col("source_event_id").alias("event_id")))
+            put_letters(dead, dlq_path, mine)
+            markers = tables.read_table(spark, markers_path, schemas.PROCESSED, before=mine, first=(now - remember).date())
+            fresh = drop_processed(ok, tables.stored_ids(ok, markers, "event_id"))
             named = fresh.select(*(F.col(c).alias(back.get(c, c)) for c in fresh.columns))
-            _held(to_alerts(named, created_at), lambda alerts: store(alerts, batch_id))
+            _held(to_alerts(named, created_at), lambda alerts: store(alerts, mine, now))
 
-        _held(_with_payload(batch), work)
+        _held(_with_payload(batch, f"{dlq_path}-tombstones", mine), work)
 
-    def store(alerts: DataFrame, batch_id: int) -> None:
-        tables.append_alerts(alerts, alerts_path, batch_id)
+    def store(alerts: DataFrame, mine: Batch, now: datetime) -> None:
+        tables.append_alerts(alerts, alerts_path, mine)
+        tables.append_markers(alerts.select(F.col("source_event_id").alias("event_id")), markers_path, mine, F.lit(now))
         fanned = fan_out(alerts, channels)
         if notifications_path and senders:
-            tables.put_batch(deliver(fanned, senders), notifications_path, batch_id, None)
+            tables.put_batch(deliver(fanned, senders), notifications_path, mine, None)
         elif notifications_path:
-            tables.put_batch(fanned.select("id", "channel", "position", "created_at"), notifications_path, batch_id,
-                             F.col("created_at"))
+            tables.put_batch(fanned.select("id", "channel", "position", "created_at"), notifications_path, mine, F.col("created_at"))
 
     return _start(fraud, each, checkpoint, trigger)
 
 
 def reprocess_dlq(
-    letters: DataFrame, transform: Callable[[DataFrame, int], None], failed_path: str, checkpoint: str,
+    letters_: DataFrame, transform: Callable[[DataFrame, int], None], failed_path: str, checkpoint: str,
     reason: Callable[[DataFrame], Column] = lambda df: poison_reason(df, TRANSACTION_REQUIRED),
     counts_path: str | None = None, trigger: dict | None = None, schema=schemas.CREATED_EVENT,
 ) -> StreamingQuery:
-    """Run dead letters through `transform(rows, batch_id)` again. What fails again is terminal: it is
-    written to `failed_path` and never queued a second time. An empty payload counts as failed."""
+    """Run dead letters through `transform(rows, batch_id)` again, which may be the scorer's own work (`scoring`).
+
+    What fails again is terminal: it is written to `failed_path` and never queued a second time. An empty payload counts as
+    failed, and so does every letter of a batch whose work raises an exception; the stream goes on.
+    """
     from ..sources.files import decode
 
+    writer = tables.writer_of(letters_.sparkSession, checkpoint)
+
     def each(batch: DataFrame, batch_id: int) -> None:
+        mine = Batch(writer, batch_id)
+
         def work(held: DataFrame) -> None:
             why = F.when(F.col("value").isNull(), "EMPTY_EVENT_PAYLOAD").otherwise(reason(held))
             marked = held.withColumn("error_code", why)
+            try:
+                transform(marked.filter(F.col("error_code").isNull()).drop("error_code"), batch_id)
+            except Exception as error:  # what the work can't do is the letters' failure, not the stream's
+                marked = marked.withColumn("error_code", F.coalesce("error_code", F.lit(type(error).__name__)))
             bad = marked.filter(F.col("error_code").isNotNull())
-            tables.put_batch(bad.select("topic", "partition", "key", "value", "error_code"), failed_path, batch_id, None)
-            transform(marked.filter(F.col("error_code").isNull()).drop("error_code"), batch_id)
+            tables.put_batch(bad.select("topic", "partition", "key", "value", "error_code"), failed_path, mine, None)
             if counts_path:
                 counts = marked.agg(
                     F.count(F.lit(1)).alias("received"),
                     F.count(F.when(F.col("error_code").isNull(), 1)).alias("reprocessed"),
                     F.count("error_code").alias("failed"),
                 )
-                tables.put_batch(counts, counts_path, batch_id, None)
+                tables.put_batch(counts, counts_path, mine, None)
 
         _held(decode(batch, schema), work)
 
-    return _start(letters, each, checkpoint, trigger)
+    return _start(letters_, each, checkpoint, trigger)
 
 
 def split_late(df: DataFrame, ts: str, cutoff) -> tuple[DataFrame, DataFrame]:

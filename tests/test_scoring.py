@@ -175,7 +175,7 @@ def test_stored_days_are_pruned_by_utc(spark, tmp_path, monkeypatch):
     rows = [("u", at(86_390 + i), 1, "m", "US") for i in range(4)] + [("u", at(86_401), 1, "m", "BR")]
     everything = tx(spark, rows)
     path = str(tmp_path / "h")
-    tables.append_history(to_history(everything.filter("seq < 4")), path, 0)
+    tables.append_history(to_history(everything.filter("seq < 4")), path, tables.Batch("w", 0))
     monkeypatch.setenv("TZ", "Asia/Tokyo")
     time.tzset()
     try:

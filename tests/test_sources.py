@@ -1,14 +1,13 @@
-"""Files, tables and the request mix."""
+"""Files and tables."""
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from riskflow import schemas
-from riskflow.functions.validation import split_valid, validate_requests
 from riskflow.session import rows_per_task, shared_folder
-from riskflow.sources import files, tables, traffic
+from riskflow.sources import files, tables
+from riskflow.sources.tables import Batch
 
 from .conftest import at, table
 
@@ -49,18 +48,19 @@ def history(spark, *rows):
 
 def test_history_keeps_one_row_per_transaction(spark, tmp_path):
     path = str(tmp_path / "h")
-    tables.append_history(history(spark, ("t1", 0), ("t1", 0), ("t2", 5)), path, 0)
-    tables.append_history(history(spark, ("t2", 5), ("t3", 90_000)), path, 1)
-    tables.append_history(history(spark, ("t2", 5), ("t3", 90_000)), path, 1)  # the batch is repeated
+    tables.append_history(history(spark, ("t1", 0), ("t1", 0), ("t2", 5)), path, Batch("w", 0))
+    tables.append_history(history(spark, ("t2", 5), ("t3", 90_000)), path, Batch("w", 1))
+    tables.append_history(history(spark, ("t2", 5), ("t3", 90_000)), path, Batch("w", 1))  # the batch is repeated
     read = tables.read_table(spark, path, schemas.HISTORY)
     assert table(read, "transaction_id", "batch_id") == [("t1", 0), ("t2", 0), ("t3", 1)]
+    assert len(tables._days(spark, path, at(86_400).date(), None)) == 1  # other days are not even listed
     plan = read.filter(F.col("day") > F.lit(at(0).date()))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
 
 
 def test_expired_table(spark, tmp_path):
     path, target = str(tmp_path / "h"), str(tmp_path / "kept")
-    tables.append_history(history(spark, ("old", 0), ("edge", 100), ("new", 90_000)), path, 0)
+    tables.append_history(history(spark, ("old", 0), ("edge", 100), ("new", 90_000)), path, Batch("w", 0))
     tables.expire_table(spark, path, schemas.HISTORY, "occurred_at", at(100), target)
     assert table(tables.read_table(spark, target, schemas.HISTORY), "transaction_id") == [("edge",), ("new",)]
 
@@ -68,35 +68,13 @@ def test_expired_table(spark, tmp_path):
 def test_alert_and_transaction_tables(spark, tmp_path):
     alert = spark.createDataFrame([("a", "t", "u", 70, "X", at(0), "e", None)], schemas.ALERT)
     for _ in range(2):
-        tables.append_alerts(alert, str(tmp_path / "a"), 4)
+        tables.append_alerts(alert, str(tmp_path / "a"), Batch("w", 4))
     assert tables.read_alerts(spark, str(tmp_path / "a")).count() == 1
     assert tables.read_alerts(spark, str(tmp_path / "a"), at(0), at(5)).count() == 1
     assert tables.read_alerts(spark, str(tmp_path / "a"), at(1), None).count() == 0
     tx = spark.createDataFrame([("t", "u", None, "USD", "m", "US", "CARD", at(0))], schemas.TRANSACTION)
-    tables.append_transactions(tx, str(tmp_path / "t"), 0)
-    assert (tmp_path / "t" / "batch_id=0" / "day=2024-01-01").is_dir()
-
-
-def test_mix_is_reproducible_and_follows_its_weights(spark):
-    mix = traffic.traffic_mix(spark, 20_000, traffic.PROFILES["chaos-5xx"], seed=3).cache()
-    assert table(mix.limit(50)) == table(traffic.traffic_mix(spark, 20_000, traffic.PROFILES["chaos-5xx"], seed=3).repartition(7).filter(
-        F.col("request_id").isin([r.request_id for r in mix.limit(50).collect()])))
-    share = {r.kind: r["count"] / 200 for r in mix.groupBy("kind").count().collect()}
-    for kind, weight in zip(traffic.KINDS, traffic.PROFILES["chaos-5xx"]):
-        assert share[kind] == pytest.approx(weight, abs=1.5)
-    hooks = mix.filter("channel = 'webhook'").count() / 200
-    assert hooks == pytest.approx(35, abs=1.5)
-
-
-def test_mix_kinds_meet_validation(spark):
-    ok, bad = split_valid(validate_requests(traffic.traffic_mix(spark, 3000)))
-    assert {r.kind for r in bad.select("kind").distinct().collect()} == {"invalid"}
-    assert ok.filter("kind = 'velocity'").select("userId").distinct().count() <= 4
-
-
-def test_mix_rejects_bad_weights(spark):
-    with pytest.raises(ValueError):
-        traffic.traffic_mix(spark, 1, (50, 0, 0, 0, 0))
+    tables.append_transactions(tx, str(tmp_path / "t"), Batch("w", 0))
+    assert (tmp_path / "t" / "day=2024-01-01" / "writer=w" / "batch_id=0").is_dir()
 
 
 def test_settings(spark):

@@ -13,7 +13,8 @@ from riskflow.functions import mapping
 from riskflow.operators import rules
 from riskflow.operators.alerts import Channels
 from riskflow.sources import files, tables
-from riskflow.streaming import jobs, stateful
+from riskflow.sources.tables import Batch
+from riskflow.streaming import jobs
 
 from .conftest import at, table
 from .test_scoring import random_rows, replay
@@ -72,34 +73,86 @@ def test_stream_scores_like_a_replay_and_survives_restarts(spark, tmp_path, arri
     got = {int(r.event_id[1:]): (r.prior_count, r.risk_score, r.fraudulent, r.reasons) for r in done.collect()}
     assert done.count() == 300 and got == want(rows, batches)
     assert sorted(published) == sorted(f"t{i}" for i, r in got.items() if r[2])
-    dead = spark.read.parquet(str(tmp_path / "dlq"))
-    assert table(dead, "topic", "key", "error_code") == [("transactions.created.dlq", "t999", "NULL_EVENT_ID")]
+    dead = spark.read.json(str(tmp_path / "dlq"))
+    assert table(dead, "topic", "key", "error_code", "offset") == [("transactions.created.dlq", "t999", "NULL_EVENT_ID", 999)]
+    assert spark.read.parquet(str(tmp_path / "dlq-tombstones")).agg(F.sum("tombstones")).first()[0] == 1
     assert tables.read_table(spark, folders[0], schemas.HISTORY).count() == 300
 
 
-def test_repeated_batch_changes_nothing(spark, tmp_path, arrivals):
-    """The same batch written twice (a restart after the outputs, before the commit)."""
+def uncommitted(checkpoint):
+    """As after a stop between a batch's outputs and its commit: the batch is repeated."""
+    for name in (checkpoint / "commits").iterdir():
+        name.unlink()
+
+
+def test_repeated_batch_and_other_stream_change_nothing(spark, tmp_path, arrivals):
     rows, _ = arrivals
     inbox = tmp_path / "in"
     drop(inbox, "b0", [event(i, rows[i]) for i in range(100)])
     folders = [str(tmp_path / n) for n in ("history", "decisions")]
-    for attempt in range(2):  # a new checkpoint starts at batch 0 again
-        jobs.score_stream(source(spark, inbox), *folders, str(tmp_path / f"c{attempt}")).awaitTermination()
+    for name in ("c0", "c0", "c1"):  # repeated, then a stream of its own over the same events
+        jobs.score_stream(source(spark, inbox), *folders, str(tmp_path / name), dlq_path=str(tmp_path / "dlq")).awaitTermination()
+        if name == "c0":
+            uncommitted(tmp_path / "c0")
     assert spark.read.parquet(folders[1]).count() == 100
     assert tables.read_table(spark, folders[0], schemas.HISTORY).count() == 100
 
 
-def test_stateful_scorer_matches_the_replay(spark, tmp_path, arrivals):
-    rows, batches = arrivals
+def test_one_effect_per_event_and_transaction(spark, tmp_path, arrivals):
+    rows, _ = arrivals
+    inbox, published = tmp_path / "in", []
+    untimed = lambda e: e | {"value": json.dumps({k: v for k, v in json.loads(e["value"]).items() if k != "occurredAt"})}
+    other = event(7, rows[7]) | {"offset": 901, "value": event(7, rows[7])["value"].replace('"e7"', '"e901"')}
+    within = event(40, rows[40]) | {"offset": 902, "value": event(40, rows[40])["value"].replace('"e40"', '"e902"')}
+    drop(inbox, "b0", [untimed(event(i, rows[i])) for i in range(5)] + [event(i, rows[i]) for i in range(5, 20)])
+    drop(inbox, "b1", [untimed(event(i, rows[i]) | {"offset": 500 + i}) for i in range(5)] + [event(40, rows[40]), other, within])
+    jobs.score_stream(source(spark, inbox), str(tmp_path / "h"), str(tmp_path / "d"), str(tmp_path / "c"), dlq_path=str(tmp_path / "dlq"),
+                      config=rules.RuleConfig(), publish=lambda ev, b: published.extend(r.transactionId for r in ev.collect())).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "d"))
+    assert sorted(r.event_id for r in done.collect()) == sorted(f"e{i}" for i in [*range(20), 40])
+    assert len(published) == len(set(published))
+    dead = files.read_dlq(spark, path=str(tmp_path / "dlq"), streaming=False)
+    assert table(dead, "key", "offset") == [("t40", 902), ("t7", 901)]
+    assert {r.error_code for r in spark.read.json(str(tmp_path / "dlq")).collect()} == {"DUPLICATE_TRANSACTION"}
+
+
+def test_dead_letters_return_to_the_scorer(spark, tmp_path, arrivals):
+    """Letters of one stream are read back and scored by the scorer's own work, on the same history."""
+    rows, _ = arrivals
     inbox = tmp_path / "in"
-    for n, (lo, hi) in enumerate(batches):
-        drop(inbox, f"b{n}", [event(i, rows[i]) for i in range(lo, hi)])
-    done = stateful.score_stateful(source(spark, inbox))
-    query = (done.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    got = {r.seq // files.MAX_PARTITIONS: (r.risk_score, r.fraudulent, r.reasons) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {k: v[1:] for k, v in want(rows, batches).items()}
+    long = event(3, rows[3]) | {"value": event(3, rows[3])["value"].replace('"USD"', '"USDX"')}
+    drop(inbox, "b0", [event(i, rows[i]) for i in range(3)] + [long])
+    paths = {n: str(tmp_path / n) for n in ("h", "d", "c", "dlq", "c2", "failed")}
+    jobs.score_stream(source(spark, inbox), paths["h"], paths["d"], paths["c"], dlq_path=paths["dlq"]).awaitTermination()
+    letters = files.read_dlq(spark, path=paths["dlq"])
+    mended = letters.withColumn("value", F.replace("value", F.lit("USDX"), F.lit("USD")))
+    work = jobs.scoring(paths["h"], paths["d"], "replay", dlq_path=str(tmp_path / "dlq2"))
+    jobs.reprocess_dlq(mended, work, paths["failed"], paths["c2"]).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(paths["d"]).collect()) == ["e0", "e1", "e2", "e3"]
+    assert tables.read_table(spark, paths["h"], schemas.HISTORY).count() == 4
+
+    def fails(ok, n):
+        raise OSError("store is down")
+
+    jobs.reprocess_dlq(mended, fails, str(tmp_path / "failed2"), str(tmp_path / "c3")).awaitTermination()
+    assert table(spark.read.parquet(str(tmp_path / "failed2")), "key", "error_code") == [("t3", "OSError")]
+
+
+def test_streams_share_a_table(spark, tmp_path):
+    """Two channels and a stream with a new checkpoint write into one table."""
+    good = {"userId": "u", "amount": 12.5, "currency": "USD", "merchantId": "m", "country": "US", "paymentMethod": "CARD"}
+    for channel, n in (("api", 3), ("webhook", 2)):
+        (tmp_path / channel).mkdir()
+        (tmp_path / channel / "r.json").write_text("\n".join(json.dumps(good | {"userId": f"{channel}{k}"}) for k in range(n)) + "\n")
+    paths = [str(tmp_path / n) for n in ("tx", "rejected")]
+    for channel, checkpoint in (("api", "c1"), ("webhook", "c2"), ("api", "c3")):
+        requests = files.read_requests(spark, str(tmp_path / channel), channel, streaming=True)
+        jobs.ingest_stream(requests, paths[0], str(tmp_path / checkpoint), lambda e, n: None, paths[1]).awaitTermination()
+    stored = tables.read_table(spark, paths[0], schemas.TRANSACTION)
+    assert sorted(r.user_id for r in stored.collect()) == ["api0", "api0", "api1", "api1", "api2", "api2", "webhook0", "webhook1"]
+    tables.compact_table(spark, paths[0], schemas.TRANSACTION, at(10**9).date(), str(tmp_path / "small"))
+    small = tables.read_table(spark, str(tmp_path / "small"), schemas.TRANSACTION)
+    assert table(small, "id") == table(stored, "id") and {r.writer for r in small.collect()} == {"compacted"}
 
 
 def test_dedup_stream(spark, tmp_path, arrivals):
@@ -125,11 +178,11 @@ def test_alert_stream(spark, tmp_path):
     drop(inbox, "b1", [fraud_record(2), fraud_record(4, userId=None)])
     events = files.read_fraud_events(spark, path=str(inbox), maxFilesPerTrigger=1)
     channels = Channels(email_enabled=True, email_to=("a@b",))
-    jobs.alert_stream(events, str(tmp_path / "alerts"), str(tmp_path / "c"), channels, str(tmp_path / "sent"), str(tmp_path / "dlq")).awaitTermination()
+    jobs.alert_stream(events, str(tmp_path / "alerts"), str(tmp_path / "c"), channels, str(tmp_path / "sent"), dlq_path=str(tmp_path / "dlq")).awaitTermination()
     alerts = tables.read_alerts(spark, str(tmp_path / "alerts"))
     assert table(alerts, "source_event_id", "reasons") == [("f1", "HIGH_AMOUNT,HIGH_RISK_MERCHANT"), ("f2", "UNSPECIFIED_RULE")]
     assert spark.read.parquet(str(tmp_path / "sent")).count() == 4
-    assert table(spark.read.parquet(str(tmp_path / "dlq")), "error_code") == [("NULL_EVENT_ID",), ("NULL_USER_ID",)]
+    assert table(spark.read.json(str(tmp_path / "dlq")), "error_code") == [("NULL_EVENT_ID",), ("NULL_USER_ID",)]
 
 
 def test_dead_letters_are_reprocessed_once(spark, tmp_path, arrivals):
@@ -182,8 +235,8 @@ def test_late_rows_are_kept_apart(spark):
 def test_with_dlq(spark, tmp_path):
     df = spark.createDataFrame([("e1", "t1"), (None, "t2")], "event_id string, transaction_id string")
     got = []
-    jobs.with_dlq(df, 0, F.when(F.col("event_id").isNull(), "NULL_EVENT_ID"), "x", lambda ok: got.extend(ok.collect()), str(tmp_path / "d"))
-    assert [r.event_id for r in got] == ["e1"] and spark.read.parquet(str(tmp_path / "d")).first().topic == "x.dlq"
+    jobs.with_dlq(df, Batch("w", 0), F.when(F.col("event_id").isNull(), "NULL_EVENT_ID"), "x", lambda ok: got.extend(ok.collect()), str(tmp_path / "d"))
+    assert [r.event_id for r in got] == ["e1"] and spark.read.json(str(tmp_path / "d")).first().topic == "x.dlq"
 
 
 def test_ingest_stream(spark, tmp_path):
@@ -193,10 +246,12 @@ def test_ingest_stream(spark, tmp_path):
     bad = good | {"amount": -1}
     (inbox / "r.json").write_text("\n".join(map(json.dumps, [good, good, bad])) + "\n")
     paths = [str(tmp_path / n) for n in ("tx", "rejected")]
-    for attempt in range(2):  # the batch is repeated with a new checkpoint
+    for attempt in range(2):
+        if attempt:
+            uncommitted(tmp_path / "c")
         sent = []
         jobs.ingest_stream(
-            files.read_requests(spark, str(inbox), "api", streaming=True), paths[0], str(tmp_path / f"c{attempt}"),
+            files.read_requests(spark, str(inbox), "api", streaming=True), paths[0], str(tmp_path / "c"),
             lambda events, n: sent.extend((r.transactionId, r.occurredAt) for r in events.collect()), paths[1],
         ).awaitTermination()
     stored = tables.read_table(spark, paths[0], schemas.TRANSACTION)
@@ -214,7 +269,7 @@ def test_alert_stream_delivers(spark, tmp_path):
 
     jobs.alert_stream(
         files.read_fraud_events(spark, path=str(inbox)), str(tmp_path / "alerts"), str(tmp_path / "c"),
-        Channels(email_enabled=True, email_to=("a@b",)), str(tmp_path / "sent"), senders={"log": lambda alert: None, "email": mail},
+        Channels(email_enabled=True, email_to=("a@b",)), str(tmp_path / "sent"), dlq_path=str(tmp_path / "dlq"), senders={"log": lambda alert: None, "email": mail},
     ).awaitTermination()
     sent = spark.read.parquet(str(tmp_path / "sent")).groupBy("channel", "outcome").count()
     assert table(sent) == [("email", "failed", 2), ("log", "success", 2)]
