@@ -481,6 +481,32 @@ def steps(source: str, range_us: int, by: str = "") -> str:
 
 put("rate_by_step", samples(["fraud_decisions_total"]) + ", " + deltas(),
     f"SELECT k, decision, round(value / 300.0, 6) AS value FROM ({steps('deltas', RATE_US, 'decision')})")
+put("reduced_by_step", samples(["fraud_decisions_total"]) + ", " + deltas() + f""", rates AS (
+  SELECT k, decision, value / 300.0 AS value FROM ({steps('deltas', RATE_US, 'decision')}))""", """
+  SELECT decision, calc, round(value, 6) AS value FROM (
+    SELECT decision, 'last' AS calc, max_by(value, k) AS value FROM rates GROUP BY 1 UNION ALL SELECT decision, 'mean', avg(value) FROM rates GROUP BY 1
+    UNION ALL SELECT decision, 'max', max(value) FROM rates GROUP BY 1 UNION ALL SELECT decision, 'min', min(value) FROM rates GROUP BY 1
+    UNION ALL SELECT decision, 'sum', sum(value) FROM rates GROUP BY 1)""")
+put("irate_by_step", samples([WEB]) + ", " + deltas(), f"""
+  SELECT k, application, round(sum(value), 6) AS value FROM (
+    SELECT application, delta / ((us - prev_us) / 1e6) AS value,
+           unnest(range(slot, least(coalesce(next_slot, 4611686018427387904), CAST(ceil((prev_us + {MINUTE}) / {M.STEP_US}.0) AS BIGINT)))) AS k
+    FROM (SELECT *, lead(slot) OVER (PARTITION BY series ORDER BY slot) AS next_slot FROM deltas) WHERE delta IS NOT NULL) GROUP BY 1, 2""")
+put("gauge_by_step", samples(["jvm_memory_used_bytes"]), f"""
+  SELECT k, application, round(avg(value), 6) AS value FROM (
+    SELECT application, value, unnest(range(slot, least(coalesce(next_slot, 4611686018427387904), slot + {RATE_US // M.STEP_US}))) AS k
+    FROM (SELECT *, lead(slot) OVER (PARTITION BY series ORDER BY slot) AS next_slot FROM samples)) GROUP BY 1, 2""")
+put("mean_latency_by_step", samples([f"{EVAL}_sum", f"{EVAL}_count"]) + ", " + deltas(), f"""
+  SELECT k, application, round(a.value / greatest(b.value, 1) * 1000, 6) AS value
+  FROM ({steps(f"(SELECT * FROM deltas WHERE name = '{EVAL}_sum')", RATE_US, 'application')}) a
+  JOIN ({steps(f"(SELECT * FROM deltas WHERE name = '{EVAL}_count')", RATE_US, 'application')}) b USING (k, application)""")
+put("quantile_by_step", samples(["http_server_requests_seconds_bucket"]) + ", " + deltas() + f", buckets AS ({steps('deltas', RATE_US, 'le, uri')})",
+    "SELECT k, uri, round(value, 6) AS value FROM (" + quantile("SELECT * FROM buckets", 0.95, "k, uri")
+    + ") JOIN (SELECT k, uri FROM buckets GROUP BY 1, 2 HAVING count(*) > 1 AND max(value) FILTER (le = '+Inf') > 0) USING (k, uri)")
+put("top_series_by_step", samples([WEB]) + ", " + deltas(), f"""
+  SELECT k, uri, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY value DESC, uri) AS place
+    FROM (SELECT k, uri, round(value / 300.0, 6) AS value FROM ({steps('deltas', RATE_US, 'uri')}))) WHERE place <= 2""")
 CONSUMED = "fraud_events_consumed_total"
 put("stage_gap_by_step", samples([PUB, CONSUMED]) + ", " + deltas(), f"""
   SELECT k * {M.STEP_US} AS us, round((a.value - b.value) / 300.0, 6) AS value

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import status_class
+from ..session import settled
 from .ordered import Running, first_rows, numbered, prefix
 
 
@@ -61,7 +62,12 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], limit: int
     Values are counted first, and the counts are summed along the sorted distinct values by a scan that
     splits, so neither many rows nor many distinct values gather in one task.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(_count("_n"))
+    counted = settled(df.filter(F.col(value).isNotNull()).groupBy(value).agg(_count("_n")))
+    return ranks(counted, value, shares, limit)
+
+
+def ranks(counted: DataFrame, value: str, shares: dict[str, float], limit: int | None = None) -> DataFrame:
+    """`nearest_rank` of values that are counted (`_n`) and settled already."""
     total = counted.agg(F.sum("_n")).first()[0] or 0
     ranked = prefix(counted, [], [value], [Running("_upto", "sum", F.col("_n"), inclusive=True)], limit=limit)
     picks = []
@@ -74,11 +80,13 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], limit: int
 
 def load_report(results: DataFrame, share: float = 0.95, limit: int | None = None, expected: int = 201) -> DataFrame:
     """Requests, errors (any status but `expected`), error rate and nearest-rank latency of a load run."""
-    ok = F.col("statusCode") == expected
-    totals = results.agg(
-        _count("requests"), F.count(F.when(~F.coalesce(ok, F.lit(False)), 1)).alias("errors")
-    ).withColumn("error_rate", F.col("errors") / F.greatest(F.col("requests"), F.lit(1)))
-    return totals.join(F.broadcast(nearest_rank(results, "latencyMs", {"p95": share}, limit)))
+    wrong = ~F.coalesce(F.col("statusCode") == expected, F.lit(False))
+    # one pass over the results; totals and ranks read the counts per latency
+    counted = settled(results.groupBy("latencyMs").agg(_count("_n"), F.count(F.when(wrong, 1)).alias("_wrong")))
+    zero = F.lit(0).cast("long")
+    totals = counted.agg(F.coalesce(F.sum("_n"), zero).alias("requests"), F.coalesce(F.sum("_wrong"), zero).alias("errors"))
+    totals = totals.withColumn("error_rate", F.col("errors") / F.greatest(F.col("requests"), F.lit(1)))
+    return totals.join(F.broadcast(ranks(counted.filter("latencyMs is not null"), "latencyMs", {"p95": share}, limit)))
 
 
 def status_classes(results: DataFrame, code: str = "statusCode") -> DataFrame:
@@ -97,7 +105,7 @@ def trend_stats(results: DataFrame, limit: int | None = None) -> DataFrame:
     """
     kept = results.filter(F.col("latencyMs").isNotNull())
     failed = F.coalesce((F.col("statusCode") < 200) | (F.col("statusCode") >= 400), F.lit(True))
-    counted = kept.groupBy("latencyMs").agg(_count("_n"), F.count(F.when(failed, 1)).alias("_failed"))
+    counted = settled(kept.groupBy("latencyMs").agg(_count("_n"), F.count(F.when(failed, 1)).alias("_failed")))
     total = counted.agg(F.sum("_n")).first()[0] or 0
     ranked = prefix(counted, [], ["latencyMs"], [Running("_upto", "sum", F.col("_n"), inclusive=True)], limit=limit)
 

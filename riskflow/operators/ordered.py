@@ -4,7 +4,7 @@ A plain window sends every row of a key to one task. `prefix` does the same whil
 than `rows_per_task`; a larger key is cut along the sort order into chunks of about that size. Each
 chunk is scanned by its own task, and one row per chunk carries what came before it. Everything that
 is broadcast or collected (the cut points and the chunk totals) is bounded by MAX_CHUNKS, whatever
-the size of the data, because the chunk size grows once the row count passes MAX_CHUNKS * rows_per_task.
+the size of the data, because the chunk size grows once the oversized keys together pass MAX_CHUNKS * rows_per_task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..session import rows_per_task
 
 MAX_CHUNKS = 16_384
 _SAMPLES_PER_CUT = 16
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SIZE_SAMPLES = 2_000  # sampled rows that stand for one full chunk when key sizes are estimated
 
 
@@ -52,12 +53,6 @@ def _combined(kind: str, local: Column, carried: Column) -> Column:
     return F.when(carried.isNull() | better, local).otherwise(carried)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Keys with more than `limit` rows, with their row count (`rows`). Combined before the shuffle."""
-    limit = limit or rows_per_task(df.sparkSession)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
-
-
 def cut_points(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None
 ) -> DataFrame | None:
@@ -71,14 +66,15 @@ def cut_points(
     share = min(1.0, _SIZE_SAMPLES / limit)
     seen = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=0)
     sizes = seen.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(share)).alias("_rows"))
-    total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
+    # only keys that are cut count: a long table of small keys must not raise the limit
+    crowded, largest = sizes.agg(F.sum(F.when(F.col("_rows") > limit, F.col("_rows"))), F.max("_rows")).first()
     if largest is None or largest <= limit:
         return None
-    limit = max(limit, -(-total // MAX_CHUNKS))
+    limit = max(limit, -(-crowded // MAX_CHUNKS))
     found = sizes.filter(F.col("_rows") > limit).select(
         *(F.col(k).alias(f"_h_{k}") for k in keys), "_rows", F.ceil(F.col("_rows") / F.lit(limit)).alias("_chunks")
     )
-    hot = spark.createDataFrame(found.collect(), found.schema)  # at most total / limit <= MAX_CHUNKS keys
+    hot = spark.createDataFrame(found.collect(), found.schema)  # at most crowded / limit <= MAX_CHUNKS keys
     marked = df.select(*keys, F.struct(*order).alias("_at")).join(
         F.broadcast(hot), _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
     )
@@ -209,7 +205,10 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, seq: str) -> Dat
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first `n` rows per key. Spark limits every key to `n` rows in each task before the shuffle, so a
-    key of any size reaches its task as a few rows (for `n` up to its window-group-limit setting)."""
+    key of any size reaches its task as a few rows; the setting up to which it does so is raised to `n`."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_GROUP_LIMIT)) < n:
+        spark.conf.set(_GROUP_LIMIT, str(n))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_n", place).filter(F.col("_n") <= n).drop("_n")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import micros
@@ -37,9 +37,9 @@ def matches(name: str | Sequence[str] | None = None, *, eq: dict | None = None,
     for key, value in (ne or {}).items():
         found = found & (label(key) != value)
     for key, pattern in (re or {}).items():
-        found = found & label(key).rlike(f"^(?:{pattern})$")
+        found = found & label(key).rlike(f"\\A(?:{pattern})\\z")
     for key, pattern in (nre or {}).items():
-        found = found & ~label(key).rlike(f"^(?:{pattern})$")
+        found = found & ~label(key).rlike(f"\\A(?:{pattern})\\z")
     return found
 
 
@@ -190,12 +190,19 @@ def gauge(samples: DataFrame, agg: str, by: Sequence[str], t1: datetime, lookbac
 # ------------------------------------------------------------------ arithmetic between small results
 
 
+def single(df: DataFrame) -> DataFrame:
+    """A frame that must have one row at most, as one row is all that may be joined without labels; fails if it has more."""
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in df.columns))
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("a vector without labels has several rows"))).otherwise(F.col("_n") == 1)
+    return row.filter(checked.cast("boolean")).drop("_n")
+
+
 def safe_ratio(num: DataFrame, den: DataFrame, on: Sequence[str] = (), floor: float | None = 1.0,
                cap: float | None = None, require_positive: bool = False) -> DataFrame:
     """`num / max(den, floor)`, optionally capped, optionally only where the denominator is positive.
     Without `floor` a zero denominator gives null. With no `on` both sides are single rows."""
     right = den.withColumnRenamed("value", "_den")
-    joined = num.join(right, list(on)) if on else num.join(F.broadcast(right))
+    joined = num.join(right, list(on)) if on else num.join(F.broadcast(single(right)))
     base = F.col("_den") if floor is None else F.greatest(F.col("_den"), F.lit(float(floor)))
     value = F.col("value") / F.nullif(base, F.lit(0.0))
     if cap is not None:
@@ -223,7 +230,7 @@ _ARITHMETIC = {"-": lambda a, b: a - b, "+": lambda a, b: a + b, "*": lambda a,
 def vector_join(a: DataFrame, b: DataFrame, on: Sequence[str], op: str, keep: Sequence[str] = ()) -> DataFrame:
     """Combine two gauge tables label by label. `a` and `b` have label columns and `value`."""
     right = b.select(*on, *keep, F.col("value").alias("_other"))
-    joined = a.join(right, list(on)) if on else a.join(F.broadcast(right))
+    joined = a.join(right, list(on)) if on else a.join(F.broadcast(single(right)))
     return joined.withColumn("value", _ARITHMETIC[op](F.col("value"), F.col("_other"))).drop("_other")
 
 
@@ -305,10 +312,12 @@ def increase_steps(samples: DataFrame, by: Sequence[str], range_: timedelta, ste
 
 def step_span(width: int | Column, stride: int) -> tuple[Column, Column]:
     """First and last step whose trailing window of `width` micros holds both samples of a delta."""
-    def up(value: Column) -> Column:  # smallest k with k * stride >= value, in whole numbers
-        return ((value + F.pmod(-value, F.lit(stride))) / F.lit(stride)).cast("long")
+    return _up(F.unix_micros("ts"), stride), _up(F.unix_micros("prev_ts") + width, stride) - 1
+
 
-    return up(F.unix_micros("ts")), up(F.unix_micros("prev_ts") + width) - 1
+def _up(value: Column, stride: int) -> Column:
+    """Smallest k with k * stride >= value, in whole numbers."""
+    return ((value + F.pmod(-value, F.lit(stride))) / F.lit(stride)).cast("long")
 
 
 def spread_steps(spans: DataFrame, by: Sequence[str], *sums: Column) -> DataFrame:
@@ -330,6 +339,54 @@ def rate_steps(samples: DataFrame, by: Sequence[str], range_: timedelta, step: t
     return scaled(increase_steps(samples, by, range_, step, limit), 1.0 / range_.total_seconds())
 
 
+def _held_steps(rows: DataFrame, until: Column, step: timedelta) -> DataFrame:
+    """Each row of a series (`series`, `ts`) at the steps `k` from its time on, up to `until` or the series' next row.
+
+    Of rows within one step the last counts. After that a series has a row per step at most, which bounds its window.
+    """
+    stride = micros(step)
+    kept = [c for c in rows.columns if c != "series"]
+    first = _up(F.unix_micros("ts"), stride)
+    per_step = rows.withColumn("_until", until).groupBy("series", first.alias("_from")).agg(F.max_by(F.struct(*kept, "_until"), "ts").alias("_row"))
+    following = F.lead("_from").over(Window.partitionBy("series").orderBy("_from"))
+    last = F.least(F.coalesce(following, F.lit(1 << 62)), _up(F.col("_row._until"), stride)) - 1
+    spans = per_step.withColumn("_to", last).filter(F.col("_from") <= F.col("_to"))
+    return spans.select("series", "_row.*", F.explode(F.sequence("_from", "_to")).alias("k")).drop("_until")
+
+
+def gauge_steps(samples: DataFrame, agg: str, by: Sequence[str], lookback: timedelta = timedelta(minutes=5),
+                step: timedelta = timedelta(seconds=15)) -> DataFrame:
+    """Latest value per series not older than `lookback` at every step, aggregated by labels: columns k, labels, value."""
+    rows = samples.select(series_key().alias("series"), "ts", "labels", "value")
+    held = _held_steps(rows, F.unix_micros("ts") + micros(lookback), step)
+    value = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}[agg]("value")
+    return held.select("k", *_labels(by), "value").groupBy("k", *by).agg(value.alias("value"))
+
+
+def irate_steps(samples: DataFrame, by: Sequence[str], range_: timedelta = timedelta(minutes=1),
+                step: timedelta = timedelta(seconds=15), limit: int | None = None) -> DataFrame:
+    """Growth per second between the last two samples of the trailing range at every step, summed by labels."""
+    known = samples if "delta" in samples.columns else counter_delta(samples, limit)
+    seconds = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / 1e6
+    rows = known.filter(F.col("delta").isNotNull()).select("series", "ts", "labels", (F.col("delta") / seconds).alias("value"), "prev_ts")
+    held = _held_steps(rows, F.unix_micros("prev_ts") + micros(range_), step)
+    return held.select("k", *_labels(by), "value").groupBy("k", *by).agg(F.sum("value").alias("value"))
+
+
+def mean_latency_steps(samples: DataFrame, name: str, by: Sequence[str], range_: timedelta, factor: float = 1.0,
+                       step: timedelta = timedelta(seconds=15), limit: int | None = None) -> DataFrame:
+    """Growth of `<name>_sum` over growth of `<name>_count` in the trailing range at every step."""
+    deltas = counter_delta(match(samples, [f"{name}_sum", f"{name}_count"]), limit)
+    parts = [increase_steps(deltas.filter(F.col("name") == f"{name}_{p}"), by, range_, step) for p in ("sum", "count")]
+    return scaled(safe_ratio(*parts, on=["k", *by]), factor)
+
+
+def quantile_steps(samples: DataFrame, q: float, by: Sequence[str], range_: timedelta,
+                   step: timedelta = timedelta(seconds=15), limit: int | None = None) -> DataFrame:
+    """Quantile of the growth of cumulative buckets in the trailing range at every step."""
+    return histogram_quantile(increase_steps(samples, ["le", *by], range_, step, limit), q, ["k", *by])
+
+
 def stage_gap(in_: DataFrame, out_: DataFrame, width: timedelta, step: timedelta = timedelta(seconds=15)) -> DataFrame:
     """Rate into a stage minus rate out of it at every step; positive means a growing backlog."""
     a, b = rate_steps(in_, [], width, step), rate_steps(out_, [], width, step)

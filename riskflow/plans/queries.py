@@ -670,6 +670,52 @@ def rate_by_step(spark, folder):
     return _value(series.rate_steps(kept, ["decision"], _RATE)).select("k", "decision", "value")
 
 
+@query
+def reduced_by_step(spark, folder):
+    """All reducers of a panel over a series of steps."""
+    kept = M.samples(spark, folder, ["fraud_decisions_total"])
+    rates = settled(series.rate_steps(kept, ["decision"], _RATE))
+    out = None
+    for calc in ("last", "mean", "max", "min", "sum"):
+        part = series.reduce_series(rates, calc, ["decision"], ts="k").select("decision", F.lit(calc).alias("calc"), F.round("value", 6).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def irate_by_step(spark, folder):
+    kept = M.samples(spark, folder, ["http_server_requests_seconds_count"])
+    return _value(series.irate_steps(kept, ["application"])).select("k", "application", "value")
+
+
+@query
+def gauge_by_step(spark, folder):
+    kept = M.samples(spark, folder, ["jvm_memory_used_bytes"])
+    return _value(series.gauge_steps(kept, "avg", ["application"])).select("k", "application", "value")
+
+
+@query
+def mean_latency_by_step(spark, folder):
+    base = "fraud_evaluation_latency_seconds"
+    kept = M.samples(spark, folder, [f"{base}_sum", f"{base}_count"])
+    return _value(series.mean_latency_steps(kept, base, ["application"], _RATE, 1000)).select("k", "application", "value")
+
+
+@query
+def quantile_by_step(spark, folder):
+    kept = M.samples(spark, folder, ["http_server_requests_seconds_bucket"])
+    done = _value(series.quantile_steps(kept, 0.95, ["uri"], _RATE)).select("k", "uri", "value")
+    return done.filter(~F.isnan("value"))  # steps in whose range nothing was requested
+
+
+@query
+def top_series_by_step(spark, folder):
+    """The two URIs with most requests at every step."""
+    kept = M.samples(spark, folder, ["http_server_requests_seconds_count"])
+    rates = _value(series.rate_steps(kept, ["uri"], _RATE))
+    return C.top_k(rates, "value", 2, ["k"], ["uri"]).select("k", "uri", "value")
+
+
 @query
 def stage_gap_by_step(spark, folder):
     kept = M.samples(spark, folder, ["transaction_events_published_total", "fraud_events_consumed_total"])
