@@ -1,7 +1,9 @@
 """The dashboards as DataFrames: every panel is one call on the summary of the metric samples.
 
-`Board` summarises all samples of a range once (one row per series, written to the shared folder), and
-each panel aggregates that small table. A panel gives its label columns and `value`.
+`Board` summarises all samples of a range once (one row per series, written to the shared folder). Panels are calls
+on the board; `show` makes them twice. The first time, the board notes which totals they ask for and gives
+empty ones. Then one aggregation over the summary computes all of them, and the second time they are read from its
+result, which has a row per total and label set. A panel gives its label columns and `value`.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import series as S
@@ -37,38 +39,67 @@ class Board:
                  service: str = ".*", extrapolate: bool = False, scrape: timedelta | None = None):
         self.summary = settled(S.summarise(samples, t0, t1, rate_interval, extrapolate, scrape=scrape))
         self.states, self.t1 = states, t1
+        #: Totals asked for, by what they are, and the table that holds them once they are computed.
+        self.wanted: dict[tuple, tuple] = {}
+        self.totals: DataFrame | None = None
         self.app, self.topic, self.group, self.database, self.service = (
             application, topic, consumergroup, database, service,
         )
 
-    def pick(self, name: str, **eq_or_re) -> DataFrame:
-        """Series of a metric; `label="x"` for equality, `label_re="x"` and `label_not_re="x"` for patterns."""
+    @staticmethod
+    def _fits(name: str, eq_or_re: dict) -> Column:
+        """`label="x"` for equality, `label_re="x"` and `label_not_re="x"` for patterns."""
         eq = {k: v for k, v in eq_or_re.items() if not k.endswith("_re")}
         nre = {k[:-7]: v for k, v in eq_or_re.items() if k.endswith("_not_re")}
         re = {k[:-3]: v for k, v in eq_or_re.items() if k.endswith("_re") and not k.endswith("_not_re")}
-        return S.match(self.summary, name, eq=eq, re=re, nre=nre)
+        return S.matches(name, eq=eq, re=re, nre=nre)
+
+    def pick(self, name: str, **eq_or_re) -> DataFrame:
+        """Series of a metric."""
+        return self.summary.filter(self._fits(name, eq_or_re))
+
+    def total(self, name: str, col: str, by: Sequence[str], agg: str, m: dict) -> DataFrame:
+        """Like `series.total` over the series of a metric, out of the one table of totals."""
+        key = (name, col, tuple(by), agg, tuple(sorted(m.items())))
+        number = self.wanted.setdefault(key, (len(self.wanted), name, col, tuple(by), agg, m))[0]
+        if self.totals is None:
+            return self.summary.sparkSession.createDataFrame([], ", ".join([*(f"`{b}` string" for b in by), "value double"]))
+        own = self.totals.filter(F.col("total") == number)
+        return own.select(*(F.col("labels")[k].alias(b) for k, b in enumerate(by)), "value")
+
+    def compute(self) -> None:
+        """All totals that were asked for, in one aggregation."""
+        asked = []
+        for number, name, col, by, agg, m in self.wanted.values():
+            labels = F.array(*(F.coalesce(F.col("labels")[b], F.lit("")) for b in by)).cast("array<string>")
+            row = F.struct(F.lit(number).alias("total"), F.lit(agg).alias("agg"), labels.alias("labels"), F.col(col).cast("double").alias("value"))
+            asked.append(F.when(self._fits(name, m) & F.col(col).isNotNull(), row))
+        each = self.summary.select(F.explode(F.array_compact(F.array(*asked))).alias("_t")).select("_t.*")
+        done = each.groupBy("total", "agg", "labels").agg(*(f("value").alias(n) for n, f in (("sum", F.sum), ("avg", F.avg), ("max", F.max), ("min", F.min))))
+        value = F.when(F.col("agg") == "avg", F.col("avg")).when(F.col("agg") == "max", F.col("max")).when(F.col("agg") == "min", F.col("min"))
+        self.totals = settled(done.select("total", "labels", value.otherwise(F.col("sum")).alias("value")))
 
     def inc(self, name: str, by: Sequence[str] = (), **m) -> DataFrame:
-        return S.total(self.pick(name, **m), "increase", by)
+        return self.total(name, "increase", by, "sum", m)
 
     def rate(self, name: str, by: Sequence[str] = (), **m) -> DataFrame:
-        return S.total(self.pick(name, **m), "rate", by)
+        return self.total(name, "rate", by, "sum", m)
 
     def irate(self, name: str, by: Sequence[str] = (), **m) -> DataFrame:
-        return S.total(self.pick(name, **m), "irate", by)
+        return self.total(name, "irate", by, "sum", m)
 
     def now(self, name: str, by: Sequence[str] = (), agg: str = "sum", **m) -> DataFrame:
-        return S.total(self.pick(name, **m), "gauge", by, agg)
+        return self.total(name, "gauge", by, agg, m)
 
     def mean(self, name: str, col: str, positive: bool = False, factor: float = 1.0, **m) -> DataFrame:
-        parts = [S.total(self.pick(f"{name}_{p}", **m), col) for p in ("sum", "count")]
+        parts = [self.total(f"{name}_{p}", col, (), "sum", m) for p in ("sum", "count")]
         return S.scaled(S.safe_ratio(*parts, require_positive=positive), factor)
 
     def vector(self, name: str, labels: Sequence[str], **m) -> DataFrame:
         return S.latest_vector(self.pick(name, **m), name, labels)
 
     def quantile(self, name: str, q: float, by: Sequence[str] = (), **m) -> DataFrame:
-        buckets = S.total(self.pick(name, **m), "rate", ["le", *by])
+        buckets = self.total(name, "rate", ["le", *by], "sum", m)
         return S.histogram_quantile(buckets, q, by)
 
     def lag(self, by: Sequence[str]) -> DataFrame:
@@ -274,6 +305,10 @@ BOARDS = {
 
 def show(board: Board, panels: dict[str, Panel]) -> DataFrame:
     """All panels of a dashboard in one table: panel, labels as text, value."""
+    if board.totals is None:
+        for panel in panels.values():
+            panel(board)
+        board.compute()
     out = None
     for name, panel in panels.items():
         df = panel(board)

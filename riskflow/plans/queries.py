@@ -742,9 +742,9 @@ def rule_states(spark, folder):
 
 def _board(name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        kept = M.samples(spark, folder)
-        states = None
+        kept, states = M.samples(spark, folder), None
         if name == "alerting":
+            kept = settled(kept)  # for the rules and the summary
             states = settled(slo.evaluate_rules(kept, slo.standard_rules(floor=0.0001), t0=M.T0, t1=M.T1, scrape=M.SCRAPE))
         board = panels.Board(kept, M.T0, M.T1, _RATE, states, scrape=M.SCRAPE)
         return _value(panels.show(board, panels.BOARDS[name]))
