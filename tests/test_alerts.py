@@ -97,7 +97,7 @@ def test_dead_letter_keeps_its_record(spark):
     df = spark.createDataFrame([("k", "{}", 3, "e", None)], "key string, value string, partition int, event_id string, transaction_id string")
     ok, dead = delivery.route_dlq(df, F.when(F.col("transaction_id").isNull(), "NULL_TRANSACTION_ID"), "transactions.created")
     assert ok.count() == 0
-    assert table(dead) == [("transactions.created.dlq", 3, "k", "{}", "NULL_TRANSACTION_ID")]
+    assert table(dead) == [("k", "{}", "transactions.created.dlq", 3, None, "NULL_TRANSACTION_ID")]
 
 
 LOAD = "statusCode int, latencyMs long, fraudulent boolean, userId string"
