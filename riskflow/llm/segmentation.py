@@ -33,7 +33,7 @@ from riskflow.llm import common
 
 N = 3
 #: Stretches and words that a worker remembers (twice that at most).
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 SPACE = "▁"
 
 
@@ -66,8 +66,16 @@ class Pieces:
         self.score = {p: (model.get_score(k), k) for k, (p, s) in enumerate(zip(names, special, strict=True)) if not s}
         self.byte = {int(p[3:5], 16): k for k, p in enumerate(names) if model.is_byte(k)}
         self.unknown = min((s for s, _ in self.score.values()), default=0.0) - 10
-        #: Every beginning of a piece, with the piece's score and id if it is one.
-        self.table = {p[:k]: None for p in self.score for k in range(1, len(p))} | self.score
+        #: The pieces by their characters: character -> (pieces that go on, score and id as bytes of the one that ends here).
+        self.tree: dict = {}
+        for piece, (score, number) in self.score.items():
+            node = self.tree
+            for n, character in enumerate(piece, 1):
+                if character not in node:
+                    node[character] = ({}, None, b"")
+                if n == len(piece):
+                    node[character] = (node[character][0], score, array("I", (number,)).tobytes())
+                node = node[character][0]
         self.inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.plain = all(SPACE not in p.strip(SPACE) and not (p.endswith(SPACE) and p.strip(SPACE)) for p in self.score) and not any("\n" in p for p in self.inside)
         self.text = [b"" if model.is_control(k) else bytes([int(p[3:5], 16)]) if model.is_byte(k) else b" \xe2\x81\x87 " if model.is_unknown(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(names)]
@@ -75,56 +83,58 @@ class Pieces:
         self.older: dict[str, tuple] = {}
         self.head, self.tail = _Words(self, ""), _Words(self, SPACE)
 
-    def spelled(self, character: str) -> tuple[int, ...]:
-        return tuple(self.byte.get(b, self.model.unk_id()) for b in character.encode("utf-8", "replace"))
+    def spelled(self, character: str) -> bytes:
+        return array("I", [self.byte.get(b, self.model.unk_id()) for b in character.encode("utf-8", "replace")]).tobytes()
 
-    def edges(self, text: str, start: int) -> list[tuple[int, float, tuple[int, ...]]]:
-        """(end, score, ids) of the pieces that begin at a place."""
-        out, table = [], self.table
-        for end in range(start + 1, len(text) + 1):
-            found = table.get(text[start:end], 0)
-            if found == 0:
+    def edges(self, text: str, start: int) -> list[tuple[int, float, bytes]]:
+        """(end, score, ids as bytes) of the pieces that begin at a place."""
+        out, node, end = [], self.tree, start
+        for character in text[start:]:
+            if (found := node.get(character)) is None:
                 break
-            if found:
-                out.append((end, found[0], (found[1],)))
+            end += 1
+            node, score, ids = found
+            if score is not None:
+                out.append((end, score, ids))
         if not out or out[0][0] != start + 1:
             out.append((start + 1, self.unknown, self.spelled(text[start])))
         return out
 
-    def forward(self, text: str) -> tuple[float, float, tuple[int, ...]]:
+    def forward(self, text: str) -> tuple[float, float, bytes]:
         """Best score of one stretch, the second best, and the ids of the best, by one Viterbi pass that keeps two scores a place."""
-        size, low, get = len(text), float("-inf"), self.table.get
-        best, second, back, own = [0.0] + [low] * size, [low] * (size + 1), [0] * (size + 1), [()] * (size + 1)
+        size, low, tree = len(text), float("-inf"), self.tree
+        best, second, back, own = [0.0] + [low] * size, [low] * (size + 1), [0] * (size + 1), [b""] * (size + 1)
         for start in range(size):
-            one, two = best[start], second[start]
+            one, two, node, end = best[start], second[start], tree, start
             # the same edges as in `edges`, without a list of them
-            for end in range(start + 1, size + 1):
-                found = get(text[start:end], 0)
-                if found:
-                    score, ids = found[0], found[1]
-                elif end == start + 1:
-                    score, ids = self.unknown, self.spelled(text[start])
-                if found or end == start + 1:
-                    new = one + score
-                    if new > best[end]:
-                        second[end] = max(best[end], two + score)
-                        best[end], back[end], own[end] = new, start, ids
-                    elif new > second[end]:
-                        second[end] = new
-                if found == 0:
-                    break
+            for character in text[start:]:
+                if (found := node.get(character)) is None:
+                    if end > start:
+                        break
+                    found = {}, self.unknown, self.spelled(character)
+                end += 1
+                node, score, ids = found
+                if score is None:
+                    if end > start + 1:
+                        continue
+                    score, ids = self.unknown, self.spelled(character)
+                new = one + score
+                if new > best[end]:
+                    second[end] = max(best[end], two + score)
+                    best[end], back[end], own[end] = new, start, ids
+                elif new > second[end]:
+                    second[end] = new
         place, chain = size, []
         while place:
-            ids = own[place]
-            chain += reversed(ids) if type(ids) is tuple else (ids,)
+            chain.append(own[place])
             place = back[place]
         chain.reverse()
-        return best[size], second[size], tuple(chain)
+        return best[size], second[size], b"".join(chain)
 
-    def nbest(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best (score, ids) of one stretch, by forward Viterbi and backward A-star; the first is that of `forward`."""
+    def nbest(self, text: str) -> list[tuple[float, bytes]]:
+        """The N best (score, ids as bytes) of one stretch, by forward Viterbi and backward A-star; the first is that of `forward`."""
         size = len(text)
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
+        into: list[list[tuple[int, float, bytes]]] = [[] for _ in range(size + 1)]
         best = [0.0] + [float("-inf")] * size
         for start in range(size):
             for end, score, ids in self.edges(text, start):
@@ -137,9 +147,9 @@ class Pieces:
             if not place:
                 ids = []
                 while chain:
-                    ids += chain[0]
+                    ids.append(chain[0])
                     chain = chain[1]
-                out.append((-total, tuple(ids)))
+                out.append((-total, b"".join(ids)))
                 continue
             for start, score, ids in into[place]:
                 number += 1
@@ -153,12 +163,16 @@ class Pieces:
         ends = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.inside]
         return [word[x:y] for x, y in zip([0, *ends], [*ends, len(word)], strict=True)] if word else []
 
-    def costs(self, word: str) -> list[tuple[float, float, tuple[int, ...]]]:
+    def costs(self, word: str) -> list[tuple[float, float, bytes]]:
         """`forward` of each stretch of a word."""
+        stretches = self.cut(word)
+        if len(stretches) == 1:
+            return [self.forward(word)]  # what is a word of its own is remembered as one
         out = []
-        for stretch in self.cut(word):
-            found = self.stretches.get(stretch) or self.older.get(stretch)
-            if found is None:
+        for stretch in stretches:
+            if stretch[0] == SPACE and (known := self.tail.get(stretch[1:])):
+                found = known[1], known[1] - known[2], known[0]
+            elif (found := self.stretches.get(stretch) or self.older.get(stretch)) is None:
                 found = self.forward(stretch)
                 if len(self.stretches) >= REMEMBERED:
                     self.older, self.stretches = self.stretches, {}
@@ -168,8 +182,10 @@ class Pieces:
 
     def word(self, word: str) -> tuple:
         found = self.costs(word)
-        ids = array("I", [i for _, _, ids in found for i in ids]).tobytes()
-        return ids, sum(best for best, _, _ in found), min((best - second for best, second, _ in found), default=float("inf")), word
+        if len(found) == 1:
+            best, second, ids = found[0]
+            return ids, best, best - second, word
+        return b"".join([f[2] for f in found]), sum(f[0] for f in found), min((f[0] - f[1] for f in found), default=float("inf")), word
 
     def words(self, text: str) -> list[tuple]:
         whole = self.model.normalize(text)
@@ -186,7 +202,7 @@ class Pieces:
         return out
 
     def segment(self, text: str | None) -> tuple[list[tuple], list[tuple[float, dict]]]:
-        """Words of a text, and its N best as (score, {(word, stretch): ids} where not the best of the stretch)."""
+        """Words of a text, and its N best as (score, {(word, stretch): ids as bytes} where not the best of the stretch)."""
         words = self.words(text or "")
         score = sum(map(itemgetter(1), words))
         costs = np.fromiter(map(itemgetter(2), words), float, len(words))
@@ -203,8 +219,7 @@ class Pieces:
         """Ids of a segmentation."""
         parts = list(map(itemgetter(0), words))
         for w in {w for w, _ in changed or ()}:
-            own = [changed.get((w, k)) or ids for k, (_, _, ids) in enumerate(self.costs(words[w][3]))]
-            parts[w] = array("I", [i for ids in own for i in ids]).tobytes()
+            parts[w] = b"".join(changed.get((w, k)) or ids for k, (_, _, ids) in enumerate(self.costs(words[w][3])))
         return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:

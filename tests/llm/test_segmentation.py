@@ -23,7 +23,7 @@ def every(pieces, text):
         if text[:k] in pieces.score:
             own = [(pieces.score[text[:k]][0], (pieces.score[text[:k]][1],))]
         elif k == 1:
-            own = [(pieces.unknown, pieces.spelled(text[0]))]
+            own = [(pieces.unknown, tuple(np.frombuffer(pieces.spelled(text[0]), '<u4').tolist()))]
         else:
             continue
         out += [(a + s, i + ids) for a, i in own for s, ids in every(pieces, text[k:])]
