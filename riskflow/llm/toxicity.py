@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from riskflow.llm import common, labelled
 
 #: The most labelled documents that a model learns from.
-SAMPLE = 20_000
+SAMPLE = 10_000
 BUCKETS, TERMS, FACTORS = 1 << 20, 4096, 8
 STEPS, BATCH, RATE, PULL = 1000, 256, 0.05, 1e-5
 #: The least G statistic of a term that is learned: one in ten thousand unrelated terms reaches it.
@@ -93,11 +93,11 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Machine:
     if not sets or labels.min() == labels.max():
         return Machine(np.zeros(0, int), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     sizes = np.array([len(s) for s in sets])
-    flat, of = np.concatenate([np.asarray(s, int) for s in sets]), np.repeat(np.arange(len(sets)), sizes)
+    flat, of = np.concatenate([np.asarray(s, np.int32) for s in sets]), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     ones, zeros = np.bincount(flat[labels[of] == 1], minlength=BUCKETS), np.bincount(flat[labels[of] == 0], minlength=BUCKETS)
     kept = np.sort(informative(ones, zeros, int(labels.sum()), int((1 - labels).sum())))
-    number = np.full(BUCKETS, -1)
-    number[kept] = np.arange(len(kept))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
     flat = number[flat]
     of, flat = of[flat >= 0], flat[flat >= 0]
     cuts = np.searchsorted(of, np.arange(len(sets) + 1))
