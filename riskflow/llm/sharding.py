@@ -27,6 +27,8 @@ from riskflow.llm import common
 
 LIMIT = 16 << 20
 BITS, REPEAT_BITS = 48, 16
+#: The deepest directory that is broadcast: 65,536 entries at most.
+DIRECTORY_BITS = 16
 ADDRESS = "lpad(conv(substr(md5(coalesce(cast(doc_id as string), 'null')), 1, 12), 16, 2), 48, '0')"
 
 
@@ -62,7 +64,14 @@ def assigned(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]
         bits = BITS
     found = common.written(directory(sizes, limit, bits), "shard-directory")
     depths = [r.depth for r in found.select("depth").distinct().orderBy("depth").collect()]  # at most one per bit
-    # each address has exactly one of these beginnings in the directory
+    deepest = max(depths, default=0)
+    if deepest <= DIRECTORY_BITS:
+        # the directory: an entry for each value of the leading bits, several of which may share a shard
+        spread = found.select("shard", "depth", F.explode(F.expr(f"sequence(0L, cast(shiftleft(1L, {deepest} - depth) as bigint) - 1L)")).alias("k"))
+        entries = spread.select("shard", "depth", F.expr(f"concat(shard, lpad(conv(k, 10, 2), {deepest} - depth, '0'))").alias("entry"))
+        at = rows.withColumn("entry", F.substring("address", 1, deepest) if deepest else F.lit(""))
+        return at.join(F.broadcast(entries), "entry").select("row", "shard", "depth"), found
+    # a few addresses hold so much that the directory would be too large; each address has exactly one of these beginnings in it
     keys = F.array(*(F.substring("address", 1, d) if d else F.lit("") for d in depths)) if depths else F.array(F.lit(""))
     homes = sizes.select("address", F.explode(keys).alias("shard")).join(found.select("shard", "depth"), "shard")
     homes = homes.where(F.length("shard") == F.col("depth"))

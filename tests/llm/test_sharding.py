@@ -30,6 +30,14 @@ def test_documents_of_many_sizes(spark):
     assert spark.read.parquet(folder).count() == len(rows)
 
 
+def test_the_directory_finds_the_same_shards(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * (k * 37 % 501)) for k in range(300)], "doc_id long, text string").repartition(3)
+    broadcast = sorted((r.row.doc_id, r.shard, r.depth) for r in S.assigned(docs, 4000)[0].collect())
+    monkeypatch.setattr(S, "DIRECTORY_BITS", -1)
+    joined = sorted((r.row.doc_id, r.shard, r.depth) for r in S.assigned(docs, 4000)[0].collect())
+    assert broadcast == joined and len(broadcast) == 300 and len({s for _, s, _ in broadcast}) > 8
+
+
 def test_an_id_above_the_limit(spark):
     docs = spark.createDataFrame([(1, "z" * 100)] * 60 + [(2, "z")], "doc_id long, text string").repartition(3)
     placed, found = S.assigned(docs, 1000)
