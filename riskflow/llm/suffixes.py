@@ -20,7 +20,9 @@ with the bytes of its run before and after the anchor:
 5. Spans are collected per text and cut out.
 
 A gram that many different runs share (more than `GROUP`) is cut by the bytes common to the windows of each of a few ranges of `o`: nearly the
-whole window, so that runs which differ part company.
+whole window, so that most runs which differ part company. Equal pieces are counted by content, and one stands for all. Where more than `GROUP`
+pieces of different content still have these bytes in common, as at the edges of a passage that many texts share, their windows are
+counted one by one by `o` and digest, combined before the shuffle. So no task compares more than `GROUP` pieces of one lead.
 
 Null texts are empty and shorter ones than the window stay whole. Null ids and repeated ids are rows like any other; a
 row that repeats another is a second occurrence of its bytes. An empty table gives no row.
@@ -183,11 +185,11 @@ def repeated(texts: list[bytes], at: np.ndarray, low: np.ndarray, high: np.ndarr
     return hit
 
 
-PIECE = "lead binary, digest binary, n long, key_id long, key_hash long, start long, at int, low int, high int, bytes binary"
+PIECE = "lead binary, digest binary, n long, key_id long, key_hash long, start long, at int, low int, high int, bytes binary, content binary"
 
 
 def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of runs, from the texts that hold them; runs of crowded grams in pieces by ranges of o."""
+    """The bytes of runs, from the texts that hold them; runs of crowded grams in pieces by ranges of o, with a digest of what each holds."""
     columns = [x.split()[0] for x in PIECE.split(", ")]
     for frame in frames:
         out = []
@@ -198,16 +200,46 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low, high = p - b, p - a
                 cuts = [(low, high)] if not crowded else [(max(low, k), min(high, k + RANGE - 1)) for k in range(low // RANGE * RANGE, high + 1, RANGE)]
                 for x, y in cuts:
-                    lead = raw[p : p + GRAM]
+                    lead, content, held = raw[p : p + GRAM], None, raw[p - y : p - x + WINDOW]
                     if crowded:
                         k = x // RANGE * RANGE
                         # the bytes that all windows of the range have, here and in any other run
                         lead = k.to_bytes(2, "big") + raw[p - k : p - (k + RANGE - 1) + WINDOW]
-                    out.append((lead, run["digest"], run["n"], key_id, key_hash, p - y, y, x, y, raw[p - y : p - x + WINDOW]))
+                        content = hashlib.blake2b(held, digest_size=16, salt=x.to_bytes(4, "big") + y.to_bytes(4, "big")).digest()
+                    out.append((lead, run["digest"], run["n"], key_id, key_hash, p - y, y, x, y, held, content))
         yield pd.DataFrame(out, columns=columns)
 
 
 SPAN = "key_id long, key_hash long, start long, stop long"
+SINGLE = "o int, window binary, key_id long, key_hash long, start long"
+
+
+def _singles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every window of the pieces by itself: o, its digest, and where it starts."""
+    columns = [x.split()[0] for x in SINGLE.split(", ")]
+    for frame in frames:
+        out = []
+        for key_id, key_hash, start, high, raw in zip(frame["key_id"], frame["key_hash"], frame["start"], frame["high"], frame["bytes"], strict=True):
+            view = memoryview(raw)
+            out += [(high - k, hashlib.blake2b(view[k : k + WINDOW], digest_size=16).digest(), key_id, key_hash, start + k) for k in range(len(raw) - WINDOW + 1)]
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _uncrowded(pieces: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of crowded grams, one per content and at most `group` per lead, and the spans that are settled without them."""
+    pieces = pieces.where("content is not null")
+    place = F.struct("key_id", "key_hash", "start")
+    contents = pieces.groupBy(F.xxhash64("lead").alias("spot"), "content").agg(F.sum("n").alias("n"), F.min(place).alias("at"))
+    contents = common.written(contents, "suffix-piece-contents")
+    copied = pieces.join(contents.where("n > 1").select("content"), "content").select("key_id", "key_hash", "start", (F.col("start") + F.col("high") - F.col("low") + WINDOW).alias("stop"))
+
+    large = common.written(contents.groupBy("spot").count().where(F.col("count") > group).select("spot", F.lit(True).alias("large")), "suffix-large")
+    one = contents.join(large, "spot", "left").select("content", "n", F.coalesce("large", F.lit(False)).alias("large"), "at.*")
+    kept = common.written(pieces.drop("n").join(one, ["content", "key_id", "key_hash", "start"]), "suffix-piece-kept")
+    singles = common.written(kept.where("large").mapInPandas(_singles, SINGLE), "suffix-singles")
+    again = common.written(singles.groupBy("o", "window").count().where("count > 1").select("o", "window"), "suffix-singles-again")
+    alone = singles.join(again, ["o", "window"]).select("key_id", "key_hash", "start", (F.col("start") + WINDOW).alias("stop"))
+    return kept.where("not large").select(*pieces.columns), copied.union(alone)
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,6 +286,9 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     open_ = contents.join(several, "gram").select("digest", "n", "crowded", "at.*")
     per_text = open_.groupBy("key_id", "key_hash").agg(F.collect_list(F.struct("digest", "n", "crowded", "a", "p", "b")).alias("runs"))
     pieces = common.written(keyed.join(per_text, ["key_id", "key_hash"]).mapInPandas(_pieces, PIECE), "suffix-pieces")
+    if not several.where("crowded").isEmpty():
+        kept, settled = _uncrowded(pieces, group)
+        pieces, whole = pieces.where("content is null").union(kept), whole.union(settled)
     partial = pieces.repartitionByRange("lead").sortWithinPartitions("lead", "digest", "low").mapInPandas(_compare, SPAN)
     partial = common.written(partial, "suffix-spans")
     return whole.union(partial).groupBy("key_id", "key_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

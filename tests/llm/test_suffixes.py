@@ -53,6 +53,25 @@ def test_removed_bytes(spark, group):
     assert none.collect() == []
 
 
+def test_edges_of_a_shared_passage_stay_small_groups(spark, monkeypatch):
+    rng, group, compare = random.Random(5), 8, S._compare
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(900)
+    texts = [noise(500) + passage + noise(500) for _ in range(60)] + [noise(700)]
+
+    def watched(frames):
+        frames = list(frames)
+        for lead, n in Counter(x for frame in frames for x in frame["lead"]).items():
+            assert n <= group, (n, lead)
+        yield from compare(iter(frames))
+
+    monkeypatch.setattr(S, "_compare", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    result = lambda raw, gone, kept: (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+    got = S.cut(docs, result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", group).select("row.doc_id", "cut.*")
+    assert sorted(map(tuple, got.collect())) == [(d, *x) for d, x in enumerate(plain(texts))]
+
+
 def test_texts_longer_than_a_segment(monkeypatch):
     rng = random.Random(1)
     monkeypatch.setattr(S, "SEGMENT", 5000)
