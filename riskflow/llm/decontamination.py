@@ -7,7 +7,8 @@ of an item that has fewer. A document word inside any occurrence of a window is
 A window occurs where all its shingles (`SHINGLE` words, or the whole window if it is shorter) stand one after the other:
 
 1. Every position of every document is matched with the shingles of the benchmark; what matches is kept with its place. The
-   benchmark's shingles are broadcast while there are at most `BROADCAST` of them, and joined by shuffle beyond that.
+   benchmark's shingles are broadcast while there are at most `BROADCAST` of them, and joined by shuffle beyond that. A row of a
+   position holds its own shingle, never the words of the whole text.
 2. The matches give each shingle's frequency over all documents. Of a window, the rarest shingle is the necessary prefix: where it
    is absent, so is the window.
 3. Occurrences of prefixes are candidates, if the window fits into the document at that place.
@@ -58,13 +59,14 @@ def matches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     hashes = wanted.select("hash").distinct()
     if hashes.count() <= BROADCAST:
         hashes = F.broadcast(hashes)
-    texts = common.row_keys(docs).select(*KEY, words(F.col("text")).alias("words"))
+    texts = common.row_keys(docs).select(*KEY, words(F.col("text")).alias("words")).select("*", F.size("words").alias("n_words"))
     found = None
     for width in widths or [SHINGLE]:
-        places = texts.select(*KEY, "words", F.posexplode("words").alias("position", "word"))
-        hashed = places.select(*KEY, "words", "position", F.xxhash64(F.slice("words", F.col("position") + 1, width)).alias("hash"))
-        kept = hashed.join(hashes, "hash").where(F.col("position") + width <= F.size("words"))
-        kept = kept.select(*KEY, "position", F.array_join(F.slice("words", F.col("position") + 1, width), " ").alias("shingle"), F.size("words").alias("n_words"))
+        ahead = F.arrays_zip(*(F.slice("words", k + 1, F.col("n_words")).alias(f"w{k}") for k in range(width)))
+        places = texts.select(*KEY, "n_words", F.posexplode(ahead).alias("position", "own")).where(F.col("position") + width <= F.col("n_words"))
+        own = [F.col("own")[f"w{k}"] for k in range(width)]
+        hashed = places.select(*KEY, "position", F.xxhash64(F.array(*own)).alias("hash"), F.concat_ws(" ", *own).alias("shingle"), "n_words")
+        kept = hashed.join(hashes, "hash").select(*KEY, "position", "shingle", "n_words")
         found = kept if found is None else found.union(kept)
     return found
 

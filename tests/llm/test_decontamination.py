@@ -63,6 +63,24 @@ def test_empty_tables(spark):
     assert [(r.n_hit, r.item_ids) for r in D.contamination(docs, bench).collect()] == [(3, ["1"])]
 
 
+def test_shuffled_positions_leave_the_text_behind(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST", 0)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        test_documents(spark)
+        docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+        found = D.matches(docs, D.shingles(D.windows(spark.createDataFrame([(1, "b c d e"), (2, "f")], "item_id long, text string"))))
+        assert sorted((r.position, r.shingle, r.n_words) for r in found.collect()) == [(1, "b c d", 6), (2, "c d e", 6), (5, "f", 6)]
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sent = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+        assert any("position#" in x for x in sent)
+        assert not any(re.search(r"\bwords#", x) for x in sent), sent
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_shuffled_shingles(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST", 0)
     test_empty_tables(spark)
