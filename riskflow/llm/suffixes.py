@@ -191,9 +191,13 @@ PIECE = "lead binary, digest binary, n long, key_id long, key_hash long, start l
 def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of runs, from the texts that hold them; runs of crowded grams in pieces by ranges of o, with a digest of what each holds."""
     columns = [x.split()[0] for x in PIECE.split(", ")]
+    seen = set()  # of rows that repeat one another, one gives the pieces
     for frame in frames:
         out = []
         for key_id, key_hash, text, found in zip(frame["key_id"], frame["key_hash"], frame["text"], frame["runs"], strict=True):
+            if (key_id, key_hash) in seen:
+                continue
+            seen.add((key_id, key_hash))
             raw = text.encode()
             for run in found:
                 a, p, b, crowded = run["a"], run["p"], run["b"], run["crowded"]
@@ -291,7 +295,8 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
         pieces, whole = pieces.where("content is null").union(kept), whole.union(settled)
     partial = pieces.repartitionByRange("lead").sortWithinPartitions("lead", "digest", "low").mapInPandas(_compare, SPAN)
     partial = common.written(partial, "suffix-spans")
-    return whole.union(partial).groupBy("key_id", "key_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # a set: rows that repeat one another all give the spans of their text
+    return whole.union(partial).groupBy("key_id", "key_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(spans: list) -> list[tuple[int, int]]:

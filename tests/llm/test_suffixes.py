@@ -72,6 +72,16 @@ def test_edges_of_a_shared_passage_stay_small_groups(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(d, *x) for d, x in enumerate(plain(texts))]
 
 
+def test_repeated_rows_give_their_spans_once(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdef ") for _ in range(3000))
+    docs = spark.createDataFrame([(None, text)] * 40, "doc_id long, text string").repartition(3)
+    (row,) = S.repeated_spans(docs).collect()
+    spans = [(x.start, x.stop) for x in row.spans]
+    assert len(spans) == len(set(spans)) < 40
+    assert S.merged(row.spans) == [(0, 3000)]
+
+
 def test_texts_longer_than_a_segment(monkeypatch):
     rng = random.Random(1)
     monkeypatch.setattr(S, "SEGMENT", 5000)
