@@ -43,8 +43,8 @@ from riskflow.llm import common
 WINDOW, GRAM = 400, 64
 #: Runs of different content under one gram that one task may compare, and the width of the ranges of `o` beyond that.
 GROUP, RANGE = 20_000, 48
-#: Bytes of text whose anchors are found at once (positions take 24 bits).
-SEGMENT = 1 << 23
+#: Bytes of text whose anchors are found at once, and the most a buffer may hold (positions take 24 bits).
+SEGMENT, PLACES = 1 << 23, 1 << 24
 #: Bytes of runs that are sorted at once.
 BUCKET = 1 << 22
 
@@ -104,8 +104,12 @@ def _find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key_id, key_hash, text in zip(frame["key_id"], frame["key_hash"], frame["text"], strict=True):
             raw = (text or "").encode()
             for k in range(0, max(0, len(raw) - WINDOW + 1), SEGMENT):
-                pieces.append((key_id, key_hash, k, raw[k : k + SEGMENT + WINDOW - 1]))
-                size += len(pieces[-1][3])
+                piece = raw[k : k + SEGMENT + WINDOW - 1]
+                if size + len(piece) > PLACES:
+                    yield _rows(pieces)
+                    pieces, size = [], 0
+                pieces.append((key_id, key_hash, k, piece))
+                size += len(piece)
                 if size >= SEGMENT:
                     yield _rows(pieces)
                     pieces, size = [], 0

@@ -93,6 +93,20 @@ def test_texts_longer_than_a_segment(monkeypatch):
     assert windows == list(range(20000 - 399))
 
 
+def test_long_text_behind_a_full_buffer():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    text = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    texts = [text(S.SEGMENT - 1), text(S.SEGMENT + 399)]
+    got = pd.concat(S._find(iter([pd.DataFrame({"key_id": [0, 1], "key_hash": [5, 5], "text": texts})])))
+    for k, t in enumerate(texts):
+        own = got[got["key_id"] == k].sort_values("a")
+        assert own["a"].iloc[0] == 0 and own["b"].iloc[-1] == len(t) - 400
+        assert (own["a"].to_numpy()[1:] == own["b"].to_numpy()[:-1] + 1).all()
+        assert ((own["p"] >= own["b"]) & (own["p"] <= own["a"] + 336)).all()
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(4)
     sides = rng.integers(0, 3, (500, 16)).astype(np.uint8)
