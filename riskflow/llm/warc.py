@@ -8,7 +8,8 @@ smallest page_id is a response and the others are revisits that refer to it and
 byte ranges into one read, and parses the records.
 
 Which pages are revisits is settled by an aggregate of (digest, smallest page_id) joined back to the pages; copies combine
-before the shuffle, and a digest that a third of the pages share is split by the adaptive skew join.
+before the shuffle. The aggregate is a table of its own, so that a digest that a third of the pages share can be split by the
+adaptive skew join: it takes only joins with an exchange on both sides.
 
 Null html is an empty payload, a null URL an empty one. Equal rows give a record each; rows that repeat the smallest page_id of
 their payload are all responses. A payload whose pages all lack an id has only responses; a page without id that
@@ -83,7 +84,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
         rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     )
-    typed = rows.join(shared, "digest", "left").withColumn("first", F.expr("if(page_id <=> first, null, first)"))
+    typed = rows.join(common.written(shared, "warc-shared"), "digest", "left").withColumn("first", F.expr("if(page_id <=> first, null, first)"))
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, inner = common.filesystem(folder)

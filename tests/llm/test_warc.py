@@ -52,3 +52,23 @@ def test_reads_join_neighbours():
 def test_empty_table(spark):
     index = warc.write(spark.createDataFrame([], "page_id long, url string, html string"), common.new_folder(spark, "warc"))
     assert warc.read(index, 2).collect() == []
+
+
+def test_both_sides_of_the_join_can_be_split(spark, tmp_path, monkeypatch):
+    plans, written = {}, warc.common.written
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(warc.common, "written", watched)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        pages = spark.createDataFrame([(k, "u", "x" * 200) for k in range(20)], "page_id long, url string, html string")
+        assert warc.write(pages, str(tmp_path / "warc")).count() == 20
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" in plans["warc-index"][1]
+    assert "Aggregate" not in plans["warc-index"][1]
