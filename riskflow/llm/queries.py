@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from riskflow.llm.collocations import op11_collocations
 from riskflow.llm.decontamination import op8_decontamination
+from riskflow.llm.negatives import op13_negatives
 from riskflow.llm.neighbours import op5_neighbours
+from riskflow.llm.packing import op12_packing
 from riskflow.llm.quality import op2_quality
 from riskflow.llm.segmentation import op6_segmentation
 from riskflow.llm.sharding import op7_sharding
@@ -24,4 +27,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_suffixes": op10_suffixes,
+    "op11_collocations": op11_collocations,
+    "op12_packing": op12_packing,
+    "op13_negatives": op13_negatives,
 }
