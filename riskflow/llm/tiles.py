@@ -1,9 +1,10 @@
 """
-Token ids of many texts at once: texts are cut into tiles, each distinct tile of a batch is encoded once, and numpy gathers the ids.
+Token ids of many texts at once: texts are cut into tiles, each distinct tile of a batch is encoded once, all new
+ones in one call, and numpy gathers the ids.
 
-A tile is a word with the single space before it, or a line end. Cutting there doesn't change what the tokenizer gives where it
-starts a new word at such a place anyway; `Encoder` knows two kinds of tokenizers that do. Texts in which a cut could matter, and
-those of other tokenizers, go to the library whole.
+A tile is a word with the single space before it, a run of digits, of punctuation, or a line end. Cutting there doesn't change what the
+tokenizer gives where it starts a new word at such a place anyway; `Encoder` knows two kinds of tokenizers that do. Texts in which
+a cut could matter, and those of other tokenizers, go to the library whole.
 """
 
 from __future__ import annotations
@@ -14,11 +15,19 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text encoded at once, unless a text alone is longer.
-CHUNK = 4 << 20
-#: Tiles a worker remembers, and the longest of them in bytes: some 30 MB at most, twice that for a moment.
-REMEMBERED, LONG = 100_000, 64
+CHUNK = 8 << 20
+#: Tiles a worker remembers, twice that at most, and the longest of them in bytes: some 60 MB in all.
+REMEMBERED, LONG = 150_000, 48
 _SPACE, _NEWLINE = 0x20, 0x0A
 _HEAD, _TAIL, _LINE, _BAD = 0, 1, 2, 3
+#: ASCII letters, digits and punctuation: words end between two of these. An apostrophe may go on a word, as may all beyond ASCII.
+_CLASS = np.zeros(256, np.uint8)
+for _k in range(0x21, 0x7F):
+    _CLASS[_k] = 1 if chr(_k).isalpha() else 2 if chr(_k).isdigit() else 0 if chr(_k) == "'" else 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: Letters below this are letters to every Unicode version, and composed already.
+_LATIN = "\u0250"
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -49,7 +58,8 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def tiles(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct tiles, the code of each tile in turn, and how many tiles stand before each text (and before the end)."""
     begins = (data == _SPACE) | (data == _NEWLINE)
-    begins[1:] |= data[:-1] == _NEWLINE
+    kind = _CLASS[data]
+    begins[1:] |= (data[:-1] == _NEWLINE) | ((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0))
     begins[starts[:-1][starts[:-1] < len(data)]] = True
     first = np.flatnonzero(begins)
     offsets = np.append(first, len(data)).astype(np.int32)
@@ -65,9 +75,13 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        bare = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: How the model writes each byte of a space or a letter.
+        self.letter = {b: bare.pre_tokenize_str(text)[0][0][k] for text in map(chr, range(0x20, ord(_LATIN))) for k, b in enumerate(text.encode())}
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         made = json.loads(self.tokenizer.to_str())
         steps = made["pre_tokenizer"] or {}
@@ -81,15 +95,15 @@ class Encoder:
         #: A single space begins a word, a single line end is one.
         self.leading = made["normalizer"] is None and len(steps) == 1 and steps[0].get("type") == "ByteLevel" and not steps[0]["add_prefix_space"] and steps[0]["use_regex"]
         self.special = [t["content"].encode() for t in made["added_tokens"]]
-        self.known: dict[bytes, tuple[int, np.ndarray]] = {}
-        self.older: dict[bytes, tuple[int, np.ndarray]] = {}
+        #: Ids of tiles as bytes: those met last, and those met before; unfit tiles and line ends of a batch.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.odd: dict[bytes, int] = {}
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.width)
 
     def kind(self, tile: bytes) -> int:
-        if self.dropping:
-            return _HEAD
         text = tile.decode("utf-8", "replace")
         if text == "\n":
             return _LINE
@@ -98,28 +112,90 @@ class Encoder:
             return _BAD
         return _TAIL if text[0] == " " else _HEAD
 
+    def _row(self, words: list[bytes], between: bytes, within: int) -> list[bytes]:
+        """
+        Ids of words that stand in one text with `between` after each; a token belongs to the word in whose place it begins.
+
+        `within` is 1 where `between` is a token of its own.
+        """
+        found = self.tokenizer.encode(between.join(words).decode("utf-8", "replace"), add_special_tokens=False)
+        starts = np.fromiter((start for start, _ in found.offsets), np.int64, len(found))
+        sizes = np.fromiter((len(w.decode("utf-8", "replace")) for w in words), np.int64, len(words))
+        edges = np.concatenate([[0], np.cumsum(sizes + len(between))])
+        ids = np.array(found.ids, self.width)
+        if within:
+            kept = starts < (edges[1:] - len(between))[np.searchsorted(edges, starts, "right") - 1]
+            ids, starts = ids[kept], starts[kept]
+        cuts = np.searchsorted(starts, edges) * self.width.itemsize
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _fresh(self, names: list[bytes]) -> list[bytes]:
+        """Ids of tiles not met before: those of letters alone from the tokenizer's model, all others by few calls of the library."""
+        out: list = [b""] * len(names)
+        others, tokenize, letter, width, dropping = [], self.model.tokenize, self.letter, self.width, self.dropping
+        for k, name in enumerate(names):
+            text = name.decode("utf-8", "replace")
+            word = text.removeprefix(" ")
+            if dropping:
+                text = word = word.lower()
+            if word.isalpha() and max(word) < _LATIN:
+                out[k] = np.array([t.id for t in tokenize("".join([letter[b] for b in text.encode()]))], width).tobytes()
+            else:
+                others.append(k)
+        for k, ids in zip(others, self._mixed([names[k] for k in others]), strict=True):
+            out[k] = ids
+        return out
+
+    def _mixed(self, names: list[bytes]) -> list[bytes]:
+        out: list = [b""] * len(names)
+        if self.dropping:
+            groups = {(b" ", 0): [(k, word) for k, name in enumerate(names) if (word := name.strip(b" \n"))]}
+        else:
+            kinds = list(map(self.kind, names))
+            groups = {
+                (b"", 0): [(k, names[k]) for k, kind in enumerate(kinds) if kind == _TAIL],
+                (b"\n", 1): [(k, names[k]) for k, kind in enumerate(kinds) if kind == _HEAD],
+            }
+            for k, kind in enumerate(kinds):
+                if kind in (_LINE, _BAD):
+                    self.odd[names[k]] = kind
+                if kind == _LINE:
+                    out[k] = self.whole(names[k]).tobytes()
+        for (between, within), members in groups.items():
+            if members:
+                for (k, _), ids in zip(members, self._row([word for _, word in members], between, within), strict=True):
+                    out[k] = ids
+        return out
+
     def found(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Kinds of tiles, their ids end to end, and how many ids each has."""
         rows: list = list(map(self.known.get, names))
         missing = [k for k, row in enumerate(rows) if row is None]
         fresh = []
+        self.odd = {}
         for k in missing:
-            if (row := self.older.get(names[k])) is None:
+            row = self.older.get(names[k])
+            # what a cut may harm isn't remembered, so that it is seen each time
+            if row is None:
                 fresh.append(k)
             else:
                 rows[k] = row
         if fresh:
-            ids = self.tokenizer.encode_batch([names[k].decode("utf-8", "replace") for k in fresh], add_special_tokens=False)
-            for k, found in zip(fresh, ids, strict=True):
-                rows[k] = self.kind(names[k]), np.array(found.ids, self.width)
+            for k, ids in zip(fresh, self._fresh([names[k] for k in fresh]), strict=True):
+                rows[k] = ids
         for k in missing:
-            if len(names[k]) <= LONG:
+            if len(names[k]) <= LONG and names[k] not in self.odd:
                 if len(self.known) >= REMEMBERED:
                     self.older, self.known = self.known, {}
                 self.known[names[k]] = rows[k]
-        lengths = np.fromiter((len(ids) for _, ids in rows), np.int64, len(rows))
-        flat = np.concatenate([ids for _, ids in rows]) if rows else np.zeros(0, self.width)
-        return np.fromiter((kind for kind, _ in rows), np.uint8, len(rows)), flat, lengths
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // self.width.itemsize
+        kinds = np.fromiter((name[:1] == b" " for name in names), np.uint8, len(names))
+        if self.odd:
+            for k in fresh:
+                if names[k] in self.odd:
+                    kinds[k] = self.odd[names[k]]
+        return kinds, np.frombuffer(b"".join(rows), self.width), lengths
 
     def _apart(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Texts that hold a special token."""
@@ -138,7 +214,7 @@ class Encoder:
             own = [self.whole(text) for text in texts.to_pylist()]
             return np.concatenate([np.zeros(0, self.width), *own]), np.fromiter(map(len, own), np.int64, n)
         data, starts = joined(texts)
-        names, codes, edges = tiles(data, starts)
+        names, codes, edges = tiles(_LOWER[data] if self.dropping else data, starts)
         kinds, flat, lengths = self.found(names.to_pylist())
         apart = self._apart(data, starts)
         if self.leading:

@@ -67,7 +67,7 @@ def test_tiles_give_what_the_library_gives(name):
 
     path = public_tokenizers.path(name)
     plain, encoder, rng = Tokenizer.from_file(path), tiles.Encoder(path), random.Random(1)
-    texts = ODD + ["".join(rng.choices([*"ab, .'\n  é1<|>\t", "the ", "word", " ", "<|endoftext|>"], k=rng.randint(0, 30))) for _ in range(3000)]
+    texts = ODD + ["".join(rng.choices([*"abS, .'\n  éİǰß1२<|>\t(", "́", "'s", "the ", "word", " ", "<|endoftext|>"], k=rng.randint(0, 30))) for _ in range(3000)]
     for part in (texts, texts[:1], texts[1:4], []):
         ids, lengths = encoder(pa.array([t.encode() for t in part], pa.binary()))
         wanted = [plain.encode(t, add_special_tokens=False).ids for t in part]
