@@ -36,6 +36,8 @@ KEY_BITS = 32
 CAPACITY = 1 << 19
 #: Bytes of text handled at once, and hashed runs added up before they are sent.
 CHUNK, HELD = 8 << 20, 8 << 20
+#: Phrases with their counts that a task adds up before it hands them on.
+PHRASES = 1 << 19
 #: Survivors that a round of the second pass looks up.
 ROUND = 1 << 22
 _LETTER, _BLANK, _BREAK = 0, 1, 2
@@ -245,37 +247,46 @@ def survivors(texts: DataFrame, min_count: int, longest: int) -> tuple[DataFrame
         yield found()
 
     # one summary of a partition is a row, so a batch of rows may hold as much as a task has sent to one place
-    sent = texts.mapInArrow(summarise, "part int, mass long, keys binary, counts binary").repartition(1 << bits, "part")
+    sent = texts.mapInArrow(summarise, "part int, mass long, keys binary, counts binary").repartitionById(1 << bits, "part")
     with common.batch_rows(spark, 16):
         merged = sent.sortWithinPartitions("part", F.col("mass").asc_nulls_last()).mapInArrow(merge, "key long")
         return common.written(merged, "phrase-keys"), bits + KEY_BITS
 
 
 COUNTED = "lang string, size int, phrase string, f long"
+_SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _phrases(chunk: Words, size: int, at: np.ndarray, which: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of one length at `at`, whose keys are number `which`, counted by their words, as runs of one key may differ."""
+    names = chunk.names.cast(pa.string())
+    while len(at):
+        _, first, inverse, counts = np.unique(which, return_index=True, return_inverse=True, return_counts=True)
+        model = at[first][inverse]
+        same = chunk.langs[at] == chunk.langs[model]
+        for k in range(size):
+            same &= chunk.codes[at + k] == chunk.codes[model + k]
+        if not same.all():
+            counts = np.bincount(inverse[same], minlength=len(first))
+        parts = [names.take(pa.array(chunk.codes[at[first] + k])) for k in range(size)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk.lang_names, pa.string()).take(pa.array(chunk.langs[at[first]])), pa.array(np.full(len(first), size, np.int32)),
+             pc.binary_join_element_wise(*parts, " "), pa.array(counts.astype(np.int64))], schema=_SCHEMA,
+        )
+        at, which = at[~same], which[~same]
+
+
+def _together(parts: list[pa.RecordBatch]) -> pa.Table:
+    """Counts of equal phrases added up."""
+    table = pa.Table.from_batches(parts, _SCHEMA).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    return table.rename_columns([c.removesuffix("_sum") for c in table.column_names]).select(_SCHEMA.names)
 
 
 def _exact(texts: DataFrame, keys: np.ndarray, bits: int, longest: int, totals: bool) -> DataFrame:
-    """How often the runs of some keys occur (COUNTED), task by task; with `totals`, also all words as a run of no word."""
+    """How often the runs of some keys occur (COUNTED), one row per task as long as it can hold them; with `totals`, also all words as a run of no word."""
     shared = texts.sparkSession.sparkContext.broadcast(np.sort(keys))
     shift = np.uint64(64 - bits)
 
-    def rows(chunk: Words, size: int, at: np.ndarray, which: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Runs of one length at `at`, whose keys are number `which`: by their words, as runs of one key may differ."""
-        while len(at):
-            _, first, inverse, counts = np.unique(which, return_index=True, return_inverse=True, return_counts=True)
-            model = at[first][inverse]
-            same = chunk.langs[at] == chunk.langs[model]
-            for k in range(size):
-                same &= chunk.codes[at + k] == chunk.codes[model + k]
-            if not same.all():
-                counts = np.bincount(inverse[same], minlength=len(first))
-            names = [chunk.names.cast(pa.string()).take(pa.array(chunk.codes[at[first] + k])) for k in range(size)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.lang_names).take(pa.array(chunk.langs[at[first]])), pa.array(np.full(len(first), size, np.int32)),
-                 pc.binary_join_element_wise(*names, " "), pa.array(counts.astype(np.int64))], ["lang", "size", "phrase", "f"],
-            )
-            at, which = at[~same], which[~same]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         # most runs are none of the survivors: a table of bits says so before the search
@@ -283,14 +294,14 @@ def _exact(texts: DataFrame, keys: np.ndarray, bits: int, longest: int, totals:
         maybe = np.zeros(1 << width, bool)
         mask = np.uint64((1 << width) - 1)
         maybe[known & mask] = True
+        held: list[pa.RecordBatch] = []
+        waiting = settled = 0
         for chunk in _chunks(batches):
             if totals:
                 sums = np.bincount(chunk.langs, minlength=len(chunk.lang_names))
                 full = [k for k, n in enumerate(sums) if n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk.lang_names[k] for k in full], pa.string()), pa.array([0] * len(full), pa.int32()), pa.array([""] * len(full), pa.string()), pa.array([int(sums[k]) for k in full], pa.int64())],
-                    ["lang", "size", "phrase", "f"],
-                )
+                columns = [[chunk.lang_names[k] for k in full], [0] * len(full), [""] * len(full), [int(sums[k]) for k in full]]
+                held.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA))
             for size, at, own in chunk.keys(longest):
                 own = own >> shift
                 near = maybe[own & mask]
@@ -298,7 +309,17 @@ def _exact(texts: DataFrame, keys: np.ndarray, bits: int, longest: int, totals:
                 which = np.searchsorted(known, own)
                 hit = which < len(known)
                 hit[hit] = known[which[hit]] == own[hit]
-                yield from rows(chunk, size, at[hit], which[hit])
+                for part in _phrases(chunk, size, at[hit], which[hit]):
+                    held.append(part)
+                    waiting += part.num_rows
+            if waiting > settled + PHRASES:
+                held = _together(held).to_batches()
+                waiting = settled = sum(part.num_rows for part in held)
+                if settled > 2 * PHRASES:
+                    yield from held
+                    held, waiting, settled = [], 0, 0
+        if held:
+            yield from _together(held).to_batches()
 
     return texts.mapInArrow(count, COUNTED)
 

@@ -63,6 +63,7 @@ def test_against_plain_counts(spark, monkeypatch, least, longest, top):
     monkeypatch.setattr(C, "CHUNK", 300)
     monkeypatch.setattr(C, "HELD", 500)
     monkeypatch.setattr(C, "ROUND", 300)
+    monkeypatch.setattr(C, "PHRASES", 40)
     rows = texts(least)
     got = C.collocations(frame(spark, rows), least, longest, top)
     assert got.columns == COLUMNS
