@@ -121,8 +121,20 @@ def frame(rows: list, columns: list[str], longs: list[str]) -> pd.DataFrame:
 
 
 def per_worker(key: tuple, make: Callable[[], T]) -> T:
-    """What `make` gives, made once in a Python worker and kept for its later tasks (the code itself comes anew with each task)."""
+    """
+    What `make` gives, made once in a Python worker and kept for its later tasks (the code itself comes anew with each task).
+
+    One thing is kept at a time: what another operator has left in the worker goes.
+    """
     kept = sys.modules.setdefault("riskflow_kept", types.ModuleType("riskflow_kept")).__dict__
     if key not in kept:
+        release()
         kept[key] = make()
     return kept[key]
+
+
+def release() -> None:
+    """Let go of what `per_worker` keeps: for tasks that need the memory."""
+    kept = sys.modules.setdefault("riskflow_kept", types.ModuleType("riskflow_kept")).__dict__
+    for key in [key for key in kept if isinstance(key, tuple)]:
+        del kept[key]

@@ -11,7 +11,7 @@ In the ranked coding a token is its rank by corpus frequency, the most frequent
 A control byte gives the lengths of four tokens; one table lookup per control byte turns it into the mask of the bytes
 that are present, and decoding is two masked copies in numpy.
 
-Ids are encoded once, into plain files cut by ranges of doc_id, each task counting its ids. The counts of all documents give the
+Ids are encoded once (see `tiles`), into plain files cut by ranges of doc_id, each task counting its ids. The counts of all documents give the
 ranks (bounded by the vocabulary); a second pass, without a shuffle, rewrites every file in the ranked coding.
 
 Null text is an empty text. Null ids come first. Equal ids stay separate documents, in no particular order. An empty
@@ -27,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskflow.llm import common
+from riskflow.llm import common, tiles
 
 MAGIC, PLAIN, RANKED = b"RTB1", 0, 1
 HEAD = np.dtype([("magic", "S4"), ("coding", "u1"), ("docs", "<u4"), ("tokens", "<u8"), ("body", "<u8")])
@@ -59,86 +60,6 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-#: Characters that are neither letters, digits nor white space.
-PUNCTUATION = ".,;:!?#$%&*|-_'\"()"
-
-
-class Unsplittable(Exception):
-    """White space around a cut: the pieces of a text can't be encoded one by one."""
-
-
-class _Pieces(dict):
-    """
-    Ids, as bytes, of pieces of text; `prefix` stands before every piece. Holds the last `limit` to twice as many pieces met.
-
-    Letters and the punctuation after them are words of their own to the tokenizer, so "word," costs no more than "word".
-    """
-
-    def __init__(self, encoder: Encoder, prefix: str, limit: int):
-        self.encoder, self.prefix, self.limit, self.older = encoder, prefix, limit, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if (found := self.older.get(piece)) is None:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                raise Unsplittable
-            letters = piece.rstrip(PUNCTUATION)
-            if not letters.isalpha():
-                found = self.encoder.whole(self.prefix + piece).tobytes()
-            elif letters == piece:
-                found = self.encoder.word(self.prefix + piece).tobytes()
-            else:
-                found = self[letters] + self.encoder.head[piece[len(letters) :]]
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
-
-
-class Encoder:
-    """
-    The tokenizers library's ids of whole texts.
-
-    A byte-level tokenizer that splits words by its own pattern starts a new word at a single space, or around a single
-    newline, between two other characters. There, texts are cut, and the library encodes each distinct piece once;
-    texts with other white space or special tokens, and other tokenizers, go to the library whole.
-    """
-
-    def __init__(self, path: str, pieces: int = 300_000):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        before = repr(self.tokenizer.pre_tokenizer)
-        self.cuts = self.tokenizer.normalizer is None and before.startswith("ByteLevel(") and "add_prefix_space=False" in before and "use_regex=True" in before
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.head, self.tail = _Pieces(self, "", pieces), _Pieces(self, " ", pieces)
-        self.newline = self.whole("\n").tobytes()
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
-
-    def word(self, text: str) -> np.ndarray:
-        """Ids of a single word of the tokenizer's pattern, from its model alone."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(self.bytes.pre_tokenize_str(text)[0][0])], self.width)
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.cuts or any(s in text for s in self.special):
-            return self.whole(text)
-        try:
-            out, head, tail = [], self.head.__getitem__, self.tail.__getitem__
-            for n, line in enumerate(text.split("\n")):
-                if n:
-                    out.append(self.newline)
-                parts = iter(line.split(" "))
-                out.append(head(next(parts)))
-                out.extend(map(tail, parts))
-            return np.frombuffer(b"".join(out), self.width)
-        except Unsplittable:
-            return self.whole(text)
-
-
 @dataclass
 class _Writer:
     """Appends blocks to one new file in `folder`; `code` turns the ids of a block into its coding and body."""
@@ -219,12 +140,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, np.
     """
     spark = docs.sparkSession
     plain, final = common.new_folder(spark, "tokens-plain"), common.new_folder(spark, "tokens")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
 
-    def spool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, out, counts = common.per_worker(("encoder", tokenizer), lambda: Encoder(tokenizer)), None, np.zeros(0, np.int64)
+        encoder, out, counts = common.per_worker(("tiles", tokenizer), lambda: tiles.Encoder(tokenizer)), None, np.zeros(0, np.int64)
 
         def block(ids: np.ndarray) -> tuple[int, bytes]:
             nonlocal counts
@@ -233,21 +154,26 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, np.
             counts = seen
             return PLAIN, zstandard.compress(ids.tobytes(), 3)
 
-        for frame in common.batches(frames):
+        end = np.array([end_id], encoder.width)
+        for chunk in tiles.chunks(batches, 1):
             out = out or _Writer(plain, block)
-            for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"], strict=True):
-                out.add(None if pd.isna(doc_id) else int(doc_id), np.append(encoder(text), encoder.width.type(end_id)))
+            ids, lengths = encoder(chunk.column(1))
+            for doc_id, own in zip(chunk.column(0).to_pylist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                out.add(doc_id, np.append(own, end))
         if out:
             out.close()
-            yield pd.DataFrame({"path": [out.path], "part": [TaskContext.get().partitionId()], "docs": [out.n_docs], "tokens": [out.total], "counts": [counts]})
+            row = {"path": out.path, "part": TaskContext.get().partitionId(), "docs": out.n_docs, "tokens": out.total, "counts": counts}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("counts", pa.list_(pa.int64()))]))
 
-    ranges = texts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    spooled = common.written(ranges.mapInPandas(spool, f"{FILES}, counts array<long>"), "token-spool")
+    # rows without an id, or with the same, may be many: any order among them is right, so they are dealt by their texts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranges = texts.repartitionByRange(*order).sortWithinPartitions(order[0])
+    spooled = common.written(ranges.mapInArrow(spool, f"{FILES}, counts array<long>"), "token-spool")
     # as many rows as the vocabulary has ids, from each of a few tasks
     counts = spooled.select("counts").coalesce(spark.sparkContext.defaultParallelism).mapInPandas(_summed, "id long, n long")
     counts = counts.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ranked = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy().astype("<u4")
-    width = Encoder(tokenizer, 1).width
+    width = tiles.Encoder(tokenizer).width
 
     def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = np.zeros(int(ranked.max(initial=0)) + 1, "<u4")

@@ -22,12 +22,6 @@ def test_packing_returns_the_values(values):
     assert T.unpack(*T.pack(values), len(values)).tolist() == values.tolist()
 
 
-def test_pieces_give_the_librarys_ids():
-    encoder, whole = T.Encoder(PATH, pieces=50), Tokenizer.from_file(PATH)
-    for text in [t for t in TEXTS if t is not None] * 2:
-        assert encoder(text).tolist() == whole.encode(text, add_special_tokens=False).ids
-
-
 def test_files_match_plain_encoding(spark):
     rows = [(i, t, "extra") for i, t in enumerate(TEXTS)] + [(None, "no id", "extra"), (3, "id again", "extra")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string").repartition(5)
