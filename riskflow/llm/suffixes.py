@@ -98,6 +98,7 @@ RUN = "key_id long, key_hash long, gram long, digest binary, a long, p long, b l
 
 
 def _find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    common.release()
     for frame in frames:
         pieces: list[tuple] = []  # (key_id, key_hash, where the piece begins in its text, its bytes)
         size = 0
