@@ -3,6 +3,8 @@
 Rows live under `day=D/writer=W/batch_id=N`. A writer is a stream with its checkpoint; writing one of its batches again
 replaces that batch only, so a task or a whole batch may be repeated. A reader that works on batch N of a writer leaves
 out that writer's batches from N on, and reads all batches of other writers. Readers open only the days in reach.
+Compacted rows keep the writer and batch they came from; a batch that is repeated after compaction leaves a note under `_replaced`,
+and readers pass over its compacted rows.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..session import settled
 
 PLACE = ("day", "writer", "batch_id")
 COMPACTED = "compacted"
+ORIGIN = ("_from_writer", "_from_batch")
+REPLACED = "_replaced"
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -64,6 +69,11 @@ def _with_partitions(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, *place])
 
 
+def _with_origin(schema: T.StructType) -> T.StructType:
+    """The columns of stored files: compacted ones have two more, which are null elsewhere."""
+    return T.StructType([*schema.fields, T.StructField(ORIGIN[0], T.StringType()), T.StructField(ORIGIN[1], T.LongType())])
+
+
 def _days(spark: SparkSession, path: str, first: date | None, last: date | None) -> list[str]:
     """Folders of the days in a range (rows without a day always count); one listing of the top folder."""
     fs, place = _hadoop(spark, path)
@@ -80,20 +90,37 @@ def read_table(
     last: date | None = None,
 ) -> DataFrame:
     """Rows of the days from `first` to `last`, without batches of the reader's own writer from its own batch on."""
-    days = _days(spark, path, first, last)
+    return _read(spark, path, schema, before, first, last).drop(*ORIGIN)
+
+
+def _read(
+    spark: SparkSession, path: str, schema: T.StructType, before: Batch | None = None, first: date | None = None,
+    last: date | None = None,
+) -> DataFrame:
+    days, stored = _days(spark, path, first, last), _with_partitions(_with_origin(schema))
     if not days:
-        return spark.createDataFrame([], _with_partitions(schema))
-    table = spark.read.schema(_with_partitions(schema)).option("basePath", path).parquet(*days)
+        return spark.createDataFrame([], stored)
+    table = spark.read.schema(stored).option("basePath", path).parquet(*days)
+    writer, number = F.coalesce(ORIGIN[0], "writer"), F.coalesce(ORIGIN[1], "batch_id")
+    fs, notes = _hadoop(spark, f"{path}/{REPLACED}")
+    if fs.exists(notes):
+        again = [status.getPath().getName() for status in fs.listStatus(notes)]
+        table = table.filter(F.col(ORIGIN[0]).isNull() | ~F.concat_ws("-", *ORIGIN).isin(again))
     if before is None:
         return table
-    return table.filter((F.col("writer") != before.writer) | (F.col("batch_id") < before.number))
+    return table.filter((writer != before.writer) | (number < before.number))
 
 
 def put_batch(df: DataFrame, path: str, batch: Batch, day: Column | None) -> None:
-    """Write a batch, replacing an earlier attempt at the same batch."""
+    """Write a batch, replacing an earlier attempt at the same batch, on whatever days that had rows."""
     placed = df.withColumns({
         "day": F.lit(None).cast("date") if day is None else F.to_date(day), "writer": F.lit(batch.writer), "batch_id": F.lit(batch.number).cast("long"),
     })
+    fs, pattern = _hadoop(df.sparkSession, f"{path}/day=*/writer={batch.writer}/batch_id={batch.number}")
+    for status in fs.globStatus(pattern) or []:
+        fs.delete(status.getPath(), True)
+    if fs.globStatus(_hadoop(df.sparkSession, f"{path}/day=*/writer={COMPACTED}")[1]):
+        fs.mkdirs(_hadoop(df.sparkSession, f"{path}/{REPLACED}/{batch.writer}-{batch.number}")[1])
     writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*PLACE).parquet(path)
 
@@ -108,14 +135,40 @@ def stored_ids(df: DataFrame, stored: DataFrame, column: str) -> DataFrame:
     return stored.select(column).join(df.select(column).distinct(), column, "left_semi").distinct()
 
 
+def history_ids(spark: SparkSession, path: str):
+    """The index of the transaction ids of a history, beside it. A history that was written without one gets it now."""
+    from .ids import IdIndex
+
+    index = IdIndex(spark, f"{path}-ids")
+    if not index.exists() and _days(spark, path, None, None):
+        # one part for each writer and batch, as if the batches had come in with it
+        rows = _read(spark, path, schemas.HISTORY).select(
+            F.col("transaction_id").alias("id"), F.coalesce(ORIGIN[0], "writer").alias("by_writer"), F.coalesce(ORIGIN[1], "batch_id").alias("by_batch")
+        )
+        index.load(rows.where("id is not null"))
+    return index
+
+
 def append_history(df: DataFrame, path: str, batch: Batch) -> None:
-    """History rows whose transaction id is not stored yet."""
+    """History rows whose transaction id is not stored yet; their ids go to the index first, so that no other writer takes one."""
+    names = [f.name for f in schemas.HISTORY.fields]
+    rows = _first_of_transaction(df.select(*names))
+    index = history_ids(df.sparkSession, path)
+    known = index.stored(rows.select(F.col("transaction_id").alias("id")), batch)
+    put_new_history(rows.join(known.withColumnRenamed("id", "transaction_id"), "transaction_id", "left_anti").select(*names), path, batch)
+
+
+def _first_of_transaction(rows: DataFrame) -> DataFrame:
     from ..operators.ordered import first_arrival
 
-    names = [f.name for f in schemas.HISTORY.fields]
-    rows = first_arrival(df.select(*names), ["transaction_id"], "seq")
-    known = stored_ids(rows, read_table(df.sparkSession, path, schemas.HISTORY, before=batch), "transaction_id")
-    put_batch(rows.join(known, "transaction_id", "left_anti").select(*names), path, batch, F.col("occurred_at"))
+    return first_arrival(rows, ["transaction_id"], "seq")
+
+
+def put_new_history(rows: DataFrame, path: str, batch: Batch) -> None:
+    """History rows of transactions that are known to be new, one each."""
+    index = history_ids(rows.sparkSession, path)
+    index.put(rows.select(F.col("transaction_id").alias("id")), batch)
+    put_batch(rows.select(*(f.name for f in schemas.HISTORY.fields)), path, batch, F.col("occurred_at"))
 
 
 def append_markers(df: DataFrame, path: str, batch: Batch, at: Column) -> None:
@@ -141,18 +194,57 @@ def read_alerts(spark: SparkSession, path: str, t0=None, t1=None) -> DataFrame:
 
 
 def expire_table(spark: SparkSession, path: str, schema: T.StructType, ts: str, cutoff, target: str) -> None:
-    """Write the rows not older than the cutoff to a new folder; whole days before it are not read."""
+    """Write the rows not older than the cutoff to a new folder; whole days before it are not read. Rows without a time stay."""
     kept = read_table(spark, path, schema).filter(
-        (F.col("day") >= F.to_date(F.lit(cutoff))) & (F.col(ts) >= F.lit(cutoff))
+        F.coalesce(F.col("day") >= F.to_date(F.lit(cutoff)), F.lit(True)) & F.coalesce(F.col(ts) >= F.lit(cutoff), F.lit(True))
     )
     kept.write.mode("overwrite").partitionBy(*PLACE).parquet(target)
 
 
+def expire_days(spark: SparkSession, path: str, schema: T.StructType, ts: str, cutoff: datetime) -> None:
+    """
+    Drop the rows older than the cutoff in place: folders of whole days before it go unread, and of the cutoff's own day only the
+    batches that have such rows are written again, each replaced on its own. Rows without a day or a time stay.
+
+    A stream may go on meanwhile: its own newest batch of that day is left for the next time.
+    """
+    day = cutoff.astimezone(timezone.utc).date()
+    for folder in _days(spark, path, None, None):
+        name = folder.rsplit("day=", 1)[1]
+        if name != _NO_DAY and name < day.isoformat():
+            fs, place = _hadoop(spark, folder)
+            fs.delete(place, True)
+    rows = _read(spark, path, schema, first=day, last=day).filter(F.col("day") == F.lit(day))
+    newest = read_table(spark, path, schema).groupBy("writer").agg(F.max("batch_id").alias("newest"))
+    old = rows.filter(F.col(ts) < F.lit(cutoff)).select("writer", "batch_id").distinct().join(F.broadcast(newest), "writer")
+    # as many as the batches of a day
+    touched = [Batch(r.writer, r.batch_id) for r in old.filter((F.col("writer") == COMPACTED) | (F.col("batch_id") < F.col("newest"))).collect()]
+    for batch in touched:
+        own = rows.filter((F.col("writer") == batch.writer) & (F.col("batch_id") == batch.number) & F.coalesce(F.col(ts) >= F.lit(cutoff), F.lit(True)))
+        kept = settled(own)
+        fs, place = _hadoop(spark, f"{path}/day={day.isoformat()}/writer={batch.writer}/batch_id={batch.number}")
+        if kept.isEmpty():
+            fs.delete(place, True)
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(path)
+
+
+#: Rows of a day that compaction gives to one task.
+ROWS_PER_FILE = 1_000_000
+
+
 def compact_table(spark: SparkSession, path: str, schema: T.StructType, closed_before: date, target: str) -> None:
-    """A copy of a table in which the many small batches of each closed day are one; open days keep their batches,
-    so a stream that goes on with the copy can still repeat its last batch."""
-    closed = F.col("day") < F.lit(closed_before)
-    rows = read_table(spark, path, schema)
-    merged = rows.withColumns({"writer": F.when(closed, COMPACTED).otherwise(F.col("writer")), "batch_id": F.when(closed, 0).otherwise(F.col("batch_id"))})
-    # rows of one day may be many, so a day is dealt out and not sent to one task
-    merged.repartition(F.col("day"), F.pmod(F.xxhash64(*(f.name for f in schema.fields)), F.lit(8))).write.mode("overwrite").partitionBy(*PLACE).parquet(target)
+    """A copy of a table in which the many small batches of each closed day are one; open days keep their batches. A stream that goes on with
+    the copy can still repeat its last batch, wherever its rows lie."""
+    rows, closed = _read(spark, path, schema), F.col("day") < F.lit(closed_before)
+    moved = closed & (F.col("writer") != COMPACTED)
+    merged = rows.withColumns({
+        ORIGIN[0]: F.when(moved, F.col("writer")).otherwise(F.col(ORIGIN[0])), ORIGIN[1]: F.when(moved, F.col("batch_id")).otherwise(F.col(ORIGIN[1])),
+        "writer": F.when(closed, COMPACTED).otherwise(F.col("writer")), "batch_id": F.when(closed, 0).otherwise(F.col("batch_id")),
+    })
+    # rows of one day may be many, so a day is dealt out by its size and not sent to one task
+    sizes = merged.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).cast("long").alias("_files")).withColumnRenamed("day", "_day")
+    dealt = merged.join(F.broadcast(sizes), F.col("day").eqNullSafe(F.col("_day")))
+    names = [f.name for f in schema.fields]
+    dealt = dealt.withColumn("_file", F.pmod(F.xxhash64(*names), F.col("_files")))
+    dealt.repartition("day", "_file").select(*names, *ORIGIN, *PLACE).write.mode("overwrite").partitionBy(*PLACE).parquet(target)

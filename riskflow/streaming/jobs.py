@@ -11,6 +11,7 @@ markers are kept. A second event with a stored transaction id goes to the dead l
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -105,14 +106,14 @@ def ingest_stream(
     return _start(requests, each, checkpoint, trigger)
 
 
-def fresh_events(events: DataFrame, markers: DataFrame, history: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
+def fresh_events(events: DataFrame, markers: DataFrame, stored: Callable[[DataFrame], DataFrame], topic: str) -> tuple[DataFrame, DataFrame]:
     """
     (events to score, dead letters): of each event id the first arrival, unless a marker has it; of each transaction id the first of
-    these, unless the history has it. The others of a transaction are dead letters.
+    these, unless the history has it, which `stored` says of a table of ids. The others of a transaction are dead letters.
     """
     known = tables.stored_ids(events, markers, "event_id")
     fresh = drop_processed(events, known)
-    taken = tables.stored_ids(fresh, history, "transaction_id").withColumn("_taken", F.lit(True))
+    taken = stored(fresh.select(F.col("transaction_id").alias("id"))).select(F.col("id").alias("transaction_id"), F.lit(True).alias("_taken"))
     first = first_arrival(fresh.select("transaction_id", "event_id", "seq"), ["transaction_id"], "seq").select("event_id", F.lit(True).alias("_first"))
     marked = fresh.join(taken, "transaction_id", "left").join(first, "event_id", "left")
     again = F.col("_taken").isNotNull() | F.col("_first").isNull()
@@ -140,25 +141,47 @@ def score_stream(
     return _start(events, each, checkpoint, trigger)
 
 
+@dataclass(frozen=True)
+class Scoring:
+    """The scorer's work on a batch, and the name and clock it goes by."""
+
+    work: Callable[[DataFrame, Batch, datetime], None]
+    writer: str
+    clock: Callable[[int], datetime]
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.work(batch, Batch(self.writer, batch_id), self.clock(batch_id))
+
+    def under(self, checkpoint_writer: str, clock: Callable[[int], datetime]) -> Scoring:
+        """The same work for the stream of a checkpoint."""
+        return Scoring(self.work, f"{self.writer}-{checkpoint_writer}", clock)
+
+
 def scoring(
     history_path: str, decisions_path: str, writer: str, config: RuleConfig = RuleConfig(), *, dlq_path: str,
     markers_path: str | None = None, topic: str = TRANSACTIONS_TOPIC, keep: tuple[str, ...] = (),
     publish: Callable[[DataFrame, int], None] | None = None, detected_at: Column | None = None, remember: timedelta = REMEMBER,
     clock: Callable[[int], datetime] = lambda n: datetime.now(timezone.utc),
-) -> Callable[[DataFrame, int], None]:
-    """What `score_stream` does with each batch; also the work of `reprocess_dlq` on dead letters."""
+) -> Scoring:
+    """
+    What `score_stream` does with each batch; also the work of `reprocess_dlq` on dead letters.
+
+    Batches are stored under `writer` and their numbers. `reprocess_dlq` adds the name of its own checkpoint to it, so two replays never
+    share a place; whoever calls this work alone has to name a writer that no other checkpoint has.
+    """
     markers_path = markers_path or f"{history_path}-markers"
     columns = ["event_id", "transaction_id", "user_id", "occurred_at", "seq", "prior_count", "risk_score", "fraudulent", "reasons"]
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark, mine, now = batch.sparkSession, Batch(writer, batch_id), clock(batch_id)
+    def each(batch: DataFrame, mine: Batch, now: datetime) -> None:
+        spark = batch.sparkSession
 
         def work(held: DataFrame) -> None:
             ok, dead = route_dlq(held, poison_reason(held, TRANSACTION_REQUIRED), topic)
             # only the users and times that a batch can reach are kept of the history; see against_stored
             history = tables.read_table(spark, history_path, schemas.HISTORY, before=mine)
             markers = tables.read_table(spark, markers_path, schemas.PROCESSED, before=mine, first=(now - remember).date())
-            fresh, again = fresh_events(ok, markers, history, topic)
+            index = tables.history_ids(spark, history_path)
+            fresh, again = fresh_events(ok, markers, lambda ids: index.stored(ids, mine), topic)
             put_letters(dead.unionByName(again), dlq_path, mine)
             _held(score_batch(fresh, history, config), lambda scored: store(scored, mine, now))
 
@@ -171,9 +194,9 @@ def scoring(
         if publish:
             publish(to_fraud_events(scored, RULE_VERSION, detected_at), mine.number)
         tables.append_markers(scored, markers_path, mine, F.lit(now))
-        tables.append_history(to_history(scored), history_path, mine)
+        tables.put_new_history(to_history(scored), history_path, mine)
 
-    return each
+    return Scoring(each, writer, clock)
 
 
 def with_dlq(batch: DataFrame, mine: Batch, reason: Column, topic: str, ok_sink: Callable[[DataFrame], None], dlq_path: str) -> None:
@@ -232,11 +255,18 @@ def reprocess_dlq(
     """Run dead letters through `transform(rows, batch_id)` again, which may be the scorer's own work (`scoring`).
 
     What fails again is terminal: it is written to `failed_path` and never queued a second time. An empty payload counts as
-    failed, and so does every letter of a batch whose work raises an exception; the stream goes on.
+    failed, and so does every letter of a batch whose work raises an exception of its own; the stream goes on. Where Spark fails (a lost
+    executor, a full disk), the batch fails and is repeated, since the letters are not to blame.
     """
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
     from ..sources.files import decode
 
-    writer = tables.writer_of(letters_.sparkSession, checkpoint)
+    spark = letters_.sparkSession
+    writer = tables.writer_of(spark, checkpoint)
+    if isinstance(transform, Scoring):
+        transform = transform.under(writer, lambda n: tables.batch_time(spark, checkpoint, n))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         mine = Batch(writer, batch_id)
@@ -246,6 +276,8 @@ def reprocess_dlq(
             marked = held.withColumn("error_code", why)
             try:
                 transform(marked.filter(F.col("error_code").isNull()).drop("error_code"), batch_id)
+            except (Py4JError, PySparkException):
+                raise
             except Exception as error:  # what the work can't do is the letters' failure, not the stream's
                 marked = marked.withColumn("error_code", F.coalesce("error_code", F.lit(type(error).__name__)))
             bad = marked.filter(F.col("error_code").isNotNull())

@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskflow import schemas
 from riskflow.session import rows_per_task, shared_folder
 from riskflow.sources import files, tables
+from riskflow.sources import ids as I
 from riskflow.sources.tables import Batch
 
 from .conftest import at, table
@@ -65,6 +67,83 @@ def test_expired_table(spark, tmp_path):
     assert table(tables.read_table(spark, target, schemas.HISTORY), "transaction_id") == [("edge",), ("new",)]
 
 
+def test_a_repeated_batch_replaces_rows_of_other_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    day = lambda *rows: spark.createDataFrame([(i, at(s)) for i, s in rows], "event_id string, processed_at timestamp")
+    for batch, rows in ((0, [("a", 0)]), (1, [("b", 0), ("c", 90_000)]), (1, [("b", 200_000)])):
+        tables.put_batch(day(*rows), path, Batch("w", batch), F.col("processed_at"))
+    assert table(tables.read_table(spark, path, schemas.PROCESSED), "event_id", "batch_id") == [("a", 0), ("b", 1)]
+
+
+def test_a_batch_repeated_after_compaction(spark, tmp_path):
+    path, small = str(tmp_path / "h"), str(tmp_path / "small")
+    tables.append_history(history(spark, ("t1", 0), ("t2", 5)), path, Batch("w", 0))
+    tables.append_history(history(spark, ("t3", 0), ("t4", 0)), path, Batch("w", 1))
+    tables.append_history(history(spark, ("t5", 0)), path, Batch("v", 1))
+    tables.compact_table(spark, path, schemas.HISTORY, at(10**9).date(), small)
+    mine = lambda: table(tables.read_table(spark, small, schemas.HISTORY, before=Batch("w", 1)), "transaction_id")
+    assert mine() == [("t1",), ("t2",), ("t5",)]
+    # the batch comes again: its own rows don't count against it, others do
+    tables.append_history(history(spark, ("t3", 0), ("t2", 5), ("t6", 7)), small, Batch("w", 1))
+    assert table(tables.read_table(spark, small, schemas.HISTORY), "transaction_id") == [("t1",), ("t2",), ("t3",), ("t5",), ("t6",)]
+    # and once more into one
+    again = str(tmp_path / "again")
+    tables.compact_table(spark, small, schemas.HISTORY, at(10**9).date(), again)
+    assert table(tables.read_table(spark, again, schemas.HISTORY), "transaction_id", "writer") == [(f"t{k}", "compacted") for k in (1, 2, 3, 5, 6)]
+
+
+def test_expiry_in_place(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = lambda *r: spark.createDataFrame(list(r), "event_id string, processed_at timestamp")
+    tables.put_batch(rows(("a", at(0)), ("b", at(86_400)), ("c", at(86_500)), ("none", None)), path, Batch("w", 0), F.col("processed_at"))
+    tables.put_batch(rows(("d", at(86_401)), ("e", at(90_000))), path, Batch("w", 1), F.col("processed_at"))
+    tables.put_batch(rows(("f", at(86_402)), ("g", at(300_000))), path, Batch("w", 2), F.col("processed_at"))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "m").rglob("*.parquet") if "day=2024-01-02" not in str(f)}
+    tables.expire_days(spark, path, schemas.PROCESSED, "processed_at", at(86_450))
+    # f is in the newest batch, which may be written again: it goes next time
+    assert table(tables.read_table(spark, path, schemas.PROCESSED), "event_id") == [(x,) for x in ("c", "e", "f", "g", "none")]
+    assert not (tmp_path / "m" / "day=2024-01-01").exists()
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items() if "day=2024-01-01" not in str(f))
+
+
+def ids(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "id string")
+
+
+@pytest.mark.parametrize("bits", [24, 1])
+def test_index_of_ids_is_exact(spark, tmp_path, monkeypatch, bits):
+    """Also where filters say yes to nearly everything."""
+    monkeypatch.setattr(I, "BITS", bits)
+    monkeypatch.setattr(I, "FULL", 20)
+    index = I.IdIndex(spark, str(tmp_path / "i"))
+    assert index.stored(ids(spark, "x0"), Batch("w", 0)).collect() == []
+    for n in range(4):
+        index.put(ids(spark, *(f"x{k}" for k in range(n * 100, n * 100 + 100)), None), Batch("w", n))
+    index.put(ids(spark, "y"), Batch("v", 0))
+    index.put(ids(spark, "z"), Batch("v", 0))  # repeated with other rows
+    asked = ids(spark, "x5", "x5", "x150", "x399", "y", "z", "new", None)
+    for _ in range(2):
+        assert table(index.stored(asked)) == [("x150",), ("x399",), ("x5",), ("z",)]
+        assert table(index.stored(asked, Batch("w", 1))) == [("x5",), ("z",)]
+        assert table(index.stored(asked, Batch("v", 0))) == [("x150",), ("x399",), ("x5",)]
+        index.compact()
+    number, buckets = index._generation()
+    assert number == 3 and buckets == 32
+    index.put(ids(spark, "x300", "late"), Batch("w", 3))  # the newest batch again
+    assert table(index.stored(ids(spark, "x300", "x301", "late", "x299"))) == [("late",), ("x299",), ("x300",)]
+
+
+def test_index_reads_what_may_hold_an_id(spark, tmp_path):
+    index = I.IdIndex(spark, str(tmp_path / "i"))
+    for n in range(6):
+        index.put(spark.range(n * 2000, n * 2000 + 2000).select(F.concat(F.lit("t"), "id").alias("id")), Batch("w", n))
+    fresh = spark.range(50_000, 52_000).select(F.concat(F.lit("t"), "id").alias("id"))
+    # 2,000 new ids against six parts: 12,000 tests, with some 0.00005 false ones each
+    assert index.candidates(fresh).count() <= 6
+    near = index.candidates(ids(spark, "t5000"))
+    assert near.count() <= 2 and near.filter("part = 'w-2'").count() == 1
+
+
 def test_alert_and_transaction_tables(spark, tmp_path):
     alert = spark.createDataFrame([("a", "t", "u", 70, "X", at(0), "e", None)], schemas.ALERT)
     for _ in range(2):

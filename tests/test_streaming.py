@@ -116,6 +116,53 @@ def test_one_effect_per_event_and_transaction(spark, tmp_path, arrivals):
     assert {r.error_code for r in spark.read.json(str(tmp_path / "dlq")).collect()} == {"DUPLICATE_TRANSACTION"}
 
 
+def test_two_replays_keep_all_rows(spark, tmp_path, arrivals):
+    """Each with its own checkpoint and the same name: their batches have the same numbers, not the same place."""
+    rows, _ = arrivals
+    paths = {n: str(tmp_path / n) for n in ("h", "d", "dlq")}
+    work = lambda: jobs.scoring(paths["h"], paths["d"], "replay", dlq_path=paths["dlq"])
+    for n, (lo, hi) in enumerate(((0, 5), (5, 12))):
+        drop(tmp_path / f"in{n}", "b0", [event(i, rows[i]) for i in range(lo, hi)])
+        letters = files.read_dlq(spark, path=str(tmp_path / f"in{n}"))
+        jobs.reprocess_dlq(letters, work(), str(tmp_path / f"failed{n}"), str(tmp_path / f"c{n}")).awaitTermination()
+    assert sorted(int(r.event_id[1:]) for r in spark.read.parquet(paths["d"]).collect()) == list(range(12))
+    assert tables.read_table(spark, paths["h"], schemas.HISTORY).count() == 12
+
+
+def test_replay_fails_where_spark_does(spark, tmp_path, arrivals):
+    """A letter isn't to blame for a failing store: the batch fails, and is repeated."""
+    rows, _ = arrivals
+    drop(tmp_path / "in", "b0", [event(i, rows[i]) for i in range(3)])
+
+    def lost(ok, n):
+        ok.sparkSession.read.parquet(str(tmp_path / "nowhere")).count()
+
+    with pytest.raises(Exception, match="nowhere"):
+        jobs.reprocess_dlq(files.read_dlq(spark, path=str(tmp_path / "in")), lost, str(tmp_path / "failed"), str(tmp_path / "c")).awaitTermination()
+    assert not (tmp_path / "failed").exists()
+    done = []
+    jobs.reprocess_dlq(files.read_dlq(spark, path=str(tmp_path / "in")), lambda ok, n: done.append(ok.count()), str(tmp_path / "failed"), str(tmp_path / "c")).awaitTermination()
+    assert done == [3]
+
+
+def test_scorer_repeats_a_batch_after_compaction(spark, tmp_path, arrivals):
+    rows, _ = arrivals
+    inbox = tmp_path / "in"
+    paths = {n: str(tmp_path / n) for n in ("h", "small", "d", "c", "dlq")}
+    run = lambda history: jobs.score_stream(source(spark, inbox), history, paths["d"], paths["c"], dlq_path=paths["dlq"], markers_path=str(tmp_path / "m")).awaitTermination()
+    drop(inbox, "b0", [event(i, rows[i]) for i in range(20)])
+    run(paths["h"])
+    drop(inbox, "b1", [event(i, rows[i]) for i in range(20, 30)])
+    run(paths["h"])
+    first = table(spark.read.parquet(paths["d"]), "event_id", "risk_score", "prior_count")
+    tables.compact_table(spark, paths["h"], schemas.HISTORY, at(10**9).date(), paths["small"])
+    max((tmp_path / "c" / "commits").iterdir(), key=lambda f: int(f.name) if f.name.isdigit() else -1).unlink()
+    run(paths["small"])
+    assert table(spark.read.parquet(paths["d"]), "event_id", "risk_score", "prior_count") == first
+    assert tables.read_table(spark, paths["small"], schemas.HISTORY).count() == 30
+    assert files.read_dlq(spark, path=paths["dlq"], streaming=False).count() == 0
+
+
 def test_dead_letters_return_to_the_scorer(spark, tmp_path, arrivals):
     """Letters of one stream are read back and scored by the scorer's own work, on the same history."""
     rows, _ = arrivals
