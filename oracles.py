@@ -745,3 +745,35 @@ put("stream_dead_letters", TX, """
   SELECT CASE event_type WHEN 'error' THEN 'NULL_EVENT_ID' WHEN 'signup' THEN 'EMPTY_EVENT_PAYLOAD' ELSE 'reprocessed' END AS outcome, count(*) AS n
   FROM transactions GROUP BY 1""")
 put("read_back_samples", samples(["fraud_alerts_total"]), "SELECT us, name, instance, round(CAST(value AS DOUBLE), 6) AS value FROM samples")
+
+# ------------------------------------------------------------------ ledgers, replays and stored ids
+
+
+def passes(seconds: tuple[int, ...]) -> str:
+    """The outbox after passes that many seconds after five: a third of the events is refused until the third attempt."""
+    steps = ["o0 AS (SELECT * FROM outbox)"]
+    for k, s in enumerate(seconds):
+        due, bad = f"status = 'PENDING' AND next_us <= {at(5) + s * 1000000}", "(cents % 3 = 0 AND attempts < 2)"
+        steps.append(f"""o{k + 1} AS (SELECT * REPLACE (
+  CASE WHEN {due} AND NOT {bad} THEN 'PUBLISHED' ELSE status END AS status, CASE WHEN {due} AND {bad} THEN attempts + 1 ELSE attempts END AS attempts,
+  CASE WHEN {due} AND {bad} THEN {at(5) + (s + 2) * 1000000} ELSE next_us END AS next_us,
+  CASE WHEN {due} AND NOT {bad} THEN {at(5) + s * 1000000} ELSE published_us END AS published_us,
+  CASE WHEN {due} THEN CASE WHEN {bad} THEN CASE WHEN cents % 2 = 0 THEN 'OSError' ELSE 'broker down' END END ELSE last_error END AS last_error) FROM o{k})""")
+    return ", ".join(steps)
+
+
+put("outbox_relayed", OUTBOX + ", " + passes((0, 1, 2, 4, 6)), f"SELECT {OUTBOX_COLUMNS} FROM o5")
+put("alerts_of_one_user", ALERTS, """
+  SELECT id, user_id, risk_score, created_us FROM alerts
+  WHERE user_id = (SELECT user_id FROM alerts GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1)""")
+put("alerts_delivered", ALERTS, """
+  SELECT id AS alert_id, channel, CASE WHEN channel = 'email' AND risk_score >= 90 THEN 'failed' ELSE 'success' END AS outcome,
+         CAST(CASE WHEN channel = 'log' OR risk_score < 70 THEN 1 WHEN risk_score >= 90 THEN 3 ELSE 2 END AS INT) AS attempt
+  FROM alerts, (VALUES ('log'), ('email')) AS c(channel)""")
+SQL["stream_replayed_twice"] = SQL["score_transactions"]
+put("stream_repeated_after_compaction", SCORED, """
+  SELECT event_id, user_id, CAST(prior_count AS BIGINT) AS prior_count, risk_score, fraudulent, CAST(1 AS BIGINT) AS stored, CAST(0 AS INT) AS letters FROM scored""")
+put("stored_ids", TX, "SELECT transaction_id AS id FROM transactions WHERE event_type = 'purchase'")
+SQL["read_back_logs"] = SQL["parsed_logs"]
+put("read_back_spans", SPANS, """
+  SELECT trace_id, span_id, coalesce(parent_span_id, '') AS parent, service, name, kind, status, start_us AS us, round(duration_ms, 6) AS ms FROM spans""")

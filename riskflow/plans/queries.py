@@ -16,7 +16,9 @@ from ..operators import delivery, history, logs, ordered, outbox, rules, series,
 from ..session import settled, shared_folder
 from ..sources import files
 from ..sources import tables as stored
-from ..streaming import jobs
+from ..sources.ids import IdIndex
+from ..sources.tables import Batch
+from ..streaming import jobs, ledger
 from . import panels
 from . import samples as M
 from . import tables as T
@@ -386,6 +388,36 @@ def notification_content(spark, folder):
                        F.array_join("reasons_html", "|").alias("reasons_html"))
 
 
+@query
+def alerts_of_one_user(spark, folder):
+    """Newest first, of the user with most alerts; equal counts go to the lesser name."""
+    raised = T.alerts(spark, folder)
+    user = raised.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()
+    return A.list_alerts_by_user(raised, user.user_id if user else "").select("id", "user_id", "risk_score", us("created_at", "created_us"))
+
+
+def _log(row: dict) -> None:
+    return None
+
+
+def _mail(row: dict) -> None:
+    """A mail server that takes high scores at the second attempt only, and the highest never."""
+    if row["risk_score"] >= 90 or (row["risk_score"] >= 70 and row["attempt"] < 2):
+        raise TimeoutError("mail server is busy")
+
+
+@query
+def alerts_delivered(spark, folder):
+    """Own senders per channel, over a ledger: passes a second apart until nothing is left to try, and one batch twice."""
+    out = _fresh_folder(spark)
+    raised = settled(T.alerts(spark, folder))
+    book = ledger.Ledger(spark, f"{out}/ledger", ledger.Policy(attempts=3, delay=timedelta(seconds=1), growth=2.0))
+    channels = A.Channels(email_enabled=True, email_to=("risk@example.org",))
+    for number, seconds in ((0, 0), (1, 1), (1, 30), (2, 2), (3, 3), (4, 60)):
+        ledger.notify(raised, channels, {"log": _log, "email": _mail}, book, Batch("alerts", number), _NOW + timedelta(seconds=seconds))
+    return ledger.notifications(book).select("alert_id", "channel", "outcome", "attempt")
+
+
 @query
 def triage_count(spark, folder):
     return A.alert_count(T.alerts(spark, folder), _time(1, 0, 5), _time(1, 6))
@@ -542,6 +574,29 @@ def outbox_backlog(spark, folder):
     return done.select("status", "n", "attempts", us("oldest", "oldest_us"), F.round("oldest_age_seconds", 6).alias("age"))
 
 
+def _refusing(row: dict) -> None:
+    """A broker that refuses every third event twice."""
+    import json
+
+    cents = round(json.loads(row["payload"])["amount"] * 100)
+    if cents % 3 == 0 and row["attempt"] <= 2:
+        raise OSError(" " if cents % 2 == 0 else "broker down")
+
+
+@query
+def outbox_relayed(spark, folder):
+    """The outbox after five passes of two relays, one of them repeated."""
+    out = _fresh_folder(spark)
+    table = T.outbox_table(spark, folder)
+    stored.put_batch(table, f"{out}/outbox", Batch("app", 0), F.col("created_at"))
+    book = ledger.Ledger(spark, f"{out}/ledger")
+    for number, seconds in enumerate((0, 1, 2, 2, 4, 6)):
+        for k in range(2):
+            again = number - 1 if number == 3 else number
+            ledger.relay(spark, f"{out}/outbox", book, Batch(f"relay{k}", again), _NOW + timedelta(seconds=seconds), _refusing, None, (k, 2))
+    return _outbox_flat(ledger.relayed(table, book))
+
+
 # ------------------------------------------------------------------ time series
 
 
@@ -1037,3 +1092,68 @@ def stream_replayed(spark, folder):
     work = jobs.scoring(f"{out}/history", f"{out}/decisions", "replay", dlq_path=f"{out}/dlq")
     jobs.reprocess_dlq(files.read_dlq(spark, path=f"{out}/letters"), work, f"{out}/failed", f"{out}/checkpoint").awaitTermination()
     return _decisions(spark, f"{out}/decisions")
+
+
+@query
+def stream_replayed_twice(spark, folder):
+    """Dead letters in two folders, each replayed by a job of its own: together the decisions of the scorer, if the first half is the older."""
+    out = _fresh_folder(spark)
+    records = settled(_events(spark, folder).withColumn("topic", F.concat("topic", F.lit(".dlq"))))
+    # by user, so that each history is whole in one of the two
+    odd = F.pmod(F.xxhash64(F.get_json_object("value", "$.userId")), F.lit(2)) == 1
+    for name, mine in (("odd", odd), ("even", ~odd)):
+        files.write_records(records.filter(mine).drop("event_type"), path=f"{out}/{name}")
+        work = jobs.scoring(f"{out}/history", f"{out}/decisions", "replay", dlq_path=f"{out}/dlq")
+        jobs.reprocess_dlq(files.read_dlq(spark, path=f"{out}/{name}"), work, f"{out}/failed", f"{out}/c-{name}").awaitTermination()
+    return _decisions(spark, f"{out}/decisions")
+
+
+@query
+def stream_repeated_after_compaction(spark, folder):
+    """The scorer goes on with a compacted copy of its history, and the batch before comes once more: nothing changes."""
+    out = _fresh_folder(spark)
+    files.write_records(_events(spark, folder).drop("event_type"), path=f"{out}/in")
+
+    def run(history: str) -> None:
+        jobs.score_stream(files.read_events(spark, path=f"{out}/in"), history, f"{out}/decisions", f"{out}/checkpoint", dlq_path=f"{out}/dlq",
+                          markers_path=f"{out}/markers").awaitTermination()
+
+    run(f"{out}/history")
+    stored.compact_table(spark, f"{out}/history", schemas.HISTORY, _time(30).date(), f"{out}/compacted")
+    fs, commits = stored._hadoop(spark, f"{out}/checkpoint/commits")
+    fs.delete(commits, True)
+    run(f"{out}/compacted")
+    kept = stored.read_table(spark, f"{out}/compacted", schemas.HISTORY).groupBy("event_id").agg(F.count(F.lit(1)).alias("stored"))
+    letters = spark.read.schema("key string").json(f"{out}/dlq").count()
+    return _decisions(spark, f"{out}/decisions").join(kept, "event_id", "left").withColumn("letters", F.lit(letters)).drop("reasons")
+
+
+@query
+def stored_ids(spark, folder):
+    """Which ids of all transactions the index holds after every purchase has been stored, in batches, and compacted in between."""
+    out = _fresh_folder(spark)
+    index, rows = IdIndex(spark, f"{out}/ids"), settled(T.transactions(spark, folder).select(F.col("transaction_id").alias("id"), "event_type", "seq"))
+    bought = rows.filter("event_type = 'purchase'")
+    for n in range(3):
+        index.put(bought.filter(F.col("seq") % 3 == n), Batch("w", n))
+        if n == 1:
+            index.compact()
+    return index.stored(rows).select("id")
+
+
+@query
+def read_back_logs(spark, folder):
+    """Log lines written as JSON and read back through the log source."""
+    out = _fresh_folder(spark)
+    T.log_lines(spark, folder).select("ts", "service", "line").write.json(f"{out}/logs", timestampFormat=schemas.JSON_OPTIONS["timestampFormat"])
+    done = logs.parse_logs(files.read_logs(spark, f"{out}/logs"))
+    return done.select(us("ts", "us"), "service", *_blank(done, "level", "traceId", "event", "outcome", "risk_score"))
+
+
+@query
+def read_back_spans(spark, folder):
+    """Spans written in the layout of their source and read back."""
+    out = _fresh_folder(spark)
+    T.spans(spark, folder).select(*(f.name for f in schemas.SPAN.fields)).write.parquet(f"{out}/spans")
+    back = files.read_spans(spark, f"{out}/spans")
+    return back.select("trace_id", "span_id", F.coalesce("parent_span_id", F.lit("")).alias("parent"), "service", "name", "kind", "status", us("start", "us"), F.round("duration_ms", 6).alias("ms"))
