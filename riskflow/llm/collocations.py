@@ -35,9 +35,9 @@ KEY_BITS = 32
 #: Counters of one partition, about.
 CAPACITY = 1 << 19
 #: Bytes of text handled at once, and hashed runs added up before they are sent.
-CHUNK, HELD = 8 << 20, 8 << 20
+CHUNK, HELD = 2 << 20, 2 << 20
 #: Phrases with their counts that a task adds up before it hands them on.
-PHRASES = 1 << 19
+PHRASES = 1 << 18
 #: Survivors that a round of the second pass looks up.
 ROUND = 1 << 22
 _LETTER, _BLANK, _BREAK = 0, 1, 2
