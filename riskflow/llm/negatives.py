@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm import common
 
-LEAF, BRANCH = 48, 16
+LEAF, BRANCH = 256, 16
 #: Candidates of one shard, about; points of the first net; the sample they are taken from; cells a request goes to first.
 SHARD, CELLS, SAMPLE, SEEDS = 1 << 13, 1 << 10, 1 << 14, 2
 _LOW, _HIGH = -(2**63), 2**63 - 1
@@ -227,7 +227,7 @@ class Shards:
                     )
 
         # whole shards per task, its candidates before its requests; the requests alone grow, and are streamed
-        dealt = held.unionByName(asked).repartition(self.tasks, "shard").sortWithinPartitions("shard", "kind")
+        dealt = held.unionByName(asked).repartitionById(self.tasks, F.col("shard")).sortWithinPartitions("shard", "kind")
         return dealt.mapInArrow(run, "rep long, window int, vec_id long, score long")
 
     def first(self, requests: DataFrame, same: bool, k: int) -> DataFrame:
@@ -285,7 +285,7 @@ def sharded(items: DataFrame, k: int) -> Shards | None:
     seen = {r.cell: r for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
     cells = sorted(seen)
     number = F.element_at(F.create_map(*(F.lit(x) for k, c in enumerate(cells) for x in (c, k))), F.col("cell")) if len(cells) < len(pivots) else F.col("cell")
-    parts = max(1, max(-(-seen[c].n // (2 * SHARD)) for c in cells))
+    parts = max(1, max(-(-seen[c].n // SHARD) for c in cells))
     # equal classes don't exist, so a hash of one deals a crowded cell evenly
     shard = number * parts + F.pmod(F.xxhash64("ids", "label"), F.lit(parts).cast("long")).cast("int")
     return Shards(
