@@ -254,14 +254,14 @@ def survivors(texts: DataFrame, min_count: int, longest: int) -> tuple[DataFrame
 
 
 COUNTED = "lang string, size int, phrase string, f long"
-_SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+_SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()), ("part", pa.int32())])
 
 
-def _phrases(chunk: Words, size: int, at: np.ndarray, which: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs of one length at `at`, whose keys are number `which`, counted by their words, as runs of one key may differ."""
+def _phrases(chunk: Words, size: int, at: np.ndarray, which: np.ndarray, parts_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of one length at `at`, whose keys are number `which` and in partitions `parts_of`, counted by their words, as runs of one key may differ."""
     names = chunk.names.cast(pa.string())
     while len(at):
-        _, first, inverse, counts = np.unique(which, return_index=True, return_inverse=True, return_counts=True)
+        own, first, inverse, counts = np.unique(which, return_index=True, return_inverse=True, return_counts=True)
         model = at[first][inverse]
         same = chunk.langs[at] == chunk.langs[model]
         for k in range(size):
@@ -271,21 +271,56 @@ def _phrases(chunk: Words, size: int, at: np.ndarray, which: np.ndarray) -> Iter
         parts = [names.take(pa.array(chunk.codes[at[first] + k])) for k in range(size)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(chunk.lang_names, pa.string()).take(pa.array(chunk.langs[at[first]])), pa.array(np.full(len(first), size, np.int32)),
-             pc.binary_join_element_wise(*parts, " "), pa.array(counts.astype(np.int64))], schema=_SCHEMA,
+             pc.binary_join_element_wise(*parts, " "), pa.array(counts.astype(np.int64)), pa.array(parts_of[own])], schema=_SCHEMA,
         )
         at, which = at[~same], which[~same]
 
 
 def _together(parts: list[pa.RecordBatch]) -> pa.Table:
     """Counts of equal phrases added up."""
-    table = pa.Table.from_batches(parts, _SCHEMA).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    table = pa.Table.from_batches(parts, _SCHEMA).group_by(["lang", "size", "phrase", "part"], use_threads=False).aggregate([("f", "sum")])
     return table.rename_columns([c.removesuffix("_sum") for c in table.column_names]).select(_SCHEMA.names)
 
 
 def _exact(texts: DataFrame, keys: np.ndarray, bits: int, longest: int, totals: bool) -> DataFrame:
-    """How often the runs of some keys occur (COUNTED), one row per task as long as it can hold them; with `totals`, also all words as a run of no word."""
+    """
+    How often the runs of some keys occur (COUNTED), each once; with `totals`, also all words as a run of no word.
+
+    Tasks send their counts as one row per hash partition, like the summaries before, and they are added up there.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(np.sort(keys))
-    shift = np.uint64(64 - bits)
+    shift, behind = np.uint64(64 - bits), np.uint64(KEY_BITS)
+
+    def sent(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by("part")
+        parts = table.column("part").to_numpy()
+        edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
+        blobs = []
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _SCHEMA) as out:
+                out.write_table(table.slice(start, stop - start))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(parts[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, waiting, settled = None, [], 0, 0
+
+        def whole() -> list[pa.RecordBatch]:
+            return _together(held).drop_columns("part").to_batches() if held else []
+
+        for batch in batches:
+            for own, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != part:
+                    yield from whole()
+                    part, held, waiting, settled = own, [], 0, 0
+                more = pa.ipc.open_stream(counts.as_buffer()).read_all().to_batches()
+                held += more
+                waiting += sum(m.num_rows for m in more)
+                if waiting > 2 * settled + PHRASES:
+                    held = _together(held).to_batches()
+                    waiting = settled = sum(m.num_rows for m in held)
+        yield from whole()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -294,13 +329,14 @@ def _exact(texts: DataFrame, keys: np.ndarray, bits: int, longest: int, totals:
         maybe = np.zeros(1 << width, bool)
         mask = np.uint64((1 << width) - 1)
         maybe[known & mask] = True
+        parts_of = (known >> behind).astype(np.int32)
         held: list[pa.RecordBatch] = []
         waiting = settled = 0
         for chunk in _chunks(batches):
             if totals:
                 sums = np.bincount(chunk.langs, minlength=len(chunk.lang_names))
                 full = [k for k, n in enumerate(sums) if n]
-                columns = [[chunk.lang_names[k] for k in full], [0] * len(full), [""] * len(full), [int(sums[k]) for k in full]]
+                columns = [[chunk.lang_names[k] for k in full], [0] * len(full), [""] * len(full), [int(sums[k]) for k in full], [0] * len(full)]
                 held.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA))
             for size, at, own in chunk.keys(longest):
                 own = own >> shift
@@ -309,19 +345,20 @@ def _exact(texts: DataFrame, keys: np.ndarray, bits: int, longest: int, totals:
                 which = np.searchsorted(known, own)
                 hit = which < len(known)
                 hit[hit] = known[which[hit]] == own[hit]
-                for part in _phrases(chunk, size, at[hit], which[hit]):
+                for part in _phrases(chunk, size, at[hit], which[hit], parts_of):
                     held.append(part)
                     waiting += part.num_rows
             if waiting > settled + PHRASES:
                 held = _together(held).to_batches()
                 waiting = settled = sum(part.num_rows for part in held)
                 if settled > 2 * PHRASES:
-                    yield from held
+                    yield sent(pa.Table.from_batches(held, _SCHEMA))
                     held, waiting, settled = [], 0, 0
         if held:
-            yield from _together(held).to_batches()
+            yield sent(_together(held))
 
-    return texts.mapInArrow(count, COUNTED)
+    dealt = texts.mapInArrow(count, "part int, counts binary").repartitionById(1 << (bits - KEY_BITS), F.col("part"))
+    return dealt.sortWithinPartitions("part").mapInArrow(add, COUNTED)
 
 
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
@@ -336,8 +373,9 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST
         own = keys.where((F.col("key") >= F.lit((n << bits) // rounds)) & (F.col("key") < F.lit((n + 1 << bits) // rounds)))
         counted = _exact(texts, own.toPandas()["key"].to_numpy(np.int64).astype(np.uint64), bits, longest, n == 0)
         out = counted if out is None else out.unionByName(counted)
-    whole = out.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return common.written(whole.where((F.col("f") >= min_count) | (F.col("size") == 0)), "phrases")
+    # a phrase has one key, and a key one round, so each is there once
+    with common.batch_rows(spark, 16):
+        return common.written(out.where((F.col("f") >= min_count) | (F.col("size") == 0)), "phrases")
 
 
 def scored(counts: DataFrame, cover: int = 100, top: int = TOP) -> DataFrame:
