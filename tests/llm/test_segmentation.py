@@ -56,6 +56,26 @@ def test_stretches_leave_no_piece_out():
                     assert not any(x < e < y for e in ends)
 
 
+def test_stretches_together_are_as_alone():
+    pieces = S.Pieces(PATH, 3)
+    texts = [*(t or "" for t in TEXTS), "the quick brown fox's 1,000 naïve cafés; Straße, x" * 3, "a" * 200, "日本🙂é"]
+    stretches = [c for t in texts for word in t.split(" ") for c in pieces.cut("▁" + word)]
+    assert pieces.forwards(stretches) == [pieces.forward(s) for s in stretches]
+    words = ["▁" + w for t in texts for w in t.split(" ")]
+    assert pieces.cuts(words) == [pieces.cut(w) for w in words]
+    learned, alone = S.Pieces(PATH, 3), S.Pieces(PATH, 3)
+    learned.learn(learned.normalized(texts))
+    for text in texts:
+        (words, best), (own, want) = learned.segment(text), alone.segment(text)
+        assert [s for s, _ in best] == [s for s, _ in want] and learned.ids(words).tolist() == alone.ids(own).tolist()
+
+
+def test_a_long_run_of_one_letter():
+    pieces = S.Pieces(PATH, 2)
+    best, second, ids = pieces.forward("a" * 400_000)
+    assert best >= second and pieces.decode(np.frombuffer(ids, "<u4")) == "a" * 400_000
+
+
 def test_texts_come_back():
     pieces, library = S.Pieces(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
     for text in [*TEXTS, "long word " * 5000, "y" * 3000]:
