@@ -349,10 +349,10 @@ def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is removed from every document, and the digest of the rest."""
+    """What is removed from every document, the digest of the rest, and whether it repeats anything at all."""
 
     def result(raw: bytes, gone: list[tuple[int, int]], kept: bytes) -> tuple:
-        return len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()
+        return len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), bool(gone)
 
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut(docs, result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string").select("row.doc_id", "cut.*")
+    return cut(docs, result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean").select("row.doc_id", "cut.*")
