@@ -6,8 +6,8 @@ A document is the set of its lower-cased words, hashed to `BUCKETS` buckets. The
     bias + sum of weights + sum over pairs of terms of the inner product of their factors
 
 so two terms can say together what neither says alone, which a sum of weights can't. It learns with numpy from at most
-`SAMPLE` labelled documents, on the `TERMS` buckets that tell the labels apart best (by the G statistic) alone or in company,
-and scores every document over all its words.
+`SAMPLE` labelled documents, on the up to `TERMS` buckets that tell the labels apart best (by the G statistic), alone or, among the
+`PAIRED` most frequent ones, as a pair. Every document is scored over all its words.
 
 Null and empty texts are the empty set, scored by the bias. Rows are scored one by one, so null ids and equal rows change nothing.
 Without any labelled row every score is 0.5; an empty table gives no row.
@@ -33,6 +33,9 @@ BUCKETS, TERMS, FACTORS = 1 << 20, 4096, 8
 STEPS, BATCH, RATE, PULL = 1000, 256, 0.05, 1e-5
 #: The least G statistic of a term that is learned: one in ten thousand unrelated terms reaches it.
 EVIDENCE = 15.1
+#: Buckets whose pairs are looked at, and the least evidence (a squared normal deviate) by which both of a pair are learned: one in
+#: ten thousand sets of unrelated terms has such a pair.
+PAIRED, PAIR_EVIDENCE = 2048, 43.0
 TOXIC_FROM = 0.5
 #: Words whose bucket a task remembers.
 REMEMBERED = 500_000
@@ -95,7 +98,9 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Machine:
     sizes = np.array([len(s) for s in sets])
     flat, of = np.concatenate([np.asarray(s, np.int32) for s in sets]), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     ones, zeros = np.bincount(flat[labels[of] == 1], minlength=BUCKETS), np.bincount(flat[labels[of] == 0], minlength=BUCKETS)
-    kept = np.sort(informative(ones, zeros, int(labels.sum()), int((1 - labels).sum())))
+    alone = informative(ones, zeros, int(labels.sum()), int((1 - labels).sum()))
+    beside = in_company(flat, of, ones + zeros, labels)
+    kept = np.sort(np.concatenate([alone, beside[~np.isin(beside, alone)]])[:TERMS])
     number = np.full(BUCKETS, -1, np.int32)
     number[kept] = np.arange(len(kept), dtype=np.int32)
     flat = number[flat]
@@ -143,6 +148,36 @@ def informative(ones: np.ndarray, zeros: np.ndarray, n_ones: int, n_zeros: int)
     return seen[best[g[best] >= EVIDENCE]]
 
 
+def in_company(flat: np.ndarray, of: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """
+    Of the PAIRED most frequent buckets those that tell the labels apart together with another one, best first.
+
+    The evidence of a pair is how far the log odds ratio of its two buckets differs between the labels, squared and over its variance
+    (with half a document added to each of the eight counts): what a sum of weights can't tell.
+    """
+    frequent = np.argsort(-counts, kind="stable")[:PAIRED]
+    frequent = frequent[counts[frequent] >= 3]
+    number = np.full(BUCKETS, -1, np.int32)
+    number[frequent] = np.arange(len(frequent), dtype=np.int32)
+    there = number[flat] >= 0
+    held = np.zeros((len(labels), len(frequent)), np.float32)
+    held[of[there], number[flat[there]]] = 1
+    sides = [(side, side.sum(0, dtype=float)) for side in (held[labels == 1], held[labels == 0])]
+    best = np.zeros(len(frequent))
+    for start in range(0, len(frequent), 128):
+        ratios, variance = [], 0.0
+        for side, total in sides:
+            both, one = (side[:, start : start + 128].T @ side).astype(float), total[start : start + 128, None]
+            cells = [n + 0.5 for n in (both, one - both, total - both, len(side) - one - total + both)]
+            ratios.append(np.log(cells[0] * cells[3] / (cells[1] * cells[2])))
+            variance = variance + sum(1 / n for n in cells)
+        evidence = (ratios[0] - ratios[1]) ** 2 / variance
+        evidence[np.arange(len(evidence)), np.arange(start, start + len(evidence))] = 0  # a bucket beside itself
+        best = np.maximum(best, evidence.max(0))
+    order = np.argsort(-best, kind="stable")
+    return frequent[order[best[order] >= PAIR_EVIDENCE]]
+
+
 def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Machine:
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -92,6 +92,30 @@ def test_machine_learns_pairs_that_sums_miss():
     assert np.abs(machine.factors).max() > 0.05
 
 
+def test_machine_learns_pairs_of_words_that_tell_nothing_alone():
+    rng = random.Random(3)
+    sets, labels = [], []
+    for _ in range(8000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(40)}" for _ in range(6)] + ["left"] * a + ["right"] * b
+        sets.append(np.array(toxicity.terms(" ".join(words))))
+        labels.append(int(a != b))
+    machine = toxicity.fit(sets, np.array(labels))
+    assert {toxicity.bucket("left"), toxicity.bucket("right")} <= set(machine.kept.tolist()) and len(machine.kept) < 6
+    none, left, right, both = machine.scores(["w1", "left w1", "right w2", "left right w1"])
+    assert none < 0.4 and both < 0.4 and left > 0.6 and right > 0.6
+
+
+def test_unrelated_words_are_no_pair():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, 20)) for _ in range(2000)]
+    labels = (rng.random(2000) < 0.1).astype(int)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(2000), [len(s) for s in sets])
+    counts = np.bincount(flat, minlength=toxicity.BUCKETS)
+    assert len(toxicity.in_company(flat, of, counts, labels)) == 0
+    assert len(toxicity.in_company(flat[:0], of[:0], counts * 0, labels)) == 0
+
+
 def test_toxicity_of_held_out_documents(spark):
     rows = toxicity.op3_toxicity(spark, DATA).collect()
     known = {r.doc_id: r.toxic for r in common.read(spark, DATA, "labels").collect()}
