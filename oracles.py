@@ -565,6 +565,10 @@ from riskflow.plans.queries import _RULE_METRICS  # noqa: E402
 put("rule_states", samples(_RULE_METRICS) + ", " + rule_states(at(0), at(12))[0],
     "SELECT us, rule, severity, labels, round(value, 9) AS value, state FROM states")
 
+put("stream_rule_states", samples(_RULE_METRICS) + ", " + rule_states(at(0), at(12))[0],
+    f"""SELECT us, rule, severity, labels, round(value, 9) AS value, state, (SELECT count(*) FROM samples WHERE us > {at(6, 6)} AND us <= {at(6, 7)}) AS late
+    FROM states WHERE us <= (SELECT max(us) FROM samples)""")
+
 # ------------------------------------------------------------------ dashboards
 
 

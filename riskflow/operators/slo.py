@@ -110,41 +110,73 @@ def evaluate_rules(samples: DataFrame, rules: Sequence[SloRule] | None = None, s
     is the smallest distance between two samples of a series, if known.
     """
     rules = list(rules or standard_rules())
-    used = F.lit(False)
-    for rule in rules:
-        for _, fits in rule.sides():
-            used = used | fits
-    kept = samples.filter(used)
+    kept = samples.filter(used(rules))
     bound = most = None
     if t0 is not None and t1 is not None:
-        longest = max(rule.range_ for rule in rules)
-        kept = kept.filter((F.col("ts") > F.lit(t0 - longest)) & (F.col("ts") <= F.lit(t1)))
+        kept = kept.filter((F.col("ts") > F.lit(t0 - longest(rules))) & (F.col("ts") <= F.lit(t1)))
         bound = micros(t1 - t0) // micros(step) + 1
-        most = samples_within(t1 - t0 + longest, scrape)
-    deltas = counter_delta(kept, bound=most).filter(F.col("delta").isNotNull())
+        most = samples_within(t1 - t0 + longest(rules), scrape)
+    spans = rule_spans(counter_delta(kept, bound=most), rules, step)
+    if bound is not None:
+        first = F.greatest("_from", F.lit(-(-_us(t0) // micros(step))))
+        last = F.least("_to", F.lit(_us(t1) // micros(step)))
+        spans = spans.withColumns({"_from": first, "_to": last})
+    states = persisted(rule_values(spans, rules), "_breach", holds(rules), SPAN_KEY, step, bound=bound)
+    return state_rows(states, rules, step)
+
+
+SPAN_KEY = ["rule_no", "label_text"]
+
+
+def used(rules: Sequence[SloRule]) -> Column:
+    """Whether a sample belongs to a side of any rule."""
+    found = F.lit(False)
+    for rule in rules:
+        for _, fits in rule.sides():
+            found = found | fits
+    return found
+
+
+def longest(rules: Sequence[SloRule]) -> timedelta:
+    return max(rule.range_ for rule in rules)
+
+
+def rule_spans(deltas: DataFrame, rules: Sequence[SloRule], step: timedelta = STEP) -> DataFrame:
+    """(rule_no, label_text, _from, _to, num, den): what each delta adds to each side of a rule, and at which steps."""
     marks = [
         F.when(fits, F.struct(F.lit(no).alias("rule_no"), F.lit(side).alias("side"), rule.label_text().alias("label_text"),
                               F.lit(micros(rule.range_)).alias("width")))
         for no, rule in enumerate(rules)
         for side, fits in rule.sides()
     ]
-    marked = deltas.select("ts", "prev_ts", "delta", F.explode(F.array_compact(F.array(*marks))).alias("_m"))
+    known = deltas.filter(F.col("delta").isNotNull())
+    marked = known.select("ts", "prev_ts", "delta", F.explode(F.array_compact(F.array(*marks))).alias("_m"))
     first, last = step_span(F.col("_m.width"), micros(step))
-    if bound is not None:
-        first = F.greatest(first, F.lit(-(-_us(t0) // micros(step))))
-        last = F.least(last, F.lit(_us(t1) // micros(step)))
-    by = ["rule_no", "label_text"]
-    spans = marked.select(
+    return marked.select(
         "_m.rule_no", "_m.label_text", first.alias("_from"), last.alias("_to"),
         F.when(F.col("_m.side") == 0, F.col("delta")).alias("num"), F.when(F.col("_m.side") == 1, F.col("delta")).alias("den"),
     )
-    grown = spread_steps(spans, by, F.sum("num").alias("num"), F.sum("den").alias("den"))
+
+
+def span_sums() -> list[Column]:
+    return [F.sum("num").alias("num"), F.sum("den").alias("den")]
+
+
+def rule_values(spans: DataFrame, rules: Sequence[SloRule]) -> DataFrame:
+    """(k, rule_no, label_text, num, den, value, _breach) for the steps at which a rule has a value."""
+    grown = spread_steps(spans, SPAN_KEY, *span_sums())
     both = F.col("num").isNotNull() & _per_rule(rules, lambda r: F.lit(r.den is None) | F.col("den").isNotNull())
     positive = _per_rule(rules, lambda r: F.lit(not r.require_positive) | (F.col("den") > 0))
     valued = grown.filter(both & positive).withColumn("value", _per_rule(rules, SloRule.value))
-    flagged = valued.withColumn("_breach", _per_rule(rules, lambda r: r.breached(F.col("value"))))
-    hold = _per_rule(rules, lambda r: F.lit(micros(r.for_)))
-    states = persisted(flagged, "_breach", hold, by, step, bound=bound)
+    return valued.withColumn("_breach", _per_rule(rules, lambda r: r.breached(F.col("value"))))
+
+
+def holds(rules: Sequence[SloRule]) -> Column:
+    """How long, in micros, the row's rule has to be broken before it fires."""
+    return _per_rule(rules, lambda r: F.lit(micros(r.for_)))
+
+
+def state_rows(states: DataFrame, rules: Sequence[SloRule], step: timedelta = STEP) -> DataFrame:
     return at_step(states, step).select(
         "ts", _per_rule(rules, lambda r: F.lit(r.name)).alias("rule"),
         _per_rule(rules, lambda r: F.lit(r.severity)).alias("severity"), F.col("label_text").alias("labels"), "value", "state",

@@ -18,7 +18,7 @@ from ..sources import files
 from ..sources import tables as stored
 from ..sources.ids import IdIndex
 from ..sources.tables import Batch
-from ..streaming import jobs, ledger
+from ..streaming import jobs, ledger, watch
 from . import panels
 from . import samples as M
 from . import tables as T
@@ -795,6 +795,23 @@ def rule_states(spark, folder):
     return states.select(us("ts", "us"), "rule", "severity", "labels", F.round("value", 9).alias("value"), "state")
 
 
+@query
+def stream_rule_states(spark, folder):
+    """The rules as samples arrive, in four uneven parts; the last part comes with the last one of a closed time, which is late."""
+    out, kept = _fresh_folder(spark), settled(M.samples(spark, folder, _RULE_METRICS).select(*(f.name for f in schemas.SAMPLE.fields)))
+    cuts = [_time(1, 0), _time(1, 5, 50), _time(1, 6, 7), _time(1, 6, 8), _time(1, 12)]
+    for low, high in zip(cuts, cuts[1:]):
+        series.in_window(kept, low, high).write.mode("append").parquet(f"{out}/samples")
+        if high == cuts[-1]:
+            series.in_window(kept, _time(1, 6, 6), cuts[-3]).write.mode("append").parquet(f"{out}/samples")
+        watch.watch_rules(files.stream_samples(spark, f"{out}/samples"), f"{out}/states", f"{out}/c", slo.standard_rules(floor=0.0001),
+                          late_path=f"{out}/late").awaitTermination()
+    states = stored.read_table(spark, f"{out}/states", watch.STATES)
+    late = stored.read_table(spark, f"{out}/late", schemas.SAMPLE).agg(F.count(F.lit(1)).alias("late"))
+    done = states.select(us("ts", "us"), "rule", "severity", "labels", F.round("value", 9).alias("value"), "state")
+    return done.crossJoin(F.broadcast(late))  # one row
+
+
 def _board(name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         kept, states = M.samples(spark, folder), None

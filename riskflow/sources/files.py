@@ -111,6 +111,11 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.schema(schemas.SAMPLE).format(fmt).load(path)
 
 
+def stream_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Samples as their files arrive."""
+    return spark.readStream.schema(schemas.SAMPLE).format(fmt).load(path)
+
+
 def read_logs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Log lines with their service; the level stays in the line until it is parsed."""
     return spark.read.schema(schemas.LOG_LINE).format(fmt).load(path)
