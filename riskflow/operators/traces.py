@@ -33,24 +33,31 @@ def span_metrics(spans: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS,
     return _histogram(spans, list(by), F.col("duration_ms") / 1000, bounds)
 
 
-def edges(spans: DataFrame) -> DataFrame:
-    """Calling span joined with the span that answered it. A calling span matches by its own id, which is
-    unique, so a large trace spreads over many keys."""
-    callers = spans.filter(F.col("kind").isin(*CALLING)).select(
+def callers(spans: DataFrame, *more: str) -> DataFrame:
+    """Calling spans, by the parent that their answers name."""
+    return spans.filter(F.col("kind").isin(*CALLING)).select(
         "trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("client"),
-        (F.col("duration_ms") / 1000).alias("client_seconds"), F.col("status").alias("client_status"),
+        (F.col("duration_ms") / 1000).alias("client_seconds"), F.col("status").alias("client_status"), *more,
     )
-    answers = spans.filter(F.col("kind").isin(*ANSWERING) & F.col("parent_span_id").isNotNull()).select(
+
+
+def answers(spans: DataFrame, *more: str) -> DataFrame:
+    return spans.filter(F.col("kind").isin(*ANSWERING) & F.col("parent_span_id").isNotNull()).select(
         "trace_id", "parent_span_id", F.col("service").alias("server"),
-        (F.col("duration_ms") / 1000).alias("server_seconds"), F.col("status").alias("server_status"),
+        (F.col("duration_ms") / 1000).alias("server_seconds"), F.col("status").alias("server_status"), *more,
     )
-    return callers.join(answers, ["trace_id", "parent_span_id"])
 
 
-def service_graph(spans: DataFrame) -> DataFrame:
-    """Requests, failures and latency between services."""
+def edges(spans: DataFrame) -> DataFrame:
+    """Calling span joined with the span that answered it. A calling span matches by its own id, which is
+    unique, so a large trace spreads over many keys."""
+    return callers(spans).join(answers(spans), ["trace_id", "parent_span_id"])
+
+
+def graph_of(pairs: DataFrame) -> DataFrame:
+    """Requests, failures and latency between services, of calls with their answers."""
     bad = (F.col("server_status") == "STATUS_CODE_ERROR") | (F.col("client_status") == "STATUS_CODE_ERROR")
-    return edges(spans).groupBy("client", "server").agg(
+    return pairs.groupBy("client", "server").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count(F.when(bad, 1)).alias("failed"),
         F.sum("client_seconds").alias("client_seconds"),
@@ -58,6 +65,11 @@ def service_graph(spans: DataFrame) -> DataFrame:
     )
 
 
+def service_graph(spans: DataFrame) -> DataFrame:
+    """Requests, failures and latency between services."""
+    return graph_of(edges(spans))
+
+
 def service_graph_latency(spans: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS) -> DataFrame:
     return _histogram(edges(spans), ["client", "server"], F.col("server_seconds"), bounds)
 
