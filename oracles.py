@@ -745,6 +745,26 @@ put("logs_for_traces", SPANS + f""", lines AS (
          epoch_us(l_shipdate) AS us FROM lineitem)""", f"""
   SELECT line_id, l.service, count(*) AS spans FROM lines l JOIN spans s ON l.trace_id = s.trace_id AND l.service = s.service
   WHERE l.us BETWEEN s.start_us - {20 * 24 * HOUR} AND s.start_us + CAST(round(s.duration_ms * 1000) AS BIGINT) + {20 * 24 * HOUR} GROUP BY 1, 2""")
+put("stream_funnel", SCORED, """
+  SELECT 'decision' AS stage, transaction_id, event_type <> 'error' AS answered FROM scored
+  UNION ALL SELECT 'alert', transaction_id, event_type <> 'view' FROM scored WHERE fraudulent AND event_type <> 'error'""")
+put("stream_service_graph", SPANS, """
+  SELECT c.service AS client, s.service AS server, count(*) AS requests, count(*) FILTER (c.status = 'STATUS_CODE_ERROR' OR s.status = 'STATUS_CODE_ERROR') AS failed,
+         round(sum(c.duration_ms / 1000), 4) AS client_seconds, round(sum(s.duration_ms / 1000), 4) AS server_seconds
+  FROM spans c JOIN spans s ON c.trace_id = s.trace_id AND s.parent_span_id = c.span_id
+  WHERE c.kind IN ('CLIENT','PRODUCER') AND s.kind IN ('SERVER','CONSUMER') AND s.name <> 'line 7' GROUP BY 1, 2
+  UNION ALL SELECT service, '', count(*), 0, 0.0, 0.0 FROM spans WHERE kind = 'PRODUCER' AND name = 'line 7' GROUP BY 1""")
+# the watermark that the first part leaves, in whole milliseconds, one hour behind
+PARTS = TX + f""", edge AS (SELECT max(us) // 1000 * 1000 - {HOUR} AS edge FROM transactions WHERE seq % 3 <> 0),
+  again AS (SELECT * FROM transactions, edge WHERE seq % 3 = 0 OR event_type = 'error')"""
+put("stream_late_kept", PARTS, """
+  SELECT event_id, 'first' AS outcome FROM transactions, edge WHERE seq % 3 <> 0 OR us >= edge
+  UNION ALL SELECT event_id, 'late' FROM again WHERE us < edge""")
+put("stream_windows_corrected", PARTS + """, rows AS (
+  SELECT us // 60000000 * 60000000 AS us, edge, 0 AS part FROM transactions, edge WHERE seq % 3 <> 0
+  UNION ALL SELECT us // 60000000 * 60000000, edge, 1 FROM again)""", """
+  SELECT us, count(*) AS alerts, CAST(count(*) FILTER (part = 1 AND us + 60000000 <= edge) AS BIGINT) AS late,
+         CAST(count(*) FILTER (part = 0 AND us + 60000000 <= edge) AS BIGINT) AS closed FROM rows GROUP BY 1""")
 put("stream_dead_letters", TX, """
   SELECT CASE event_type WHEN 'error' THEN 'NULL_EVENT_ID' WHEN 'signup' THEN 'EMPTY_EVENT_PAYLOAD' ELSE 'reprocessed' END AS outcome, count(*) AS n
   FROM transactions GROUP BY 1""")

@@ -18,7 +18,7 @@ from ..sources import files
 from ..sources import tables as stored
 from ..sources.ids import IdIndex
 from ..sources.tables import Batch
-from ..streaming import jobs, ledger, watch
+from ..streaming import jobs, late, ledger, pairs, watch
 from . import panels
 from . import samples as M
 from . import tables as T
@@ -779,6 +779,80 @@ def stage_gap_by_step(spark, folder):
     return _value(series.stage_gap(a, b, _RATE)).select(us("ts", "us"), "value")
 
 
+@query
+def stream_funnel(spark, folder):
+    """The stages of every transaction as streams, answers of every second one before it: decisions are missing for errors, alerts for views."""
+    out, scored = _fresh_folder(spark), settled(T.scored(spark, folder).select("transaction_id", "occurred_at", "event_type", "fraudulent", "seq"))
+    closing = spark.createDataFrame([("closing", _time(30) + timedelta(days=1000), False)], "transaction_id string, at timestamp, fraudulent boolean")
+    after = lambda rows, seconds: rows.select("transaction_id", (F.col("occurred_at") + F.expr(f"interval {seconds} seconds")).alias("at"), "fraudulent", "seq")
+    decided = scored.filter("event_type <> 'error'")
+    rows = {"asked": after(scored, 0), "decided": after(decided, 1), "fraud": after(decided.filter("fraudulent"), 1),
+            "alerts": after(decided.filter("fraudulent and event_type <> 'view'"), 2)}
+    odd = F.col("seq") % 2 == 1
+    for n in range(3):
+        for name, part in rows.items():
+            early = name in ("decided", "alerts")
+            mine = closing if n == 2 else part.filter(odd if (n == 0) == early else ~odd).drop("seq")
+            mine.write.mode("append").parquet(f"{out}/{name}")
+        read = {name: spark.readStream.schema(closing.schema).parquet(f"{out}/{name}") for name in rows}
+        for stage, asked, answered in ((pairs.DECISION, "asked", "decided"), (pairs.ALERT, "fraud", "alerts")):
+            pairs.stage_stream(read[asked], read[answered], f"{out}/steps", f"{out}/c-{stage}", stage, delay=timedelta(days=400)).awaitTermination()
+    waiting = pairs.stuck(spark, f"{out}/steps").select("stage", "transaction_id", F.lit(False).alias("answered"))
+    steps = stored.read_table(spark, f"{out}/steps", pairs.STEPS).filter("answered_at is not null").select("stage", "transaction_id", F.lit(True).alias("answered"))
+    return steps.unionByName(waiting).filter("transaction_id <> 'closing'")
+
+
+@query
+def stream_service_graph(spark, folder):
+    """Spans as a stream, half of the answers before their calls; answers of seventh lines never come. Calls without one are named with an empty server."""
+    out = _fresh_folder(spark)
+    # seven years of ship dates within some days
+    near = F.timestamp_micros(F.lit(int(_time(1).timestamp()) * 10**6) + F.floor(F.unix_micros("start") / 1440).cast("long"))
+    spans = settled(T.spans(spark, folder).filter("not (kind = 'CONSUMER' and name = 'line 7')").withColumn("start", near))
+    closing = spark.createDataFrame([(t, t, p, "closing", "", k, "", _time(30) + timedelta(days=40_000), 1.0) for t, p, k in (("x", None, "CLIENT"), ("y", "x", "SERVER"))], schemas.SPAN)
+    first = (F.pmod(F.xxhash64("trace_id"), F.lit(2)) == 1) == (F.col("kind") == "CONSUMER")
+    names = [f.name for f in schemas.SPAN.fields]
+    for part in (spans.filter(first), spans.filter(~first), closing):
+        part.select(names).write.mode("append").parquet(f"{out}/spans")
+        pairs.graph_stream(files.stream_spans(spark, f"{out}/spans"), f"{out}/pairs", f"{out}/c", delay=timedelta(days=20_000)).awaitTermination()
+    seconds = [F.round(c, 4).alias(c) for c in ("client_seconds", "server_seconds")]
+    graph = pairs.graph(spark, f"{out}/pairs").select("client", "server", "requests", "failed", *seconds)
+    zero = [F.lit(0.0).alias(c) for c in ("client_seconds", "server_seconds")]
+    alone = pairs.expired(spark, f"{out}/pairs").filter("side = 'client'").select(
+        F.col("service").alias("client"), F.lit("").alias("server"), F.col("expired").alias("requests"), F.lit(0).cast("long").alias("failed"), *zero)
+    return graph.unionByName(alone).filter("client <> 'closing'")
+
+
+def _in_two_parts(spark: SparkSession, folder: str, out: str) -> list[DataFrame]:
+    """The transactions but every third, then every third with the error events of the others once more."""
+    rows = settled(T.transactions(spark, folder).select("event_id", "occurred_at", "seq", "event_type"))
+    third = F.col("seq") % 3 == 0
+    return [rows.filter(~third).drop("event_type"), rows.filter(third | (F.col("event_type") == "error")).drop("event_type")]
+
+
+@query
+def stream_late_kept(spark, folder):
+    """First arrivals of a stream whose second part is late in places, and the late rows."""
+    out = _fresh_folder(spark)
+    for part in _in_two_parts(spark, folder, out):
+        part.write.mode("append").parquet(f"{out}/in")
+        late.dedup_stream(spark.readStream.schema(part.schema).parquet(f"{out}/in"), f"{out}/first", f"{out}/late", f"{out}/c").awaitTermination()
+    found = [stored.read_table(spark, f"{out}/{name}", part.schema).select("event_id", F.lit(name).alias("outcome")) for name in ("first", "late")]
+    return found[0].unionByName(found[1])
+
+
+@query
+def stream_windows_corrected(spark, folder):
+    """Counts per minute of the same stream: all rows, those that came after their minute was closed, and what was said when it closed."""
+    out = _fresh_folder(spark)
+    for part in _in_two_parts(spark, folder, out):
+        part.write.mode("append").parquet(f"{out}/in")
+        late.window_stream(spark.readStream.schema(part.schema).parquet(f"{out}/in"), f"{out}/counts", f"{out}/c", ts="occurred_at").awaitTermination()
+    said = late.closed(spark, f"{out}/counts").select("time", F.col("alerts").alias("closed"))
+    done = late.windows(spark, f"{out}/counts").join(said, "time", "left")
+    return done.select(us("time", "us"), "alerts", "late", F.coalesce("closed", F.lit(0)).alias("closed"))
+
+
 _RULE_METRICS = [
     "fraud_alerts_total", "fraud_decisions_total", "transaction_events_published_total", "fraud_alert_notifications_total",
     "fraud_evaluation_latency_seconds_sum", "fraud_evaluation_latency_seconds_count",

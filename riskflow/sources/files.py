@@ -123,3 +123,8 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 def read_spans(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(schemas.SPAN).format(fmt).load(path)
+
+
+def stream_spans(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Spans as their files arrive."""
+    return spark.readStream.schema(schemas.SPAN).format(fmt).load(path)
