@@ -17,6 +17,7 @@ CHECKED = [
     "stage_funnel", "list_alerts", "triage_top_reasons", "sliding_alerts", "trend_stats", "outbox_outcomes",
     "metric_increase_extrapolated", "rule_states", "board_tracing", "parsed_logs", "service_graph_p95", "logs_for_traces", "stream_scored",
     "stream_redelivered", "stream_same_transaction", "stream_two_channels", "stream_dead_letters", "stream_poison", "read_back_records",
+    "stream_late_kept", "stream_windows_corrected",
 ]
 
 
