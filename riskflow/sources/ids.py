@@ -48,9 +48,10 @@ def _held(id_: Column, bits: Column) -> Column:
 
 
 def filters(ids: DataFrame) -> DataFrame:
-    """(bits, bucket, part): one Bloom filter per bucket and part of (id, bucket, part)."""
+    """(bits, bucket, part): one Bloom filter per bucket and part of (id, bucket, part). Best dealt by bucket and part before: then
+    the bits of a word meet in the task that sets them, and only words are sent."""
     sizes = ids.groupBy("bucket", "part").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * BITS / 64)).cast("long").alias("words"))
-    tested = ids.join(sizes, ["bucket", "part"]).select("bucket", "part", F.explode(F.array(*(_bit(F.col("id"), t, F.col("words") * 64) for t in range(TESTS)))).alias("at"))
+    tested = ids.join(F.broadcast(sizes), ["bucket", "part"]).select("bucket", "part", F.explode(F.array(*(_bit(F.col("id"), t, F.col("words") * 64) for t in range(TESTS)))).alias("at"))
     set_ = tested.select("bucket", "part", F.shiftright("at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("bits"))
     none = sizes.select("bucket", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
     words = set_.unionByName(none).groupBy("bucket", "part", "word").agg(F.bit_or("bits").alias("bits"))
@@ -94,9 +95,9 @@ class IdIndex:
 
     def _write(self, ids: DataFrame, folder: str) -> None:
         """Write (id, by_writer, by_batch, bucket, part) with filters, replacing the parts it has rows for."""
-        ids = ids.persist()
+        ids = ids.repartition("bucket", "part").persist()
         try:
-            for kind, rows in (("ids", ids.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "id")), ("filters", filters(ids))):
+            for kind, rows in (("ids", ids.sortWithinPartitions("bucket", "part", "id")), ("filters", filters(ids))):
                 rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "part").parquet(f"{folder}/{kind}")
         finally:
             ids.unpersist()
@@ -125,23 +126,29 @@ class IdIndex:
         self._write(ids.select("id", "by_writer", "by_batch", _bucket(F.col("id"), BUCKETS).alias("bucket"), part.alias("part")), self._folder((1, BUCKETS)))
         self._start()
 
-    def candidates(self, ids: DataFrame) -> DataFrame:
-        """(id, bucket, part) where a filter says that the part may hold the id."""
+    def candidates(self, ids: DataFrame, before: Batch | None = None) -> DataFrame:
+        """(id, bucket, part) where a filter says that the part may hold the id. Parts of the reader's own batches from its own on are left out."""
         generation = self._generation()
         folder = self._folder(generation)
+        if not generation[0]:
+            return self.spark.createDataFrame([], "id string, bucket int, part string")
         wanted = ids.select("id").where("id is not null").distinct().withColumn("bucket", _bucket(F.col("id"), generation[1]))
         # buckets are few, and a batch of few ids needs few of them
         buckets = [r.bucket for r in wanted.select("bucket").distinct().limit(FOLDERS + 1).collect()]
         known = self._read(folder, "filters", FILTERS)
         if len(buckets) <= FOLDERS:
             known = known.where(F.col("bucket").isin(buckets))
+        if before is not None:
+            own = F.col("part").startswith(f"{before.writer}-")
+            number = F.substring("part", len(before.writer) + 2, 20).try_cast("long")
+            known = known.where(~(own & F.coalesce(number >= before.number, F.lit(False))))
         known = known.withColumnRenamed("bucket", "_bucket")
         return wanted.join(known, (F.col("bucket") == F.col("_bucket")) & _held(F.col("id"), F.col("bits"))).select("id", "bucket", "part")
 
     def stored(self, ids: DataFrame, before: Batch | None = None) -> DataFrame:
         """Those ids of `ids` (column `id`) that are stored, each once; without those that the reader's own batches from its own on have added."""
         folder = self._folder(self._generation())
-        near = self.candidates(ids).persist()
+        near = self.candidates(ids, before).persist()
         try:
             parts = near.select("bucket", "part").distinct().limit(FOLDERS + 1).collect()
             if not parts:

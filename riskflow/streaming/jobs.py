@@ -26,7 +26,7 @@ from ..functions.validation import (
 )
 from ..operators.alerts import Channels, deliver, fan_out
 from ..operators.delivery import drop_processed, letters, route_dlq
-from ..operators.ordered import first_arrival, numbered as numbered_rows
+from ..operators.ordered import numbered as numbered_rows
 from ..operators.rules import RULE_VERSION, RuleConfig, score_batch
 from ..sources import tables
 from ..sources.files import FRAUD_TOPIC, TRANSACTIONS_TOPIC, put_letters
@@ -37,6 +37,8 @@ TTL = timedelta(hours=1)
 #: How long the marker of a processed event is kept.
 REMEMBER = timedelta(days=7)
 DUPLICATE_TRANSACTION = "DUPLICATE_TRANSACTION"
+#: The place of a row in its held batch.
+ROW = "_row"
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -106,19 +108,28 @@ def ingest_stream(
     return _start(requests, each, checkpoint, trigger)
 
 
-def fresh_events(events: DataFrame, markers: DataFrame, stored: Callable[[DataFrame], DataFrame], topic: str) -> tuple[DataFrame, DataFrame]:
+def refused(ids: DataFrame, markers: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """
-    (events to score, dead letters): of each event id the first arrival, unless a marker has it; of each transaction id the first of
-    these, unless the history has it, which `stored` says of a table of ids. The others of a transaction are dead letters.
+    Of (_row, event_id, transaction_id, seq) the rows that are not scored, with `again`: of each event id the first arrival counts, unless
+    a marker has it, and the others are passed over; of each transaction id the first of these counts, unless the history has it, which
+    `stored` says of a table of ids. The others of a transaction are dead letters (`again`).
+
+    Only ids are sorted and sent here; the rows themselves stay where they are.
     """
-    known = tables.stored_ids(events, markers, "event_id")
-    fresh = drop_processed(events, known)
-    taken = stored(fresh.select(F.col("transaction_id").alias("id"))).select(F.col("id").alias("transaction_id"), F.lit(True).alias("_taken"))
-    first = first_arrival(fresh.select("transaction_id", "event_id", "seq"), ["transaction_id"], "seq").select("event_id", F.lit(True).alias("_first"))
-    marked = fresh.join(taken, "transaction_id", "left").join(first, "event_id", "left")
-    again = F.col("_taken").isNotNull() | F.col("_first").isNull()
-    dead = marked.filter(again).drop("_taken", "_first").withColumn("error_code", F.lit(DUPLICATE_TRANSACTION))
-    return marked.filter(~again).select(*fresh.columns), letters(dead.select(*fresh.columns, "error_code"), topic)
+    named = ids.filter("event_id is not null").groupBy("event_id").agg(F.min(F.struct("seq", ROW, "transaction_id")).alias("_first"))
+    named = named.join(markers.select("event_id"), "event_id", "left_anti").select("event_id", "_first.*")
+    fresh = named.unionByName(ids.filter("event_id is null")).persist()
+    try:
+        taken = stored(fresh.select(F.col("transaction_id").alias("id"))).withColumnRenamed("id", "transaction_id")
+        first = fresh.groupBy("transaction_id").agg(F.min(F.struct("seq", ROW, "event_id")).alias("_first"))
+        first = first.join(taken, "transaction_id", "left_anti").filter("_first.event_id is not null").select(f"_first.{ROW}")
+        reached = [rows.select(ROW, F.lit(n).alias("_n")) for n, rows in enumerate((ids, fresh, first))]
+        far = reached[0].unionByName(reached[1]).unionByName(reached[2]).groupBy(ROW).agg(F.max("_n").alias("_n"))
+        out = far.filter("_n < 2").select(ROW, (F.col("_n") == 1).alias("again")).persist()
+        out.count()
+        return out
+    finally:
+        fresh.unpersist()
 
 
 def score_stream(
@@ -171,22 +182,32 @@ def scoring(
     """
     markers_path = markers_path or f"{history_path}-markers"
     columns = ["event_id", "transaction_id", "user_id", "occurred_at", "seq", "prior_count", "risk_score", "fraudulent", "reasons"]
+    # a payload is carried along where `detected_at` may look at it only
+    wanted = None if detected_at is not None else {*columns, *(f.name for f in schemas.HISTORY.fields), "trace_id", *keep}
 
     def each(batch: DataFrame, mine: Batch, now: datetime) -> None:
         spark = batch.sparkSession
 
         def work(held: DataFrame) -> None:
+            held = _with_payload(held, f"{dlq_path}-tombstones", mine)
             ok, dead = route_dlq(held, poison_reason(held, TRANSACTION_REQUIRED), topic)
             # only the users and times that a batch can reach are kept of the history; see against_stored
             history = tables.read_table(spark, history_path, schemas.HISTORY, before=mine)
             markers = tables.read_table(spark, markers_path, schemas.PROCESSED, before=mine, first=(now - remember).date())
             index = tables.history_ids(spark, history_path)
-            fresh, again = fresh_events(ok, markers, lambda ids: index.stored(ids, mine), topic)
-            put_letters(dead.unionByName(again), dlq_path, mine)
-            _held(score_batch(fresh, history, config), lambda scored: store(scored, mine, now))
-
-        timed = _with_payload(batch, f"{dlq_path}-tombstones", mine)
-        _held(timed.withColumn("occurred_at", event_time("occurred_at", _record_time(timed, now))), work)
+            out = refused(ok.select(ROW, "event_id", "transaction_id", "seq"), markers, lambda ids: index.stored(ids, mine))
+            try:
+                if not out.filter("again").isEmpty():
+                    again = ok.join(out.filter("again"), ROW, "left_semi").withColumn("error_code", F.lit(DUPLICATE_TRANSACTION))
+                    dead = dead.unionByName(letters(again, topic))
+                put_letters(dead, dlq_path, mine)
+                fresh = ok.join(out, ROW, "left_anti").select(*(c for c in ok.columns if c != ROW and (wanted is None or c in wanted)))
+                _held(score_batch(fresh, history, config), lambda scored: store(scored, mine, now))
+            finally:
+                out.unpersist()
+
+        timed = batch.withColumn("occurred_at", event_time("occurred_at", _record_time(batch, now)))
+        _held(timed.withColumn(ROW, F.monotonically_increasing_id()), work)
 
     def store(scored: DataFrame, mine: Batch, now: datetime) -> None:
         extra = [c for c in (*keep, "trace_id") if c in scored.columns]

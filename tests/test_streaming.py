@@ -321,3 +321,24 @@ def test_alert_stream_delivers(spark, tmp_path):
     ).awaitTermination()
     sent = spark.read.parquet(str(tmp_path / "sent")).groupBy("channel", "outcome").count()
     assert table(sent) == [("email", "failed", 2), ("log", "success", 2)]
+
+
+def shuffled(spark):
+    """Bytes of each shuffle file that this session keeps."""
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    kept = [held.apply(i) for i in range(held.size())]
+    return {f.getName(): f.length() for f in kept if f.getName().startswith("shuffle_")}
+
+
+def test_payloads_stay_where_they_are_while_their_events_are_judged(spark, tmp_path):
+    """The ids of a batch are sorted and sent, and the rows that are scored without their payload, however long that is."""
+    rng, records = random.Random(3), []
+    for i in range(400):
+        record = event(i, (f"u{i % 9}", at(i), 5.0, "m", "US"))
+        records.append(record | {"value": json.dumps(json.loads(record["value"]) | {"pad": rng.randbytes(4000).hex()})})
+    drop(tmp_path / "in", "a", [*records, records[7] | {"offset": 5007}])
+    before = shuffled(spark)
+    jobs.score_stream(source(spark, tmp_path / "in"), *(str(tmp_path / n) for n in ("h", "d", "c")), dlq_path=str(tmp_path / "dlq")).awaitTermination()
+    sent = sum(size for name, size in shuffled(spark).items() if name not in before)
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 400
+    assert sent < 400 * 4000
