@@ -10,6 +10,7 @@ from riskflow import schemas
 from riskflow.operators import logs, series, traces
 
 from .conftest import at, table
+from .test_streaming import shuffled
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +89,16 @@ def test_logs_for_trace_matches_the_plain_join(spark, limit):
         if n:
             want[i] = n
     assert {r.line_id: r.spans for r in got.collect()} == want
+
+
+def test_ids_of_spans_are_not_sent_to_their_lines(spark):
+    """However long they are; only their hashes are."""
+    rng = random.Random(5)
+    spans = [(f"t{i % 20}", rng.randbytes(2000).hex(), None, "a", "n", "SERVER", "", at(i % 7), 1000.0) for i in range(300)]
+    lines = spark.createDataFrame([(at(3), "a", f"t{i}", f"l{i}") for i in range(20)], "ts timestamp, service string, trace_id string, line_id string")
+    held = spark.createDataFrame(spans, schemas.SPAN)
+    before = shuffled(spark)
+    got = table(traces.logs_for_trace(held, lines, timedelta(seconds=0)), "line_id", "spans")
+    want = sorted((f"l{i}", n) for i in range(20) if (n := sum(1 for k, s in enumerate(spans) if s[0] == f"t{i}" and k % 7 <= 3 <= k % 7 + 1)))
+    assert got == sorted(want, key=repr)
+    assert sum(size for name, size in shuffled(spark).items() if name not in before) < 300 * 2000
