@@ -96,3 +96,11 @@ def test_first_rows_are_limited_before_the_shuffle(rows):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # in every task, and again after the shuffle
     assert done.count() == 15
+
+
+def test_chunks_are_searched_as_deep_as_there_are_cuts(spark, monkeypatch):
+    """And no deeper: the search is made for every row."""
+    monkeypatch.setattr(ordered, "MAX_CHUNKS", 1)
+    cuts = spark.sql("select 1 as _k_k, transform(sequence(10, 120, 10), x -> named_struct('seq', int(x))) as _cuts")
+    df = spark.sql("select k, int(seq) as seq from values (1, 5), (1, 10), (1, 11), (1, 75), (1, 121), (2, 75) as t(k, seq)")
+    assert table(ordered.with_chunk(df, ["k"], ["seq"], cuts)) == [(1, 10, 0), (1, 11, 1), (1, 121, 12), (1, 5, 0), (1, 75, 7), (2, 75, 0)]
