@@ -132,3 +132,30 @@ def test_service_graph_equals_the_batch_whichever_half_comes_first(spark, tmp_pa
         (tmp_path / "c" / "commits" / name).unlink(missing_ok=True)
     pairs.graph_stream(source, f"{tmp_path}/pairs", f"{tmp_path}/c").awaitTermination()
     assert table(pairs.tables.read_table(spark, f"{tmp_path}/pairs", pairs.PAIRS)) == before
+
+
+def test_halves_wait_in_files_until_the_watermark_has_passed_them(spark, tmp_path):
+    day = 86_400
+    call = lambda n, t: ("t", n, None, "tx", "call", "CLIENT", "", at(t), 5.0)
+    answer = lambda n, t, parent: ("t", n, parent, "fraud", "answer", "SERVER", "", at(t), 4.0)
+    parts = [
+        [call("a", 0), answer("x", 5, "b"), call("edge", 3600)],
+        [answer("y", 10, "a"), call("b", 0), answer("z", 10, "none"), answer("edge2", 11, "edge")],
+        [call("c", 3 * day), answer("w", 3 * day + 10, "c"), answer("v", 3 * day + 11, "c")],
+        [answer("u", 3 * day + 9, "c"), answer("old", 1, "a"), call("old2", 2)],
+        [call("last", 9 * day), answer("last2", 9 * day, "last")],
+    ]
+    for part in parts:
+        put(spark, part, schemas.SPAN, tmp_path / "spans")
+        source = spark.readStream.schema(schemas.SPAN).parquet(f"{tmp_path}/spans")
+        run = pairs.graph_stream(source, f"{tmp_path}/pairs", f"{tmp_path}/c")
+        run.awaitTermination()
+        assert not any(p["stateOperators"] for p in run.recentProgress)  # nothing is kept in memory
+    rows = pairs.tables.read_table(spark, f"{tmp_path}/pairs", pairs.PAIRS)
+    found = sorted((r.parent_span_id, r.client or "", r.server or "") for r in rows.collect())
+    assert found == sorted([("a", "tx", "fraud"), ("b", "tx", "fraud"), ("c", "tx", "fraud"), ("c", "tx", "fraud"), ("c", "", "fraud"), ("edge", "tx", ""),
+                            ("edge", "", "fraud"), ("none", "", "fraud"), ("last", "tx", "fraud")])
+    late = pairs.tables.read_table(spark, f"{tmp_path}/pairs-late", pairs.HALF)
+    assert sorted((r.parent_span_id, r.called) for r in late.collect()) == [("a", False), ("old2", True)]
+    # the last batch has gone by the watermark of the third day
+    assert min(p.name for p in (tmp_path / "c" / "halves").glob("day=*")) > f"day={at(day).date()}"
