@@ -72,31 +72,52 @@ class Ledger:
 
     def send(
         self, items: DataFrame, mine: Batch, now: datetime, send: Send, order: tuple[str, ...] = ("key",), n: int | None = None, first: date | None = None,
+        own: Column | None = None,
     ) -> None:
         """
         One pass over `items` (key, due_at, tried and what `send` wants): what is due gets one attempt.
 
         `tried` counts attempts made elsewhere before. At most `n` items are taken, in `order`. `first` is the first day that outcomes of
-        open items can have.
+        open items can have. `own` says of a key whether it can be among the items at all, where senders share the keys.
+
+        Items go through a shuffle only where they may be claimed; to find what is due, keys and times do.
         """
         if self._written("outcomes", mine):
             return
         place = f"{self.path}/intents"
         if not self._written("intents", mine):
-            last = self.last(mine, first).select("key", "ok", "next_at", F.col("attempt").alias("_attempt"))
-            state = items.select("key", "due_at", "tried", *(c for c in order if c not in ("key", "due_at", "tried"))).join(last, "key", "left")
+            seen = self.outcomes(mine, first)
+            last = (seen if own is None else seen.filter(own)).groupBy("key").agg(
+                F.max_by("ok", "attempt").alias("ok"), F.max_by("next_at", "attempt").alias("next_at"), F.max("attempt").alias("_attempt"))
+            sorted_by = () if n is None else order
+            state = items.select("key", "due_at", "tried", *(c for c in sorted_by if c not in ("key", "due_at", "tried"))).join(last, "key", "left")
             due = F.when(F.col("ok").isNull(), F.col("due_at")).when(~F.col("ok"), F.col("next_at"))
-            wanted = state.filter(due <= F.lit(now)).select("key", (F.coalesce("_attempt", "tried") + 1).cast("int").alias("attempt"), F.lit(now).alias("at"), *(c for c in order if c != "key"))
+            wanted = state.filter(due <= F.lit(now)).select("key", (F.coalesce("_attempt", "tried") + 1).cast("int").alias("attempt"), F.lit(now).alias("at"), *(c for c in sorted_by if c != "key"))
             if n is not None:
                 wanted = wanted.orderBy(*order).limit(n)
             tables.put_batch(wanted.select("key", "attempt", "at"), place, mine, F.lit(now))
         claims = tables.read_table(self.spark, place, INTENT, first=first).filter((F.col("writer") == mine.writer) & (F.col("batch_id") == mine.number))
-        claimed = items.join(claims.select("key", "attempt", F.col("at").alias("_at")), "key")
+        claims = claims.select("key", "attempt", F.col("at").alias("_at"))
+        claimed = _sieved(items, claims, claims.count()).join(claims, "key")
         made = _attempted(claimed, send)
         next_at = F.when(~F.col("ok"), self.policy.next_at(F.col("attempt"), F.col("at")))
         tables.put_batch(made.withColumn("next_at", next_at), f"{self.path}/outcomes", mine, F.lit(now))
 
 
+#: Claims of which a bitmap is broadcast, at most, and the bits for each.
+SIEVED, BITS = 1 << 23, 16
+
+
+def _sieved(items: DataFrame, claims: DataFrame, n: int) -> DataFrame:
+    """Items without most of those that none of the `n` claims names: a bitmap of hashes finds them before they are sent anywhere."""
+    if n == 0 or n > SIEVED:
+        return items if n else items.limit(0)
+    place = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(-(-n * BITS // 64) * 64).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = claims.select(F.shiftright(place, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return items.join(F.broadcast(words), (F.shiftright(place, 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)).drop("_word", "_bits")
+
+
 def _attempted(claimed: DataFrame, send: Send) -> DataFrame:
     """Call `send` on each row, where it lies. One that raises fails its own row alone."""
     from time import perf_counter
@@ -126,10 +147,10 @@ def relay(
 ) -> None:
     """Send the oldest `n` outbox rows that are due, each once. Relay k of K takes share (k, K); days before `first` have nothing open."""
     rows = tables.read_table(spark, outbox_path, schemas.OUTBOX, first=first).drop(*tables.PLACE)
-    mine_too = F.pmod(F.xxhash64("id"), F.lit(share[1])) == share[0]
-    open_ = publish_headers(rows.filter((F.col("status") == PENDING) & mine_too))
+    mine_too = lambda id_: F.pmod(F.xxhash64(id_), F.lit(share[1])) == share[0]
+    open_ = publish_headers(rows.filter((F.col("status") == PENDING) & mine_too("id")))
     items = open_.withColumns({"key": F.col("id"), "due_at": F.col("next_attempt_at"), "tried": F.col("attempts")})
-    ledger.send(items, mine, now, send, ("created_at", "key"), n, first)
+    ledger.send(items, mine, now, send, ("created_at", "key"), n, first, mine_too("key"))
 
 
 def relayed(outbox: DataFrame, ledger: Ledger) -> DataFrame:

@@ -132,3 +132,25 @@ def test_deliveries_are_bounded_and_grow_apart(spark, tmp_path):
     assert sorted(log.read_text().splitlines()) == ["a0 1", "a1 1", "a2 1", "a2 2", "a2 3", "a3 1", "a3 2", "a3 3"]
     got = table(L.notifications(book), "alert_id", "channel", "outcome", "attempt")
     assert got == sorted([(f"a{k}", "log", "success", 1) for k in range(4)] + [("a0", "email", "success", 1), ("a1", "email", "success", 1), ("a2", "email", "failed", 3), ("a3", "email", "failed", 3)])
+
+
+def test_items_that_arent_due_are_left_out_before_the_join(spark, place):
+    path, book, log = place
+    for number, seconds in ((0, 3), (1, 3)):  # the second pass has nothing to send
+        L.relay(spark, path, book, Batch("r", number), at(seconds), sender(log), None)
+    assert sent(log) == [(f"e{k}", 1) for k in range(4)]
+    items = spark.range(20_000).selectExpr("concat('k', id) as key", "id")
+    claims = items.filter("id % 40 = 0").select("key")
+    left = L._sieved(items, claims, claims.count())
+    assert left.join(claims, "key", "left_semi").count() == 500 and left.count() < 3_000
+    assert L._sieved(items, claims.limit(0), 0).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 2])
+def test_passes_with_and_without_a_bitmap_send_the_same(spark, place, monkeypatch, most):
+    monkeypatch.setattr(L, "SIEVED", most)
+    path, book, log = place
+    for number, seconds in enumerate((100, 102, 104)):
+        for k in range(2):
+            L.relay(spark, path, book, Batch(f"r{k}", number), at(seconds), sender(log, lambda row: row["event_id"] == "e1" and row["attempt"] < 3), None, (k, 2))
+    assert sent(log) == [("e0", 1), ("e1", 1), ("e1", 2), ("e1", 3), *((f"e{k}", 1) for k in range(2, 6))]
