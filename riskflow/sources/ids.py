@@ -12,8 +12,11 @@ where they are in a compacted part, since every id keeps its writer and batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +50,24 @@ def _held(id_: Column, bits: Column) -> Column:
     return tests
 
 
+def _filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of each filter, set in place: a task holds `BITS` bits for each of its ids and sends no word anywhere."""
+    held: dict[tuple, np.ndarray] = {}
+    for frame in frames:
+        for (bucket, part, words), rows in frame.groupby(["bucket", "part", "words"], sort=False):
+            bits = held.setdefault((bucket, part), np.zeros(words, np.uint64))
+            at = rows[[f"at{t}" for t in range(TESTS)]].to_numpy(np.uint64).reshape(-1)
+            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    for (bucket, part), bits in held.items():
+        yield pd.DataFrame({"bits": [bits.view(np.int64)], "bucket": [bucket], "part": [part]})
+
+
 def filters(ids: DataFrame) -> DataFrame:
-    """(bits, bucket, part): one Bloom filter per bucket and part of (id, bucket, part). Best dealt by bucket and part before: then
-    the bits of a word meet in the task that sets them, and only words are sent."""
+    """(bits, bucket, part): a Bloom filter per bucket and part of (id, bucket, part). To be dealt by bucket and part before; ids of one
+    part in several tasks make several filters of it, which find the same."""
     sizes = ids.groupBy("bucket", "part").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * BITS / 64)).cast("long").alias("words"))
-    tested = ids.join(F.broadcast(sizes), ["bucket", "part"]).select("bucket", "part", F.explode(F.array(*(_bit(F.col("id"), t, F.col("words") * 64) for t in range(TESTS)))).alias("at"))
-    set_ = tested.select("bucket", "part", F.shiftright("at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("bits"))
-    none = sizes.select("bucket", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
-    words = set_.unionByName(none).groupBy("bucket", "part", "word").agg(F.bit_or("bits").alias("bits"))
-    whole = words.groupBy("bucket", "part").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
-    return whole.select(F.transform("words", lambda w: w["bits"]).alias("bits"), "bucket", "part")
+    tested = ids.join(F.broadcast(sizes), ["bucket", "part"])
+    return tested.select("bucket", "part", "words", *(_bit(F.col("id"), t, F.col("words") * 64).alias(f"at{t}") for t in range(TESTS))).mapInPandas(_filled, FILTERS)
 
 
 @dataclass(frozen=True)

@@ -311,7 +311,12 @@ def reprocess_dlq(
                 )
                 tables.put_batch(counts, counts_path, mine, None)
 
-        _held(decode(batch, schema), work)
+        # the scorer holds the batch itself; a second copy would take the memory its sorts need
+        rows = decode(batch, schema)
+        if isinstance(transform, Scoring):
+            work(rows)
+        else:
+            _held(rows, work)
 
     return _start(letters_, each, checkpoint, trigger)
 

@@ -159,3 +159,15 @@ def test_alert_and_transaction_tables(spark, tmp_path):
 def test_settings(spark):
     assert rows_per_task(spark) == 4_000_000
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_filters_hold_their_ids_and_are_made_without_sending_words(spark):
+    rows = spark.range(3000).selectExpr("concat('id-', id) as id", "cast(id % 3 as int) as bucket", "if(id % 2 = 0, 'a-1', 'b-2') as part").repartition("bucket", "part")
+    made = I.filters(rows)
+    assert made.groupBy("bucket", "part").count().filter("count = 1").count() == 6
+    met = rows.join(made, ["bucket", "part"]).filter(I._held(F.col("id"), F.col("bits")))
+    assert met.count() == 3000
+    other = spark.range(3000, 6000).selectExpr("concat('id-', id) as id").crossJoin(made).filter(I._held(F.col("id"), F.col("bits")))
+    assert other.count() < 100  # of 18,000
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" not in plan and "Explode" not in plan and "explode" not in plan
