@@ -82,6 +82,8 @@ class Encoder:
         bare = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         #: How the model writes each byte of a space or a letter.
         self.letter = {b: bare.pre_tokenize_str(text)[0][0][k] for text in map(chr, range(0x20, ord(_LATIN))) for k, b in enumerate(text.encode())}
+        #: Whether ASCII letters are written as themselves.
+        self.ascii_same = all(self.letter[b] == chr(b) for b in range(256) if chr(b).isalpha() and b < 128)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         made = json.loads(self.tokenizer.to_str())
         steps = made["pre_tokenizer"] or {}
@@ -133,16 +135,29 @@ class Encoder:
     def _fresh(self, names: list[bytes]) -> list[bytes]:
         """Ids of tiles not met before: those of letters alone from the tokenizer's model, all others by few calls of the library."""
         out: list = [b""] * len(names)
-        others, tokenize, letter, width, dropping = [], self.model.tokenize, self.letter, self.width, self.dropping
+        others, plain, ids, ends = [], [], [], [0]
+        tokenize, letter, space, ascii_same, dropping = self.model.tokenize, self.letter, self.letter[_SPACE], self.ascii_same, self.dropping
         for k, name in enumerate(names):
             text = name.decode("utf-8", "replace")
             word = text.removeprefix(" ")
             if dropping:
                 text = word = word.lower()
-            if word.isalpha() and max(word) < _LATIN:
-                out[k] = np.array([t.id for t in tokenize("".join([letter[b] for b in text.encode()]))], width).tobytes()
+            if not word.isalpha():
+                others.append(k)
+                continue
+            if ascii_same and word.isascii():
+                written = word if len(word) == len(text) else space + word
+            elif max(word) < _LATIN:
+                written = "".join([letter[b] for b in text.encode()])
             else:
                 others.append(k)
+                continue
+            plain.append(k)
+            ids += [t.id for t in tokenize(written)]
+            ends.append(len(ids))
+        raw, size = np.array(ids, self.width).tobytes(), self.width.itemsize
+        for k, x, y in zip(plain, ends, ends[1:], strict=False):
+            out[k] = raw[x * size : y * size]
         for k, ids in zip(others, self._mixed([names[k] for k in others]), strict=True):
             out[k] = ids
         return out
@@ -174,8 +189,9 @@ class Encoder:
         missing = [k for k, row in enumerate(rows) if row is None]
         fresh = []
         self.odd = {}
+        older = self.older.get
         for k in missing:
-            row = self.older.get(names[k])
+            row = older(names[k])
             # what a cut may harm isn't remembered, so that it is seen each time
             if row is None:
                 fresh.append(k)
@@ -184,11 +200,14 @@ class Encoder:
         if fresh:
             for k, ids in zip(fresh, self._fresh([names[k] for k in fresh]), strict=True):
                 rows[k] = ids
+        known, odd = self.known, self.odd
         for k in missing:
-            if len(names[k]) <= LONG and names[k] not in self.odd:
-                if len(self.known) >= REMEMBERED:
-                    self.older, self.known = self.known, {}
-                self.known[names[k]] = rows[k]
+            name = names[k]
+            if len(name) <= LONG and name not in odd:
+                if len(known) >= REMEMBERED:
+                    self.older, self.known = known, {}
+                    known = self.known
+                known[name] = rows[k]
         lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // self.width.itemsize
         kinds = np.fromiter((name[:1] == b" " for name in names), np.uint8, len(names))
         if self.odd:

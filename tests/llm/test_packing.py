@@ -128,3 +128,13 @@ def test_query(spark):
             lengths.append(len(own))
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == wanted and len(got) == len(wanted)
     assert len({r.sequence_id for r in got}) == one_by_one(lengths, 2048)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_new_tiles_go_through_one_conversion(name):
+    encoder = tiles.Encoder(public_tokenizers.path(name))
+    assert encoder.ascii_same
+    words = ["A", " A", "abc", " Straße", "Café", " İstanbul", "12", " ...", " don't", "ſee", "K", " Käse", "zz"]
+    rows = encoder._fresh([w.encode() for w in words])
+    for word, row in zip(words, rows, strict=True):
+        assert np.frombuffer(row, encoder.width).tolist() == encoder.whole(word.encode()).tolist()
