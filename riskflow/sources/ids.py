@@ -106,12 +106,10 @@ class IdIndex:
 
     def _write(self, ids: DataFrame, folder: str) -> None:
         """Write (id, by_writer, by_batch, bucket, part) with filters, replacing the parts it has rows for."""
-        ids = ids.repartition("bucket", "part").persist()
-        try:
-            for kind, rows in (("ids", ids.sortWithinPartitions("bucket", "part", "id")), ("filters", filters(ids))):
+        with tables.staged(ids) as held:
+            dealt = held.repartition("bucket", "part")
+            for kind, rows in (("ids", dealt.sortWithinPartitions("bucket", "part", "id")), ("filters", filters(dealt))):
                 rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "part").parquet(f"{folder}/{kind}")
-        finally:
-            ids.unpersist()
 
     def _start(self) -> tuple[int, int]:
         if self.exists():
@@ -159,8 +157,7 @@ class IdIndex:
     def stored(self, ids: DataFrame, before: Batch | None = None) -> DataFrame:
         """Those ids of `ids` (column `id`) that are stored, each once; without those that the reader's own batches from its own on have added."""
         folder = self._folder(self._generation())
-        near = self.candidates(ids, before).persist()
-        try:
+        with tables.staged(self.candidates(ids, before)) as near:
             parts = near.select("bucket", "part").distinct().limit(FOLDERS + 1).collect()
             if not parts:
                 return self.spark.createDataFrame([], "id string")
@@ -173,8 +170,6 @@ class IdIndex:
                 held = held.where((F.col("by_writer") != before.writer) | (F.col("by_batch") < before.number))
             found = held.join(near.select("id", "bucket").distinct(), ["id", "bucket"], "left_semi").select("id").distinct()
             return settled(found)
-        finally:
-            near.unpersist()
 
     def compact(self) -> None:
         """Put the parts of each bucket together, in as many buckets as keep each within `FULL` ids; for times without writers."""

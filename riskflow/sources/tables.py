@@ -10,6 +10,8 @@ and readers pass over its compacted rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..session import settled
+from ..session import settled, shared_folder
 
 PLACE = ("day", "writer", "batch_id")
 COMPACTED = "compacted"
@@ -41,6 +43,24 @@ def _hadoop(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+@contextmanager
+def staged(*parts: DataFrame) -> Iterator[DataFrame]:
+    """The rows of `parts`, made one after another, as files of their own in the shared folder, for as long as several outputs read them: no
+    executor's memory holds them, a reader of few columns opens only these, and a lost executor loses nothing."""
+    df, spark = parts[0], parts[0].sparkSession
+    folder = f"{shared_folder(spark)}/staged/{uuid.uuid4()}"
+    # files have no columns without a type
+    untyped = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+    try:
+        for part in parts:
+            part.drop(*untyped).write.mode("append").option("compression", "zstd").parquet(folder)
+        held = spark.read.schema(df.drop(*untyped).schema).parquet(folder)
+        yield held.select(*(F.lit(None).alias(c) if c in untyped else c for c in df.columns))
+    finally:
+        fs, place = _hadoop(spark, folder)
+        fs.delete(place, True)
+
+
 def writer_of(spark: SparkSession, checkpoint: str) -> str:
     """The name of the stream that has this checkpoint, kept inside it: a new checkpoint is a new writer."""
     fs, place = _hadoop(spark, f"{checkpoint}/writer-name")

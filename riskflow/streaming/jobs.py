@@ -10,7 +10,8 @@ markers are kept. A second event with a stored transaction id goes to the dead l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -37,8 +38,8 @@ TTL = timedelta(hours=1)
 #: How long the marker of a processed event is kept.
 REMEMBER = timedelta(days=7)
 DUPLICATE_TRANSACTION = "DUPLICATE_TRANSACTION"
-#: The place of a row in its held batch.
-ROW = "_row"
+#: The place of a row in its staged batch, why it can't be stored, and whether it has a payload: asked once, so that the payload is opened no more.
+ROW, WHY, PAYLOAD = "_row", "_why", "_payload"
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -55,11 +56,11 @@ def _held(df: DataFrame, each: Callable[[DataFrame], None]) -> None:
         held.unpersist()
 
 
-def _with_payload(batch: DataFrame, counts_path: str, mine: Batch) -> DataFrame:
+def _with_payload(batch: DataFrame, counts_path: str, mine: Batch, value: str = "value") -> DataFrame:
     """Records with a payload. Those without are passed over on a main stream, and counted."""
-    if "value" not in batch.columns:
+    if value not in batch.columns:
         return batch
-    kept, empty = drop_tombstones(batch)
+    kept, empty = drop_tombstones(batch, value)
     tables.put_batch(empty.agg(F.count(F.lit(1)).alias("tombstones")), counts_path, mine, None)
     return kept
 
@@ -108,7 +109,8 @@ def ingest_stream(
     return _start(requests, each, checkpoint, trigger)
 
 
-def refused(ids: DataFrame, markers: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
+@contextmanager
+def refused(ids: DataFrame, markers: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> Iterator[DataFrame]:
     """
     Of (_row, event_id, transaction_id, seq) the rows that are not scored, with `again`: of each event id the first arrival counts, unless
     a marker has it, and the others are passed over; of each transaction id the first of these counts, unless the history has it, which
@@ -118,18 +120,15 @@ def refused(ids: DataFrame, markers: DataFrame, stored: Callable[[DataFrame], Da
     """
     named = ids.filter("event_id is not null").groupBy("event_id").agg(F.min(F.struct("seq", ROW, "transaction_id")).alias("_first"))
     named = named.join(markers.select("event_id"), "event_id", "left_anti").select("event_id", "_first.*")
-    fresh = named.unionByName(ids.filter("event_id is null")).persist()
-    try:
-        taken = stored(fresh.select(F.col("transaction_id").alias("id"))).withColumnRenamed("id", "transaction_id")
-        first = fresh.groupBy("transaction_id").agg(F.min(F.struct("seq", ROW, "event_id")).alias("_first"))
-        first = first.join(taken, "transaction_id", "left_anti").filter("_first.event_id is not null").select(f"_first.{ROW}")
-        reached = [rows.select(ROW, F.lit(n).alias("_n")) for n, rows in enumerate((ids, fresh, first))]
-        far = reached[0].unionByName(reached[1]).unionByName(reached[2]).groupBy(ROW).agg(F.max("_n").alias("_n"))
-        out = far.filter("_n < 2").select(ROW, (F.col("_n") == 1).alias("again")).persist()
-        out.count()
-        return out
-    finally:
-        fresh.unpersist()
+    with ExitStack() as kept:
+        with tables.staged(named.unionByName(ids.filter("event_id is null"))) as fresh:
+            taken = stored(fresh.select(F.col("transaction_id").alias("id"))).withColumnRenamed("id", "transaction_id")
+            first = fresh.groupBy("transaction_id").agg(F.min(F.struct("seq", ROW, "event_id")).alias("_first"))
+            first = first.join(taken, "transaction_id", "left_anti").filter("_first.event_id is not null").select(f"_first.{ROW}")
+            reached = [rows.select(ROW, F.lit(n).alias("_n")) for n, rows in enumerate((ids, fresh, first))]
+            far = reached[0].unionByName(reached[1]).unionByName(reached[2]).groupBy(ROW).agg(F.max("_n").alias("_n"))
+            out = kept.enter_context(tables.staged(far.filter("_n < 2").select(ROW, (F.col("_n") == 1).alias("again"))))
+        yield out
 
 
 def score_stream(
@@ -188,26 +187,26 @@ def scoring(
     def each(batch: DataFrame, mine: Batch, now: datetime) -> None:
         spark = batch.sparkSession
 
-        def work(held: DataFrame) -> None:
-            held = _with_payload(held, f"{dlq_path}-tombstones", mine)
-            ok, dead = route_dlq(held, poison_reason(held, TRANSACTION_REQUIRED), topic)
+        timed = batch.withColumn("occurred_at", event_time("occurred_at", _record_time(batch, now)))
+        asked = {ROW: F.monotonically_increasing_id(), WHY: poison_reason(timed, TRANSACTION_REQUIRED)}
+        if "value" in batch.columns:
+            asked[PAYLOAD] = F.when(F.col("value").isNotNull(), True)
+        # a whole batch is never held in memory
+        with tables.staged(timed.withColumns(asked)) as held:
+            held = _with_payload(held, f"{dlq_path}-tombstones", mine, PAYLOAD)
+            ok, dead = route_dlq(held, F.col(WHY), topic)
             # only the users and times that a batch can reach are kept of the history; see against_stored
             history = tables.read_table(spark, history_path, schemas.HISTORY, before=mine)
             markers = tables.read_table(spark, markers_path, schemas.PROCESSED, before=mine, first=(now - remember).date())
             index = tables.history_ids(spark, history_path)
-            out = refused(ok.select(ROW, "event_id", "transaction_id", "seq"), markers, lambda ids: index.stored(ids, mine))
-            try:
+            with refused(ok.select(ROW, "event_id", "transaction_id", "seq"), markers, lambda ids: index.stored(ids, mine)) as out:
                 if not out.filter("again").isEmpty():
                     again = ok.join(out.filter("again"), ROW, "left_semi").withColumn("error_code", F.lit(DUPLICATE_TRANSACTION))
                     dead = dead.unionByName(letters(again, topic))
                 put_letters(dead, dlq_path, mine)
-                fresh = ok.join(out, ROW, "left_anti").select(*(c for c in ok.columns if c != ROW and (wanted is None or c in wanted)))
-                _held(score_batch(fresh, history, config), lambda scored: store(scored, mine, now))
-            finally:
-                out.unpersist()
-
-        timed = batch.withColumn("occurred_at", event_time("occurred_at", _record_time(batch, now)))
-        _held(timed.withColumn(ROW, F.monotonically_increasing_id()), work)
+                fresh = ok.join(out, ROW, "left_anti").select(*(c for c in ok.columns if c not in asked and (wanted is None or c in wanted)))
+                with tables.staged(score_batch(fresh, history, config)) as scored:
+                    store(scored, mine, now)
 
     def store(scored: DataFrame, mine: Batch, now: datetime) -> None:
         extra = [c for c in (*keep, "trace_id") if c in scored.columns]

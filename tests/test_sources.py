@@ -171,3 +171,16 @@ def test_filters_hold_their_ids_and_are_made_without_sending_words(spark):
     assert other.count() < 100  # of 18,000
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "bit_or" not in plan and "Explode" not in plan and "explode" not in plan
+
+
+def test_staged_rows_keep_their_columns_until_they_are_read(spark):
+    parts = [spark.createDataFrame([(k, None, [f"x{k}"])], "a int, b void, c array<string>") for k in range(3)]
+    with tables.staged(*parts) as held:
+        assert held.columns == ["a", "b", "c"] and held.schema["b"].dataType.simpleString() == "void"
+        assert table(held) == [(k, None, [f"x{k}"]) for k in range(3)]
+        files = held.inputFiles()
+        assert files
+    with pytest.raises(Exception, match="(?i)not.*exist|not_exist|not found"):
+        spark.read.parquet(files[0])
+    with tables.staged(parts[0].limit(0)) as none:
+        assert none.count() == 0 and none.columns == ["a", "b", "c"]

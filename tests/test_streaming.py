@@ -12,6 +12,7 @@ from riskflow import schemas
 from riskflow.functions import mapping
 from riskflow.operators import rules
 from riskflow.operators.alerts import Channels
+from riskflow.session import shared_folder
 from riskflow.sources import files, tables
 from riskflow.sources.tables import Batch
 from riskflow.streaming import jobs
@@ -342,3 +343,19 @@ def test_payloads_stay_where_they_are_while_their_events_are_judged(spark, tmp_p
     sent = sum(size for name, size in shuffled(spark).items() if name not in before)
     assert spark.read.parquet(str(tmp_path / "d")).count() == 400
     assert sent < 400 * 4000
+
+
+def test_no_memory_holds_a_batch(spark, tmp_path):
+    """Neither the events of a batch nor its decisions are cached while outputs read them; what lies in files meanwhile goes."""
+    cached = lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+    before, seen = cached(), []
+    records = [event(i, (f"u{i % 3}", at(i), 20_000.0, "MRC-999", "US")) for i in range(30)]
+    drop(tmp_path / "in", "a", [*records, records[3] | {"offset": 5003}, records[4] | {"value": None}, records[5] | {"value": "{}"}])
+    jobs.score_stream(source(spark, tmp_path / "in"), *(str(tmp_path / n) for n in ("h", "d", "c")), dlq_path=str(tmp_path / "dlq"),
+                      publish=lambda events, n: seen.append((cached() - before, events.count()))).awaitTermination()
+    assert seen == [(set(), 30)]
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 30
+    assert [r.error_code for r in spark.read.json(f"{tmp_path}/dlq").collect()] == ["NULL_EVENT_ID"]
+    assert spark.read.parquet(f"{tmp_path}/dlq-tombstones").first().tombstones == 1
+    fs, place = tables._hadoop(spark, f"{shared_folder(spark)}/staged")
+    assert len(fs.listStatus(place)) == 0
