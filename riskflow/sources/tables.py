@@ -131,7 +131,7 @@ def _read(
     return table.filter((writer != before.writer) | (number < before.number))
 
 
-def put_batch(df: DataFrame, path: str, batch: Batch, day: Column | None) -> None:
+def put_batch(df: DataFrame, path: str, batch: Batch, day: Column | None, codec: str | None = None) -> None:
     """Write a batch, replacing an earlier attempt at the same batch, on whatever days that had rows."""
     placed = df.withColumns({
         "day": F.lit(None).cast("date") if day is None else F.to_date(day), "writer": F.lit(batch.writer), "batch_id": F.lit(batch.number).cast("long"),
@@ -142,6 +142,8 @@ def put_batch(df: DataFrame, path: str, batch: Batch, day: Column | None) -> Non
     if fs.globStatus(_hadoop(df.sparkSession, f"{path}/day=*/writer={COMPACTED}")[1]):
         fs.mkdirs(_hadoop(df.sparkSession, f"{path}/{REPLACED}/{batch.writer}-{batch.number}")[1])
     writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if codec:
+        writer = writer.option("compression", codec)
     writer.partitionBy(*PLACE).parquet(path)
 
 

@@ -10,6 +10,7 @@ in the query's progress (`numRowsDroppedByWatermark`). The graph keeps its halve
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ..functions.text import event_time
 from ..operators import traces
 from ..operators.delivery import stage_funnel
 from ..operators.history import micros
+from ..session import shuffles_dropped
 from ..sources import tables
 from ..sources.tables import Batch
 from .jobs import TTL, _start
@@ -28,6 +30,10 @@ from .jobs import TTL, _start
 DECISION, ALERT = "decision", "alert"
 #: How much earlier than its question an answer may say it is, since clocks differ.
 SKEW = timedelta(minutes=1)
+#: Halves that are sent to be matched at once; more are matched share after share.
+SHARE = 1 << 25
+#: Of halves and pairs, which are little but keys: a third less room than by the default.
+CODEC = "zstd"
 STEPS = T.StructType([
     T.StructField("stage", T.StringType()), T.StructField("transaction_id", T.StringType()), T.StructField("asked_at", T.TimestampType()),
     T.StructField("answered_at", T.TimestampType()), T.StructField("fraudulent", T.BooleanType()),
@@ -128,29 +134,37 @@ def graph_stream(
     of it, before or after. A call that several spans answer has a row for each.
 
     Halves are kept as files beside the checkpoint until the watermark has passed them, and each batch joins its own with those in reach, so
-    what waits takes disk and no executor's memory. Halves behind the watermark go to `<path>-late` (rows of `HALF`).
+    what waits takes disk and no executor's memory. They are joined in shares of some `SHARE` halves by a hash of their key, and what a share has
+    sent goes before the next, so that what lies on the executors' disks meanwhile doesn't grow with the batch. Halves behind the watermark go to `<path>-late` (rows of `HALF`).
     """
     spark = spans.sparkSession
     writer, place = tables.writer_of(spark, checkpoint), f"{checkpoint}/halves"
     at, reach = F.unix_micros("at"), micros(wait)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        with shuffles_dropped(spark):
+            work(batch, batch_id)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
         mine, before = Batch(writer, batch_id), _newest(spark, checkpoint, batch_id - 1)
         passed = _watermark(before, delay)
         halves = _halves(batch, tables.batch_time(spark, checkpoint, batch_id))
         if passed is not None:
             tables.put_batch(halves.filter(at <= passed), f"{path}-late", mine, F.col("at"))
             halves = halves.filter(at > passed)
-        tables.put_batch(halves, place, mine, F.col("at"))
+        tables.put_batch(halves, place, mine, F.col("at"), CODEC)
         # a half in reach may have been matched by one that is `wait` older; days of any time zone
         first = None if passed is None else (datetime(1970, 1, 1) + timedelta(microseconds=passed - 2 * reach) - timedelta(days=1)).date()
         own = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
         kept = tables.read_table(spark, place, HALF, first=first).withColumn("_new", own).drop(*tables.PLACE)
-        top = kept.filter("_new").agg(*(F.max(F.when(F.col("called") == c, at)) for c in (True, False))).first()
+        *top, count = kept.agg(*(F.max(F.when(F.col("_new") & (F.col("called") == c), at)) for c in (True, False)), F.count(F.lit(1))).first()
         newest = tuple(max((x for x in pair if x is not None), default=None) for pair in zip(before, top, strict=True))
         _record_newest(spark, checkpoint, batch_id, newest)
-        matched = _matched(kept if passed is None else kept.filter(at >= passed - 2 * reach), reach, passed, _watermark(newest, delay))
-        tables.put_batch(matched, path, mine, F.col("at"))
+        near = kept if passed is None else kept.filter(at >= passed - 2 * reach)
+        matched = [_matched(share, reach, passed, _watermark(newest, delay)) for share in _shares(near, -(-count // SHARE))]
+        # other streams may write the same table meanwhile, and a reader finds all of a batch or nothing
+        with tables.staged(*matched) if len(matched) > 1 else nullcontext(matched[0]) as whole:
+            tables.put_batch(whole, path, mine, F.col("at"), CODEC)
         if first is not None:
             for folder in tables._days(spark, place, None, first - timedelta(days=1)):
                 fs, old = tables._hadoop(spark, folder)
@@ -159,6 +173,12 @@ def graph_stream(
     return _start(spans, each, checkpoint, trigger)
 
 
+def _shares(halves: DataFrame, n: int) -> list[DataFrame]:
+    """The halves in `n` shares, those of one key in the same; at least one share."""
+    share = F.pmod(F.xxhash64("trace_id", "parent_span_id"), F.lit(n))
+    return [halves.filter(share == k) for k in range(n)] if n > 1 else [halves]
+
+
 def _matched(halves: DataFrame, reach: int, passed: int | None, edge: int | None) -> DataFrame:
     """Pairs that a new half (`_new`) completes, and the halves alone whose time is up since the watermark went from `passed` to `edge`."""
     key = ["trace_id", "parent_span_id"]

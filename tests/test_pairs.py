@@ -1,10 +1,11 @@
 """Funnel stages and service graph on streams against the same over whole tables, however the rows come."""
 
 import random
+import time
 
 import pytest
 
-from riskflow import schemas
+from riskflow import schemas, session
 from riskflow.operators import delivery, traces
 from riskflow.streaming import pairs
 
@@ -159,3 +160,37 @@ def test_halves_wait_in_files_until_the_watermark_has_passed_them(spark, tmp_pat
     assert sorted((r.parent_span_id, r.called) for r in late.collect()) == [("a", False), ("old2", True)]
     # the last batch has gone by the watermark of the third day
     assert min(p.name for p in (tmp_path / "c" / "halves").glob("day=*")) > f"day={at(day).date()}"
+
+
+def sent_files(spark):
+    """The shuffle files that lie on this session's disks."""
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(held.size()) if (name := held.apply(i).getName()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("share", [None, 9])
+def test_halves_are_sent_share_after_share_and_what_was_sent_goes(spark, tmp_path, monkeypatch, share):
+    if share:
+        monkeypatch.setattr(pairs, "SHARE", share)
+    spans, before, setting = some_spans(5), sent_files(spark), spark.conf.get(session._DROP_SHUFFLES)
+    spans += [("n", None, None, "tx", "call", "CLIENT", "", at(3), 5.0), (None, "q", "q", "fraud", "answer", "SERVER", "", at(3), 4.0)]
+    last = [("z", "z", None, "z", "z", "CLIENT", "", at(10**6), 1.0), ("z", "y", "z", "z", "z", "SERVER", "", at(10**6), 1.0)]
+    staged = []
+    monkeypatch.setattr(pairs.tables, "staged", lambda *parts, f=pairs.tables.staged: staged.append(len(parts)) or f(*parts))
+    for part in (spans[::2], spans[1::2], last):
+        put(spark, part, schemas.SPAN, tmp_path / "spans")
+        source = spark.readStream.schema(schemas.SPAN).parquet(f"{tmp_path}/spans")
+        pairs.graph_stream(source, f"{tmp_path}/pairs", f"{tmp_path}/c").awaitTermination()
+    late = time.monotonic() + 20
+    while sent_files(spark) - before and time.monotonic() < late:
+        time.sleep(0.2)
+    assert not sent_files(spark) - before
+    assert spark.conf.get(session._DROP_SHUFFLES) == setting
+    assert len(staged) == (3 if share else 0) and all(n > 3 for n in staged)
+    whole = table(traces.service_graph(spark.createDataFrame(spans, schemas.SPAN)))
+    found = table(pairs.graph(spark, f"{tmp_path}/pairs").filter("client <> 'z'"))
+    assert [r[:4] for r in found] == [r[:4] for r in whole] and [pytest.approx(r[4:]) for r in found] == [r[4:] for r in whole]
+    alone = sum(r.expired for r in pairs.expired(spark, f"{tmp_path}/pairs").collect())
+    done = {s[1] for s in spans if s[5] == "CLIENT"}, {s[2] for s in spans if s[5] == "SERVER"}
+    lone = [s for s in spans if None in s[:2] or (s[1] not in done[1] if s[5] == "CLIENT" else s[2] not in done[0])]
+    assert alone == len(lone) > 7
